@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lm, mixing, neardup, packing, repeats, topk, toxicity
+from . import lm, mixing, neardup, ngramjoin, packing, repeats, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.ngram_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_lm": op2_lm,
     "op3_packing": op3_packing,
@@ -49,6 +53,7 @@ QUERIES = {
     "op6_topk": op6_topk,
     "op8_repeats": op8_repeats,
     "op9_toxicity": op9_toxicity,
+    "op10_ngram_join": op10_ngram_join,
 }
 
 OP5_SQL = r"""
