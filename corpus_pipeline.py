@@ -1,11 +1,76 @@
-"""The corpus pipeline (stages follow)."""
+"""From raw documents to packed training batches, in five stages.
 
-STAGES = []
+Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is
+written as Parquet and read again as the next one's documents; all but the last
+return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from stridewell.llm import mixing, ngramjoin, packing, repeats, toxicity
+from stridewell.llm.common import materialize
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity classifier rejects go."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, model, *docs.columns).where("predicted = 0").select(docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that links of similar n-gram sets join, the one with the
+    smallest id stays; rows without an id, and all but one row of equal ids and
+    groups, go with their group."""
+    found = ngramjoin.ngram_components(docs)
+    keep = found.where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(keep, "doc_id", "left_semi")
+    if kept.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return kept.select(docs.columns)
+    first = Window.partitionBy("doc_id").orderBy(*[F.col(c) for c in docs.columns if c != "doc_id"])
+    return kept.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").select(docs.columns)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes of passages that an earlier document or place has go.  Where a cut
+    leaves part of a character, that part goes too; texts with nothing left stay,
+    empty."""
+    carry = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
+    cut = repeats.remove_repeats(docs, carry=carry)
+    text = F.when(F.is_valid_utf8(F.col("kept").cast("string")), F.col("kept").cast("string")).otherwise(
+        F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "�", ""))
+    cut = cut.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long"))
+    return cut.select(docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each source's documents as often as its target takes them; the document at
+    the cut in part."""
+    return mixing.mixed_documents(docs)
+
+
+def pack_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each document stands in length buckets and batches."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_join", one_of_each_group),
+    ("suffix_dedup", cut_repeats),
+    ("mixing", mix_sources),
+    ("packing", pack_batches),
+]
+
+#: The classifier and the bucket bounds have no SQL form.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
