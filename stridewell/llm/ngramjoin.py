@@ -15,7 +15,6 @@ cannot reach the needed overlap.
 
 from __future__ import annotations
 
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +24,6 @@ from pyspark.sql import functions as F
 
 from .common import components, materialize
 
-WORDS = re.compile(r"[^\x20\x09-\x0D]+")
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SIZE = 5
 BASE = np.uint64(0x9E3779B97F4A7C15)
 HASHES = 4  # min-hashes for the early links
@@ -46,7 +43,7 @@ class Shingler:
     """Texts -> their sets of shingle hashes, sorted in the global order."""
 
     def __init__(self, frequent: np.ndarray | None = None):
-        self.numbers: dict[str, int] = {}
+        self.numbers: dict[bytes, int] = {}
         # frequent: the hashes in order, the most frequent last
         rank = np.arange(len(frequent), dtype=np.uint64) if frequent is not None else np.zeros(0, np.uint64)
         by = np.argsort(frequent) if frequent is not None else np.zeros(0, int)
@@ -61,19 +58,17 @@ class Shingler:
             out = np.where(self.frequent[at] == h, self.rank[at], out)
         return out
 
-    def hashes(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
+    def hashes(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """Shingle hashes of all texts, and how many each text has (with repeats)."""
         if len(self.numbers) > MOST_WORDS:
             self.numbers.clear()
         known, flat, size = self.numbers, [], []
         for text in texts:
-            words = WORDS.findall((text or "").translate(LOWER))
-            for w in words:
-                if w not in known:
-                    known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-            flat += [known[w] for w in words]
+            words = (text or b"").lower().split()  # of bytes: just A-Z; just the space and the controls 9-13
+            flat += words
             size.append(len(words))
-        w, size = np.array(flat, np.uint64), np.array(size, np.int64)
+        known.update((w, xxhash.xxh3_64_intdigest(w)) for w in set(flat).difference(known))
+        w, size = np.fromiter(map(known.__getitem__, flat), np.uint64, len(flat)), np.array(size, np.int64)
         ends = np.cumsum(size)
         # a text of fewer words is one shingle, all of it
         h = np.zeros(len(w), np.uint64)
@@ -87,7 +82,7 @@ class Shingler:
         count = np.where(size == 0, 0, np.maximum(size - SIZE + 1, 1))
         return mixed(h[whole] + span[whole].astype(np.uint64)), count
 
-    def sets(self, texts: list) -> list[np.ndarray]:
+    def sets(self, texts: list[bytes | None]) -> list[np.ndarray]:
         h, count = self.hashes(texts)
         h, out, at = self.order(h), [], 0
         for n in count:
@@ -315,7 +310,7 @@ def ngram_components(docs: DataFrame, t: int = 80) -> DataFrame:
     row takes part by its own text.  Shingles and sets are known by 64- and
     128-bit hashes.  Extra columns are ignored; an empty table gives no rows.
     """
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
     again = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null")
     if again.isEmpty():
         return similar_sets(docs.select(F.col("doc_id").cast("long").alias("uid"), "text"), t).select(
