@@ -1,4 +1,208 @@
-"""Queries of the training-load engine over the driver's tables."""
+"""Queries of the training-load engine over the driver's tables, and their SQL."""
 
-QUERIES = {}
-ORACLES = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import scoring as S
+from ..operators import activities as A
+from ..operators import load as L
+from . import standin, views
+
+QUERIES, ORACLES = {}, {}
+
+
+def query(sql: str):
+    def add(f):
+        QUERIES[f.__name__] = f
+        ORACLES[f.__name__] = sql
+        return f
+    return add
+
+
+ACTIVITIES = """
+WITH RECURSIVE raw AS (
+  SELECT event_id, user_id AS athlete_id, 'e' || event_id || '.fit' AS name, ts, value * 60.0::DOUBLE AS elapsed,
+         CASE event_type WHEN 'click' THEN 'running' WHEN 'view' THEN 'cycling' WHEN 'purchase' THEN 'swimming' ELSE 'generic' END AS sport,
+         CAST(json_extract_string(props, '$.k') AS DOUBLE) AS hr
+  FROM events
+), a AS (
+  SELECT event_id, athlete_id, name, sport AS activity_type, CAST(NULL AS VARCHAR) AS sub_sport, ts AS timestamp, elapsed / 60.0::DOUBLE AS duration_min, hr AS avg_heart_rate,
+         elapsed / 60.0::DOUBLE * CASE WHEN hr IS NULL OR hr = 0 THEN 1.0::DOUBLE ELSE hr / 100.0::DOUBLE END
+         * CASE sport WHEN 'running' THEN 1.2::DOUBLE WHEN 'cycling' THEN 1.0::DOUBLE ELSE 0.8::DOUBLE END AS trimp
+  FROM raw WHERE sport <> 'generic'
+)"""
+
+DAILY = ACTIVITIES + """, daily AS (
+  SELECT athlete_id, CAST(timestamp AS DATE) AS date, sum(trimp) AS trimp FROM a WHERE timestamp IS NOT NULL GROUP BY ALL
+)"""
+
+DENSE = """, bounds AS (
+  SELECT athlete_id, min(date) AS lo, max(date) AS hi FROM daily GROUP BY ALL
+), spine AS (
+  SELECT athlete_id, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS date FROM bounds
+), dense AS (
+  SELECT s.athlete_id, s.date, coalesce(d.trimp, 0.0::DOUBLE) AS trimp,
+         row_number() OVER (PARTITION BY s.athlete_id ORDER BY s.date) AS n
+  FROM spine s LEFT JOIN daily d ON s.athlete_id = d.athlete_id AND s.date = d.date
+)"""
+
+MEANS = """, ewm AS (
+  SELECT athlete_id, date, n, trimp, trimp AS atl, trimp AS ctl FROM dense WHERE n = 1
+  UNION ALL
+  SELECT d.athlete_id, d.date, d.n, d.trimp,
+         (1 - 2.0::DOUBLE / 8) * e.atl + 2.0::DOUBLE / 8 * d.trimp, (1 - 2.0::DOUBLE / 43) * e.ctl + 2.0::DOUBLE / 43 * d.trimp
+  FROM ewm e JOIN dense d ON d.athlete_id = e.athlete_id AND d.n = e.n + 1
+), metrics AS (
+  SELECT athlete_id, date, trimp, atl, ctl, ctl - atl AS tsb FROM ewm
+)"""
+
+ZONE = """CASE WHEN tsb > 25 THEN 'Transition (Fitness Loss)' WHEN tsb > 5 THEN 'Freshness (Tapering/Race)' WHEN tsb >= -10 THEN 'Neutral'
+  WHEN tsb >= -30 THEN 'Optimal Training' ELSE 'High Risk (Overreaching)' END"""
+
+
+#: Means of loads with few decimals end in exact halves, which the last bit of a
+#: sum rounds either way: both sides are shifted off them before rounding.
+NUDGE = 1e-9
+
+
+def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    nudge = F.lit(NUDGE)
+    return df.withColumns({c: F.round(F.col(c) + nudge if c in ("atl", "ctl", "tsb") else F.col(c), digits) for c in columns})
+
+
+@query(ACTIVITIES + " SELECT event_id, round(trimp, 6) AS trimp FROM a")
+def trimp_per_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(standin.activities(spark, sf_dir).select("event_id", "trimp"), "trimp")
+
+
+@query(DAILY + " SELECT athlete_id, date, round(trimp, 6) AS trimp FROM daily")
+def daily_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(L.daily_load(standin.activities(spark, sf_dir)), "trimp")
+
+
+@query(DAILY + " SELECT athlete_id, min(date) AS first_date, max(date) AS last_date FROM daily GROUP BY ALL")
+def date_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.date_bounds(L.daily_load(standin.activities(spark, sf_dir)))
+
+
+@query(DAILY + DENSE + " SELECT athlete_id, date, round(trimp, 6) AS trimp FROM dense")
+def dense_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(L.dense_daily(L.daily_load(standin.activities(spark, sf_dir))), "trimp")
+
+
+@query(DAILY + DENSE + MEANS + " SELECT athlete_id, date, round(trimp, 6) AS trimp, round(atl + 1e-9, 6) AS atl, round(ctl + 1e-9, 6) AS ctl FROM metrics")
+def atl_ctl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(L.atl_ctl(L.daily_load(standin.activities(spark, sf_dir))), "trimp", "atl", "ctl")
+
+
+METRICS_SELECT = f" SELECT athlete_id, date, round(trimp, 6) AS trimp, round(atl + 1e-9, 6) AS atl, round(ctl + 1e-9, 6) AS ctl, round(tsb + 1e-9, 6) AS tsb, {ZONE} AS status FROM metrics"
+
+
+@query(DAILY + DENSE + MEANS + METRICS_SELECT)
+def training_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(L.training_metrics(standin.activities(spark, sf_dir)), "trimp", "atl", "ctl", "tsb")
+
+
+@query("WITH RECURSIVE daily AS (SELECT 0 AS athlete_id, CAST(o_orderdate AS DATE) AS date, sum(o_totalprice) AS trimp FROM orders GROUP BY ALL)"
+       + DENSE + MEANS + METRICS_SELECT.replace("athlete_id, date", "date", 1).replace(", 6)", ", 4)"))
+def training_metrics_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = standin.table(spark, sf_dir, "orders").select(F.col("o_orderdate").alias("timestamp"), F.col("o_totalprice").alias("trimp"))
+    return rounded(L.training_metrics(one, ()), "trimp", "atl", "ctl", "tsb", digits=4)
+
+
+@query(f"SELECT tsb, {ZONE} AS status FROM (SELECT i / 4.0::DOUBLE AS tsb FROM range(-160, 161) t(i))")
+def zone_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = spark.range(-160, 161).select((F.col("id") / 4.0).alias("tsb"))
+    return grid.withColumn("status", S.zone(F.col("tsb")))
+
+
+@query(DAILY + DENSE + MEANS + METRICS_SELECT + " QUALIFY row_number() OVER (PARTITION BY athlete_id ORDER BY date DESC) = 1")
+def latest_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(views.latest(L.training_metrics(standin.activities(spark, sf_dir))), "trimp", "atl", "ctl", "tsb")
+
+
+SUMMARY = " SELECT name, activity_type, sub_sport, timestamp, round(duration_min, 6) AS duration_min, avg_heart_rate, round(trimp, 6) AS trimp FROM a"
+
+
+@query(ACTIVITIES + SUMMARY)
+def activity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(views.summary(standin.activities(spark, sf_dir)), "duration_min", "trimp")
+
+
+@query(ACTIVITIES + SUMMARY + " WHERE name = 'e100.fit'")
+def single_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(views.summary(views.single_activity(standin.activities(spark, sf_dir), "e100.fit")), "duration_min", "trimp")
+
+
+@query(ACTIVITIES + SUMMARY + " ORDER BY timestamp DESC NULLS LAST, name LIMIT 3")
+def recent_activities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(views.summary(views.recent(standin.activities(spark, sf_dir))), "duration_min", "trimp")
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS name, arg_max(role, turn) AS sport, arg_max(text, turn) FILTER (role = 'assistant') AS sub_sport FROM conversations GROUP BY ALL")
+def session_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as session messages: the last role, and the last text that an answer carries."""
+    turns = standin.table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").cast("string").alias("name"), F.col("turn").alias("seq"), F.col("role").alias("sport"), F.col("text").alias("sub_sport"),
+        F.when(F.col("role") == "assistant", F.array(F.lit("sport"), F.lit("sub_sport"))).otherwise(F.array(F.lit("sport"))).alias("present"))
+    return A.fold_sessions(turns, ("sport", "sub_sport")).drop("keys")
+
+
+@query("""SELECT CAST(user_id AS VARCHAR) AS name, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INTEGER) AS idx,
+       nullif(CAST(json_extract_string(props, '$.k') AS DOUBLE), 0) AS power FROM events""")
+def sample_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arrays = A.sample_arrays(standin.samples(spark, sf_dir), ("power",))
+    return arrays.select("name", F.posexplode("power").alias("idx", "power"))
+
+
+@query("""SELECT CAST(user_id AS VARCHAR) AS name, event_id AS idx, round(event_id * 1000.0::DOUBLE * (180.0::DOUBLE / 2147483648), 9) AS lat,
+       round(event_id * -500.0::DOUBLE * (180.0::DOUBLE / 2147483648), 9) AS lon FROM events WHERE event_id % 10 <> 0 AND event_id % 7 <> 0""")
+def gps_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.gps_track(standin.tracks(spark, sf_dir)).withColumns({c: F.round(c, 9) for c in ("lat", "lon")})
+
+
+@query("""SELECT CAST(user_id AS VARCHAR) AS name, event_id AS idx, round((CASE WHEN user_id % 2 = 1 THEN value + 1 ELSE value END) * 3.6::DOUBLE, 6) AS speed_kmh
+       FROM events WHERE user_id % 2 = 0 OR event_id % 10 <> 0""")
+def speed_kmh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(A.speed_kmh(standin.tracks(spark, sf_dir)), "speed_kmh")
+
+
+@query("""SELECT CAST(user_id AS VARCHAR) AS name, event_id AS idx, round(CASE WHEN user_id % 2 = 0 THEN value * 2 WHEN event_id % 10 <> 0 THEN value * 3 END, 6) AS elevation FROM events""")
+def column_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(A.elevation(standin.tracks(spark, sf_dir)), "elevation")
+
+
+@query("SELECT event_id, strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day, coalesce(strftime(CASE WHEN event_id % 5 <> 0 THEN ts END, '%Y-%m-%d'), 'Unknown Date') AS shown FROM events")
+def format_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return standin.table(spark, sf_dir, "events").select(
+        "event_id", S.iso_date(F.to_date("ts")).alias("day"), S.shown_date(F.when(F.col("event_id") % 5 != 0, F.col("ts"))).alias("shown"))
+
+
+@query("""SELECT event_id, lpad(CAST(s // 3600 % 24 AS VARCHAR), 2, '0') || ':' || lpad(CAST(s // 60 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(s % 60 AS VARCHAR), 2, '0') AS clock
+       FROM (SELECT event_id, CAST(floor(value * 20 * 60) AS BIGINT) AS s FROM events)""")
+def format_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return standin.table(spark, sf_dir, "events").select("event_id", S.clock(F.col("value") * 20).alias("clock"))
+
+
+@query("""SELECT event_id, coalesce(v, 0.0::DOUBLE) AS value, coalesce(CAST(CAST(round(v, 1) AS DECIMAL(18, 1)) AS VARCHAR), 'N/A') AS shown
+       FROM (SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN value END AS v FROM events)""")
+def null_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.when(F.col("event_id") % 3 != 0, F.col("value"))
+    return standin.table(spark, sf_dir, "events").select("event_id", S.or_zero(v).alias("value"), S.shown(v, 1).alias("shown"))
+
+
+@query("SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS heart_rate, TRY_CAST(event_type AS DOUBLE) AS speed, regexp_extract('in/put/' || event_type || '.fit', '[^/]*$') AS name FROM events")
+def coerced_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return standin.table(spark, sf_dir, "events").select(
+        "event_id", F.get_json_object("props", "$.k").try_cast("int").alias("heart_rate"), F.col("event_type").try_cast("double").alias("speed"),
+        S.file_name(F.concat(F.lit("in/put/"), F.col("event_type"), F.lit(".fit"))).alias("name"))
+
+
+@query("SELECT event_id, user_id, event_type, value FROM events")
+def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows through JSON text and back, as the sinks and readers treat them."""
+    rows = standin.table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
+    text = rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("line"))
+    return text.select(F.from_json("line", rows.schema).alias("r")).select("r.*")

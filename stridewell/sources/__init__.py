@@ -1,0 +1 @@
+"""Readers of sessions, samples and exported activities."""
