@@ -22,14 +22,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, materialize
+from .common import components, materialize, small_batches
 
 SIZE = 5
 BASE = np.uint64(0x9E3779B97F4A7C15)
 HASHES = 4  # min-hashes for the early links
 FREQUENT, OFTEN = 1 << 16, 4  # frequent shingles kept at most; in so many texts of a task at least
 SHARED = 4  # shingles that prefixes of larger sets have to share
-MOST_WORDS = 400_000  # words a task remembers
+MOST_WORDS = 200_000  # words a task remembers
 SMALL = 400_000  # rows that may be broadcast
 
 
@@ -110,9 +110,9 @@ def first_pass(docs: DataFrame) -> DataFrame:
 
         names = ["kind", "uid", "n", "s1", "s2", *[f"m{k}" for k in range(HASHES)]]
         for batch in batches:
-            texts, uid = batch["text"].to_pylist(), batch["uid"].to_numpy()
-            for at in range(0, len(texts), 500):
-                h, count = s.hashes(texts[at:at + 500])
+            uid = batch["uid"].to_numpy()
+            for at in range(0, len(uid), 500):
+                h, count = s.hashes(batch["text"].slice(at, 500).to_pylist())
                 sets, k = [], 0
                 for n in count:
                     sets.append(np.unique(h[k:k + n]))
@@ -130,7 +130,7 @@ def first_pass(docs: DataFrame) -> DataFrame:
                      *[pa.array(c.view(np.int64)) for c in cols]], names)
                 held.append(every)
                 n_held += len(every)
-                if n_held > 4_000_000:
+                if n_held > 2_000_000:
                     yield frequent()
                     held, n_held = [], 0
         if held:
@@ -188,10 +188,9 @@ def verify(docs: DataFrame, pairs: DataFrame, frequent, t: int) -> DataFrame:
     def encode(batches):
         s = Shingler(frequent.value)
         for batch in batches:
-            texts, uid = batch["text"].to_pylist(), batch["uid"]
-            for k in range(0, len(texts), 200):
-                yield pa.RecordBatch.from_arrays(
-                    [uid.slice(k, 200), pa.array([x.tobytes() for x in s.sets(texts[k:k + 200])], pa.binary())], ["uid", "seq"])
+            for k in range(0, batch.num_rows, 200):
+                sets = s.sets(batch["text"].slice(k, 200).to_pylist())
+                yield pa.RecordBatch.from_arrays([batch["uid"].slice(k, 200), pa.array([x.tobytes() for x in sets], pa.binary())], ["uid", "seq"])
 
     sets = materialize(joined(docs, ids, ids.count()).mapInArrow(encode, "uid long, seq binary"))
     crowd = pairs.groupBy("a").agg(F.ceil(F.count("*") / 256).alias("parts"))
@@ -218,49 +217,31 @@ def verify(docs: DataFrame, pairs: DataFrame, frequent, t: int) -> DataFrame:
     return materialize(rows.groupBy("bin").applyInArrow(walk, "a long, b long"))
 
 
-def prefixes(docs: DataFrame, frequent, t: int, places: bool) -> DataFrame:
-    """Prefix shingles of ``docs(uid, text, grp)``: once per task and group
-    (token, grp), or with ``places`` all: token, uid, grp, n, place."""
+def prefixes(docs: DataFrame, frequent, t: int) -> DataFrame:
+    """Prefix shingles of ``docs(uid, text, grp)``: token, uid, grp, n, place."""
     def run(batches):
         s = Shingler(frequent.value)
-        held, n_held = [], 0
-
-        def once():
-            token, grp = (np.concatenate(x) for x in zip(*held))
-            by = np.lexsort((grp, token))
-            token, grp = token[by], grp[by]
-            new = np.concatenate([[True], (token[1:] != token[:-1]) | (grp[1:] != grp[:-1])])
-            return pa.RecordBatch.from_arrays([pa.array(token[new]), pa.array(grp[new])], ["token", "grp"])
-
         for batch in batches:
-            texts, uid, grp = batch["text"].to_pylist(), batch["uid"].to_numpy(), batch["grp"].to_numpy()
-            for k in range(0, len(texts), 500):
-                sets = s.sets(texts[k:k + 500])
+            uid, grp = batch["uid"].to_numpy(), batch["grp"].to_numpy()
+            for k in range(0, len(uid), 500):
+                sets = s.sets(batch["text"].slice(k, 500).to_pylist())
                 size = np.array([len(x) for x in sets], np.int64)
                 take = np.minimum(size, size + (t * size) // -100 + np.where(size < 5 * SHARED, 1, SHARED))
                 token = np.concatenate([*[x[:p] for x, p in zip(sets, take)], np.zeros(0, np.uint64)]).view(np.int64)
                 of = k + np.repeat(np.arange(len(sets)), take)
-                if places:
-                    place = np.arange(len(of)) - np.repeat(np.cumsum(take) - take, take)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(token), pa.array(uid[of]), pa.array(grp[of]), pa.array(size[of - k].astype(np.int32)), pa.array(place.astype(np.int32))],
-                        ["token", "uid", "grp", "n", "place"])
-                    continue
-                held.append((token, grp[of]))
-                n_held += len(of)
-                if n_held > 2_000_000:
-                    yield once()
-                    held, n_held = [], 0
-        if n_held:
-            yield once()
+                place = np.arange(len(of)) - np.repeat(np.cumsum(take) - take, take)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(token), pa.array(uid[of]), pa.array(grp[of]), pa.array(size[of - k].astype(np.int32)), pa.array(place.astype(np.int32))],
+                    ["token", "uid", "grp", "n", "place"])
 
-    return docs.mapInArrow(run, "token long, uid long, grp long, n int, place int" if places else "token long, grp long")
+    return docs.mapInArrow(run, "token long, uid long, grp long, n int, place int")
 
 
 def similar_sets(docs: DataFrame, t: int = 80) -> DataFrame:
     """``uid, n_shingles, grp`` for ``docs(uid, text)`` of unique uids: the
     smallest uid that links of at least ``t`` percent similarity reach."""
     spark = docs.sparkSession
+    small_batches(spark)
     seen = materialize(first_pass(docs))
     rows = seen.where("kind = 0")
     # local numbers of texts, summed: a fixed number of shingles counts as frequent
@@ -279,10 +260,9 @@ def similar_sets(docs: DataFrame, t: int = 80) -> DataFrame:
     n_groups = groups.count()
     # the exact filter between groups
     mine = joined(docs, groups, n_groups)
-    across = materialize(prefixes(mine, frequent, t, False).groupBy("token")
-                         .agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo != hi").select("token"))
-    held = prefixes(mine, frequent, t, True)
-    held = materialize(held.join(F.broadcast(across) if across.count() <= SMALL else across, "token"))
+    tokens = materialize(prefixes(mine, frequent, t))
+    across = tokens.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo != hi").select("token")
+    held = materialize(tokens.join(across, "token"))
     x, y = (held.select("token", *[F.col(c).alias(f"{c}{k}") for c in ("uid", "grp", "n", "place")]) for k in "ab")
     need = F.ceil(F.lit(t) * (F.col("na") + F.col("nb")) / F.lit(100 + t))
     # the overlap can't be larger than what stands before a shared shingle and from it on

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, small_batches
 
 TRIGGER = 32
 BASE = 0x9E3779B97F4A7C15
@@ -297,6 +297,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, carry: tuple[str, ...] =
     """
     if not 95 <= length <= 159:
         raise ValueError("length must be 95 to 159")  # three times 64 bytes cover a phrase
+    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("bytes"), *carry)
     base, again = ordered(docs)
     once = base.select("doc", "sub", "bytes")
