@@ -82,7 +82,12 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, seed: str = "mix"
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents: each row once per epoch that takes it, whole or,
     at the cut, as the text up to its last taken word.  Same columns as
-    ``docs``.  Needs unique doc_ids."""
+    ``docs``.  Where ids are null or occur again, rows are numbered and take
+    their hash-random keys from those numbers."""
+    if not docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        numbered = materialize(docs.withColumn("_row", F.monotonically_increasing_id()))
+        own = numbered.withColumnRenamed("doc_id", "_own").withColumnRenamed("_row", "doc_id")
+        return mixed_documents(own, **options).drop("doc_id").withColumnRenamed("_own", "doc_id").select(docs.columns)
     plan = mix(docs, **options).where("taken > 0").select(
         F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
     text = docs["text"]
