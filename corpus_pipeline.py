@@ -7,48 +7,59 @@ return the columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stridewell.llm import mixing, ngramjoin, packing, repeats, toxicity
 from stridewell.llm.common import materialize
 
 
+def plain(docs: DataFrame) -> DataFrame:
+    """``docs`` with the columns that no stage uses under names that clash with nothing."""
+    used = ("doc_id", "text", "source", "n_chars")
+    return docs.toDF(*[c if c in used else f"_extra{i}" for i, c in enumerate(docs.columns)])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier rejects go."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model, *docs.columns).where("predicted = 0").select(docs.columns)
+    own = plain(docs)
+    clean = toxicity.score(own, model, *own.columns).where("predicted = 0")
+    return clean.select(own.columns).toDF(*docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that links of similar n-gram sets join, the one with the
-    smallest id stays; rows without an id, and all but one row of equal ids and
-    groups, go with their group."""
-    found = ngramjoin.ngram_components(docs)
-    keep = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi")
-    if kept.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept.select(docs.columns)
-    first = Window.partitionBy("doc_id").orderBy(*[F.col(c) for c in docs.columns if c != "doc_id"])
-    return kept.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").select(docs.columns)
+    smallest id stays; null ids stand last.  Rows with equal or null ids are
+    judged each by its own text, so of equal rows one stays."""
+    if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        found = ngramjoin.ngram_components(docs)
+        return docs.join(found.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    rows = materialize(plain(docs).withColumn("_row", F.monotonically_increasing_id()))
+    found = ngramjoin.similar_sets(rows.select(F.col("_row").alias("uid"), F.col("text").cast("binary").alias("text")))
+    first = found.join(rows.select(F.col("_row").alias("uid"), "doc_id"), "uid").groupBy("grp").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("first"))
+    keep = first.select(F.col("first.uid").alias("_row"))
+    return rows.join(keep, "_row", "left_semi").drop("_row").toDF(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes of passages that an earlier document or place has go.  Where a cut
     leaves part of a character, that part goes too; texts with nothing left stay,
     empty."""
-    carry = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    cut = repeats.remove_repeats(docs, carry=carry)
+    own = plain(docs)
+    carry = tuple(c for c in own.columns if c not in ("doc_id", "text", "n_chars"))
+    cut = repeats.remove_repeats(own, carry=carry)
     text = F.when(F.is_valid_utf8(F.col("kept").cast("string")), F.col("kept").cast("string")).otherwise(
-        F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "�", ""))
+        F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "\uFFFD", ""))
     cut = cut.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long"))
-    return cut.select(docs.columns)
+    return cut.select(own.columns).toDF(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each source's documents as often as its target takes them; the document at
     the cut in part."""
-    return mixing.mixed_documents(docs)
+    return mixing.mixed_documents(plain(docs)).toDF(*docs.columns)
 
 
 def pack_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
