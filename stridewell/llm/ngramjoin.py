@@ -5,7 +5,9 @@ those found to be frequent, by frequency.  Equal sets collapse.  Min-hashes give
 each set a few likely partners; their verified links merge most groups of copies
 early.  Then an exact prefix filter runs between different groups only: two
 linked sets share at least l shingles among the first n - ceil(t n) + l of each.
-Whatever passes is verified.
+Texts whose prefixes hold a shingle that many others hold are put into bins, and
+the filter pairs bins instead of texts, so a large group costs rows by the square
+of its bins only.  Whatever passes is verified.
 
 Verification stores a set's partners as ordered sequences in a tree (sorted, so
 that common beginnings are neighbours), walks it once against the set, counts a
@@ -29,6 +31,7 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 HASHES = 4  # min-hashes for the early links
 FREQUENT, OFTEN = 1 << 16, 4  # frequent shingles kept at most; in so many texts of a task at least
 SHARED = 4  # shingles that prefixes of larger sets have to share
+CROWD, BIN = 16, 64  # texts with a shingle in more prefixes than CROWD are compared in bins of about BIN
 MOST_WORDS = 200_000  # words a task remembers
 SMALL = 400_000  # rows that may be broadcast
 
@@ -145,12 +148,18 @@ def joined(docs: DataFrame, rows: DataFrame, count: int) -> DataFrame:
     return docs.select("uid", "text").join(F.broadcast(rows) if count <= SMALL else rows, "uid")
 
 
-def tree_links(a_set: np.ndarray, partners: list[tuple[int, np.ndarray]], t: int) -> list[int]:
-    """Ids of the partners that reach the similarity, by one walk of their tree."""
+def tree_order(partners: list[np.ndarray]) -> list[int]:
+    """The order in which the partners' sequences stand in their tree."""
+    return sorted(range(len(partners)), key=lambda i: partners[i].astype(">u8").tobytes())
+
+
+def tree_links(a_set: np.ndarray, partners: list[np.ndarray], order, t: int) -> list[int]:
+    """Those numbers in ``order`` (a part of tree_order) whose partners reach the
+    similarity, by one walk of their tree."""
     found, n = [], len(a_set)
-    order = sorted(partners, key=lambda p: p[1].astype(">u8").tobytes())
     path, counts, dead = np.zeros(0, np.uint64), np.zeros(1, np.int64), None
-    for who, seq in order:
+    for who in order:
+        seq = partners[who]
         same = min(len(path), len(seq))
         differs = np.flatnonzero(path[:same] != seq[:same])
         depth = int(differs[0]) if len(differs) else same
@@ -178,43 +187,81 @@ def tree_links(a_set: np.ndarray, partners: list[tuple[int, np.ndarray]], t: int
     return found
 
 
-def verify(docs: DataFrame, pairs: DataFrame, frequent, t: int) -> DataFrame:
-    """Those of ``pairs(a, b)`` of uids whose sets reach the similarity."""
+def prefix_size(size: np.ndarray, t: int) -> np.ndarray:
+    return np.minimum(size, size + (t * size) // -100 + np.where(size < 5 * SHARED, 1, SHARED))
+
+
+def links_between(left: list[tuple], right: list[tuple], t: int) -> list[tuple[int, int]]:
+    """Linked (uid, uid) of two lists of (uid, grp, set), of different groups."""
+    seqs = [r[2] for r in right]
+    size, grp = np.array([len(x) for x in seqs]), np.array([r[1] for r in right])
+    order = np.array(tree_order(seqs))
+    take = prefix_size(size, t)
+    heads, of = np.concatenate([x[:k] for x, k in zip(seqs, take)]), np.repeat(np.arange(len(seqs)), take)
+    least = np.where(size < 5 * SHARED, 1, SHARED)
+    out = []
+    for uid, own, a in left:
+        fits = (grp != own) & (np.minimum(size, len(a)) * 100 >= np.maximum(size, len(a)) * t)
+        if len(seqs) > 4 and fits.any():  # the filter for these two texts
+            mine = a[:int(prefix_size(np.array([len(a)]), t)[0])]
+            hit = mine[np.minimum(np.searchsorted(mine, heads), len(mine) - 1)] == heads
+            fits &= np.bincount(of, hit, len(seqs)) >= (1 if len(a) < 5 * SHARED else least)
+        if fits.any():
+            out += [(uid, right[k][0]) for k in tree_links(a, seqs, order[fits[order]], t)]
+    return out
+
+
+def verify(docs: DataFrame, pairs: DataFrame, homes: DataFrame | None, frequent, t: int) -> DataFrame:
+    """Links ``a, b`` of uids between the texts of ``pairs(a, b)`` of bins.
+
+    ``docs``: uid, text, grp; texts of one grp are not compared.  ``homes(uid,
+    bin)`` has the texts whose bin is not their own uid."""
     spark = docs.sparkSession
     pairs = materialize(pairs)
-    total = pairs.count()
-    ids = materialize(pairs.select(F.col("a").alias("uid")).unionAll(pairs.select("b")).distinct())
+    ids = pairs.select(F.col("a").alias("bin")).unionAll(pairs.select("b")).distinct()
+    if homes is None:
+        members = ids.select("bin", F.col("bin").alias("uid"))
+    else:
+        # a bin without members is a text
+        members = (ids.join(homes.select("bin", "uid"), "bin", "left").select("bin", F.coalesce("uid", "bin").alias("uid")))
+    members = materialize(members)
 
     def encode(batches):
         s = Shingler(frequent.value)
         for batch in batches:
             for k in range(0, batch.num_rows, 200):
                 sets = s.sets(batch["text"].slice(k, 200).to_pylist())
-                yield pa.RecordBatch.from_arrays([batch["uid"].slice(k, 200), pa.array([x.tobytes() for x in sets], pa.binary())], ["uid", "seq"])
-
-    sets = materialize(joined(docs, ids, ids.count()).mapInArrow(encode, "uid long, seq binary"))
-    crowd = pairs.groupBy("a").agg(F.ceil(F.count("*") / 256).alias("parts"))
-    dealt = pairs.join(crowd, "a").withColumn("part", F.pmod(F.xxhash64("b"), "parts"))
-    rows = (dealt.join(sets.withColumnRenamed("uid", "b"), "b").select("a", "part", "b", "seq")
-            .unionAll(dealt.select("a", "part").distinct().join(sets.withColumnRenamed("uid", "a"), "a").select("a", "part", F.col("a").alias("b"), "seq")))
-    bins = max(spark.sparkContext.defaultParallelism, -(-total // 500))
-    rows = rows.withColumn("bin", F.pmod(F.xxhash64("a", "part"), F.lit(bins)))
+                yield pa.RecordBatch.from_arrays([*[batch[c].slice(k, 200) for c in ("bin", "uid", "grp")], pa.array([x.tobytes() for x in sets], pa.binary())],
+                                                 ["bin", "uid", "grp", "seq"])
+
+    n_members = members.count()
+    sets = materialize(docs.join(F.broadcast(members) if n_members <= SMALL else members, "uid").select("bin", "uid", "grp", "text").mapInArrow(
+        encode, "bin long, uid long, grp long, seq binary"))
+    large = sets.groupBy("bin").agg(F.count("*").alias("c"))
+    sized = pairs.join(large.withColumnRenamed("bin", "b"), "b")
+    crowd = sized.groupBy("a").agg(F.ceil(F.sum("c") / 256).alias("parts"))
+    dealt = materialize(sized.join(crowd, "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").alias("part")))
+    rows = (dealt.join(sets.withColumnRenamed("bin", "b"), "b").select("a", "part", F.lit(1).alias("side"), "b", "uid", "grp", "seq")
+            .unionAll(dealt.select("a", "part").distinct().join(sets.withColumnRenamed("bin", "a"), "a")
+                      .select("a", "part", F.lit(0).alias("side"), F.col("a").alias("b"), "uid", "grp", "seq")))
+    bins = max(spark.sparkContext.defaultParallelism, -(-dealt.count() // 500))
+    rows = rows.withColumn("nth", F.pmod(F.xxhash64("a", "part"), F.lit(bins)))
 
     def walk(group):
-        a, part, b = (group[c].to_numpy() for c in ("a", "part", "b"))
+        a, part, side, b, uid, grp = (group[c].to_numpy() for c in ("a", "part", "side", "b", "uid", "grp"))
         seq = group["seq"].combine_chunks()
-        order = np.lexsort((a != b, part, a))
+        order = np.lexsort((side, part, a))
         edges = np.flatnonzero(np.concatenate([[True], (np.diff(a[order]) != 0) | (np.diff(part[order]) != 0), [True]]))
-        out = [], []
+        out = []
         for lo, hi in zip(edges[:-1], edges[1:]):
-            members = [(int(b[i]), np.frombuffer(seq[int(i)].as_py(), np.uint64)) for i in order[lo:hi]]
-            own = members[0]
-            hits = tree_links(own[1], members[1:], t)
-            out[0].extend([own[0]] * len(hits))
-            out[1].extend(hits)
-        return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
+            sides = [], []
+            for i in order[lo:hi]:
+                sides[side[i]].append((int(uid[i]), int(grp[i]), np.frombuffer(seq[int(i)].as_py(), np.uint64)))
+            out += links_between(*sides, t) if sides[1] else []
+        out = np.array(out, np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(out[:, 0]), "b": pa.array(out[:, 1])})
 
-    return materialize(rows.groupBy("bin").applyInArrow(walk, "a long, b long"))
+    return materialize(rows.groupBy("nth").applyInArrow(walk, "a long, b long"))
 
 
 def prefixes(docs: DataFrame, frequent, t: int) -> DataFrame:
@@ -226,7 +273,7 @@ def prefixes(docs: DataFrame, frequent, t: int) -> DataFrame:
             for k in range(0, len(uid), 500):
                 sets = s.sets(batch["text"].slice(k, 500).to_pylist())
                 size = np.array([len(x) for x in sets], np.int64)
-                take = np.minimum(size, size + (t * size) // -100 + np.where(size < 5 * SHARED, 1, SHARED))
+                take = prefix_size(size, t)
                 token = np.concatenate([*[x[:p] for x, p in zip(sets, take)], np.zeros(0, np.uint64)]).view(np.int64)
                 of = k + np.repeat(np.arange(len(sets)), take)
                 place = np.arange(len(of)) - np.repeat(np.cumsum(take) - take, take)
@@ -255,23 +302,35 @@ def similar_sets(docs: DataFrame, t: int = 80) -> DataFrame:
     heads = keyed.groupBy("k", "m").agg(F.min("uid").alias("a"), F.min_by("n", "uid").alias("n_a"), F.count("*").alias("c")).where("c > 1").drop("c")
     early = (keyed.join(heads, ["k", "m"]).where((F.col("a") != F.col("uid")) & (F.least("n", "n_a") * 100 >= F.greatest("n", "n_a") * t))
              .select("a", F.col("uid").alias("b")).distinct())
-    links = verify(docs, early, frequent, t)
+    alone = docs.select("uid", "text", F.col("uid").alias("grp"))
+    links = verify(alone, early, None, frequent, t)
     groups = materialize(components(reps.select(F.col("uid").alias("id")), links).select(F.col("id").alias("uid"), F.col("component").alias("grp")))
-    n_groups = groups.count()
     # the exact filter between groups
-    mine = joined(docs, groups, n_groups)
+    mine = joined(docs, groups, groups.count())
     tokens = materialize(prefixes(mine, frequent, t))
-    across = tokens.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo != hi").select("token")
+    across = (tokens.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.count("*").alias("c"))
+              .where("lo != hi").select("token", "c"))
     held = materialize(tokens.join(across, "token"))
-    x, y = (held.select("token", *[F.col(c).alias(f"{c}{k}") for c in ("uid", "grp", "n", "place")]) for k in "ab")
-    need = F.ceil(F.lit(t) * (F.col("na") + F.col("nb")) / F.lit(100 + t))
-    # the overlap can't be larger than what stands before a shared shingle and from it on
-    reach = F.least("placea", "placeb") + F.least(F.col("na") - F.col("placea"), F.col("nb") - F.col("placeb"))
-    shared = (x.join(y, "token").where((F.col("grpa") < F.col("grpb"))
-                                       & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * t) & (reach >= need))
-              .groupBy("uida", "uidb").agg(F.count("*").alias("c"), F.min(F.least("na", "nb")).alias("n")))
-    late = shared.where((F.col("n") < 5 * SHARED) | (F.col("c") >= SHARED)).select(F.col("uida").alias("a"), F.col("uidb").alias("b"))
-    more = verify(docs, late, frequent, t)
+    homes = materialize(held.where(F.col("c") > CROWD).groupBy("uid").agg(F.max(F.struct("c", "token")).alias("m"))
+                        .select("uid", F.xxhash64("m.token", F.pmod(F.xxhash64("uid"), F.ceil(F.col("m.c") / BIN))).alias("bin")))
+    n_homes = homes.count()
+    placed = held.join(F.broadcast(homes) if n_homes <= SMALL else homes, "uid", "left")
+    rest = F.col("n") - F.col("place")
+    sides = (placed.where("bin is null").select("token", F.col("uid").alias("bin"), F.col("n").alias("lo"), F.col("n").alias("hi"), "place",
+                                                rest.alias("rest"), F.col("grp").alias("g"), F.col("grp").alias("h"))
+             .unionAll(placed.where("bin is not null").groupBy("token", "bin").agg(
+                 F.min("n"), F.max("n"), F.max("place"), F.max(rest), F.min("grp"), F.max("grp"))))
+    x, y = (sides.select("token", *[F.col(c).alias(f"{c}{k}") for c in sides.columns[1:]]) for k in "ab")
+    # bounds that hold for any two texts of two bins: of sizes, and of the overlap, which can't
+    # be larger than what stands before a shared shingle and from it on
+    need = F.ceil(F.lit(t) * (F.col("loa") + F.col("lob")) / F.lit(100 + t))
+    reach = F.least("placea", "placeb") + F.least("resta", "restb")
+    several = (F.col("ga") != F.col("gb")) | (F.col("ga") != F.col("ha")) | (F.col("gb") != F.col("hb"))
+    shared = (x.join(y, "token").where((F.col("bina") <= F.col("binb")) & several
+                                       & (F.least("hia", "hib") * 100 >= F.greatest("loa", "lob") * t) & (reach >= need))
+              .groupBy("bina", "binb").agg(F.count("*").alias("c"), F.min(F.least("loa", "lob")).alias("n")))
+    late = shared.where((F.col("n") < 5 * SHARED) | (F.col("c") >= SHARED)).select(F.col("bina").alias("a"), F.col("binb").alias("b"))
+    more = verify(mine, late, homes, frequent, t)
     ends = materialize(components(reps.select(F.col("uid").alias("id")), links.unionAll(more)).withColumnRenamed("id", "uid"))
     by_set = reps.join(ends, "uid").select("s1", "s2", "n", F.col("component").alias("grp"))
     out = rows.join(by_set, ["s1", "s2", "n"], "left")

@@ -52,7 +52,10 @@ def texts():
     return out
 
 
-def test_ngram_join_finds_every_link(spark):
+@pytest.mark.parametrize("crowd", [16, 2])
+def test_ngram_join_finds_every_link(spark, monkeypatch, crowd):
+    monkeypatch.setattr(ngramjoin, "CROWD", crowd)
+    monkeypatch.setattr(ngramjoin, "BIN", crowd * 2)
     rows = [(3 * i, t, "u", 1, 2) for i, t in enumerate(texts())]
     sets = [shingles(r[1]) for r in rows]
     links = [(i, j) for i, j in itertools.combinations(range(len(rows)), 2)
@@ -80,7 +83,8 @@ def test_tree_walk_equals_set_arithmetic():
             keep = a[r.random(len(a)) < r.choice([0.7, 0.9, 0.95, 1])]
             partners.append((k, np.unique(np.concatenate([keep, r.integers(0, 400, r.integers(1, 20)).astype(np.uint64)]))))
         want = {k for k, b in partners if 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b))}
-        assert set(ngramjoin.tree_links(a, partners, 80)) == want
+        seqs = [b for _, b in partners]
+        assert set(ngramjoin.tree_links(a, seqs, ngramjoin.tree_order(seqs), 80)) == want
 
 
 def vectors():
