@@ -31,7 +31,7 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 HASHES = 4  # min-hashes for the early links
 FREQUENT, OFTEN = 1 << 16, 4  # frequent shingles kept at most; in so many texts of a task at least
 SHARED = 4  # shingles that prefixes of larger sets have to share
-CROWD, BIN = 16, 64  # texts with a shingle in more prefixes than CROWD are compared in bins of about BIN
+CROWD, BIN = 48, 64  # texts with a shingle in more prefixes than CROWD are compared in bins of about BIN
 MOST_WORDS = 200_000  # words a task remembers
 SMALL = 400_000  # rows that may be broadcast
 
@@ -238,7 +238,12 @@ def verify(docs: DataFrame, pairs: DataFrame, homes: DataFrame | None, frequent,
     sets = materialize(docs.join(F.broadcast(members) if n_members <= SMALL else members, "uid").select("bin", "uid", "grp", "text").mapInArrow(
         encode, "bin long, uid long, grp long, seq binary"))
     large = sets.groupBy("bin").agg(F.count("*").alias("c"))
-    sized = pairs.join(large.withColumnRenamed("bin", "b"), "b")
+    # the larger bin's texts are sent once for many smaller ones
+    sized = (pairs.join(large.select(F.col("bin").alias("a"), F.col("c").alias("ca")), "a")
+             .join(large.select(F.col("bin").alias("b"), F.col("c").alias("cb")), "b")
+             .select(F.when(F.col("ca") < F.col("cb"), F.col("b")).otherwise(F.col("a")).alias("a"),
+                     F.when(F.col("ca") < F.col("cb"), F.col("a")).otherwise(F.col("b")).alias("b"),
+                     F.least("ca", "cb").alias("c")))
     crowd = sized.groupBy("a").agg(F.ceil(F.sum("c") / 256).alias("parts"))
     dealt = materialize(sized.join(crowd, "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").alias("part")))
     rows = (dealt.join(sets.withColumnRenamed("bin", "b"), "b").select("a", "part", F.lit(1).alias("side"), "b", "uid", "grp", "seq")
