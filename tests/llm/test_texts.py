@@ -48,6 +48,22 @@ def test_html_removes_what_pages_share(spark):
     assert htmltext.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
+@pytest.mark.parametrize("page, text", [
+    ('<p>before</p><svg class="i"/><p>after one</p><p>after two</p>', "before after one after two"),
+    ("<button-group>in</button-group><p>rest</p>", "in rest"),
+    ("<html><head><title>t</title><body><article>all of it</article>", "all of it"),
+    ("<html><head><meta charset=utf-8><title>t</title><p>first</p><p>second", "first second"),
+    ("<head>no tags", "no tags"),
+    ('<p>a<svg><title/><path d="x"/><style/></svg>b</p><p>c', "ab c"),
+    ("<p>a</p><svg><path><p>b</p><svg></svg>c", "a b c"),
+    ("<p>a</p><iframe src=x/><p>b</p><button>no<div>no</div></button>c<select><option>1</select>d", "a b cd"),
+    ("<p>a<button>b<object>c<template>d", "abcd"),
+    ("<p>a<!-->b<script>no</scripts>no</script>c<textarea>no", "abc"),
+])
+def test_html_loses_nothing_after_odd_markup(page, text):
+    assert htmltext.main_text(page) == text
+
+
 def test_lm_counts_and_base_score(spark):
     rows = [(r.doc_id, r.text, None) for r in pd.read_parquet(f"{DIR}/documents.parquet").itertuples()] + odd_rows()
     got = lm.score(frame(spark, rows)).collect()
