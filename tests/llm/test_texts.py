@@ -48,6 +48,15 @@ def test_html_removes_what_pages_share(spark):
     assert htmltext.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
+def test_html_copies_are_no_evidence_of_boilerplate(spark):
+    page = "<html><body><div class='content'><h1>{0}</h1><p>Story {0}</p></div><div class='low'>All rights reserved</div></body></html>"
+    rows = [(i, f"https://copies.example/{i}", page.format(0)) for i in range(9)]
+    rows += [(20 + i, f"https://mixed.example/{i}", page.format(max(0, i - 30))) for i in range(37)]
+    got = {r.page_id: r.text for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {got[i] for i in range(9)} == {"0 Story 0 All rights reserved"}  # one text says nothing of what is shared
+    assert all(got[20 + i] == f"{max(0, i - 30)} Story {max(0, i - 30)}" for i in range(37))
+
+
 @pytest.mark.parametrize("page, text", [
     ('<p>before</p><svg class="i"/><p>after one</p><p>after two</p>', "before after one after two"),
     ("<button-group>in</button-group><p>rest</p>", "in rest"),
