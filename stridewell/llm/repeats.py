@@ -13,6 +13,10 @@ just those are sorted, as far as the wanted length, and of each run of equal
 ones all but the first in corpus order are repeated.  Phrases whose trigger is
 alone, most of a text that isn't repetitive, need neither.
 
+A trigger with many such phrases is not sorted in one place: each task hashes
+their strings (128 bits), keeps the first of equal ones, and only these meet, by
+hash, those of other tasks.
+
 Each task first settles what repeats within its own texts, so a passage that
 many texts share reaches the shuffle once per task.
 """
@@ -32,21 +36,25 @@ TRIGGER = 32
 BASE = 0x9E3779B97F4A7C15
 #: A random odd number for each byte.
 BYTES = np.random.default_rng(11).integers(0, 2 ** 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: The second half of a string's hash has its own.
+BASE2 = 0xD1B54A32D192ED03
+BYTES2 = np.random.default_rng(12).integers(0, 2 ** 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SLICE = 1 << 20  # bytes hashed at a time
 HELD = 1_500_000  # phrases a task settles at a time
-LANE = 4096  # phrases of a trigger that are sorted together
+LANE = 4096  # phrases of a trigger that are sorted together; more are compared string by string
+STRINGS = 1_000_000  # strings of crowded triggers a task settles at a time
 
 
-def rolling(buf: np.ndarray, width: int) -> np.ndarray:
+def rolling(buf: np.ndarray, width: int, base: int = BASE, values: np.ndarray = BYTES) -> np.ndarray:
     """Polynomial hash of every ``width`` bytes (mod 2**64), by doubling."""
-    h, span, out, have, power = BYTES[buf], 1, None, 0, BASE
+    h, span, out, have, power = values[buf], 1, None, 0, base
     while True:
         if width & span:
             if out is None:
                 out = h
             else:  # the longer part stands in front
                 n = min(len(h), len(out) - span) if len(out) > span else 0
-                out = h[:n] * np.uint64(pow(BASE, have, 1 << 64)) + out[span:span + n]
+                out = h[:n] * np.uint64(pow(base, have, 1 << 64)) + out[span:span + n]
             have += span
         if span * 2 > width:
             return out[:max(0, len(buf) - width + 1)]
@@ -190,7 +198,7 @@ def cut_out(docs: DataFrame, places: DataFrame, length: int) -> DataFrame:
 def sort_suffixes(length: int):
     """Repeated strings among the phrases of some triggers, as runs of starts."""
     def run(group):
-        trigger, doc, sub, at, back, fore, lanes, lane = (group[c].to_numpy() for c in ("trigger", "doc", "sub", "at", "back", "fore", "lanes", "lane"))
+        trigger, doc, sub, at, back, fore = (group[c].to_numpy() for c in ("trigger", "doc", "sub", "at", "back", "fore"))
         pieces = group["piece"].combine_chunks()
         offsets = np.frombuffer(pieces.buffers()[1], np.int32)[pieces.offset:pieces.offset + len(pieces) + 1].astype(np.int64)
         data = np.frombuffer(pieces.buffers()[2], np.uint8)
@@ -204,8 +212,6 @@ def sort_suffixes(length: int):
             of = np.repeat(rows, n)
             nth = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
             far = back[of] - nth  # from the string's start to its trigger
-            mine = far % lanes[of] == lane[of]
-            of, nth, far = of[mine], nth[mine], far[mine]
             strings = data[(offsets[of] + nth)[:, None] + np.arange(length)]
             # equal strings have equal triggers, and those at the same place
             suffix = np.ascontiguousarray(strings).view(f"V{length}").ravel()
@@ -214,16 +220,63 @@ def sort_suffixes(length: int):
             same = np.concatenate([[False], (rank[by][1:] == rank[by][:-1]) & (far[by][1:] == far[by][:-1]) & (trigger[of][by][1:] == trigger[of][by][:-1])])[:len(by)]
             hit = by[same]
             found.append(np.stack([doc[of[hit]], sub[of[hit]], at[of[hit]] - far[hit]]))
-        doc, sub, start = np.concatenate([np.zeros((3, 0), np.int64), *found], axis=1)
-        by = np.lexsort((start, sub, doc))
-        doc, sub, start = doc[by], sub[by], start[by]
-        new = np.concatenate([[True], (np.diff(doc) != 0) | (np.diff(sub) != 0) | (np.diff(start) > 1)])[:len(by)]
-        head = np.flatnonzero(new)
-        tail = np.concatenate([head[1:], [len(by)]])[:len(head)] - 1
-        return pa.table({"doc": doc[head], "sub": sub[head].astype(np.int32), "first": start[head].astype(np.int32), "last": start[tail].astype(np.int32)})
+        doc, sub, first, last = merged(*np.concatenate([np.zeros((3, 0), np.int64), *found], axis=1))
+        return pa.table({"doc": doc, "sub": sub.astype(np.int32), "first": first.astype(np.int32), "last": last.astype(np.int32)})
     return run
 
 
+def crowded_strings(length: int):
+    """Strings of phrases with crowded triggers: the first of equal ones in a task
+    by its hash (own 0), the others as runs of starts (own 1)."""
+    def settled(batches) -> pa.RecordBatch:
+        whole = pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+        doc, sub, at, back, fore = (whole[c].to_numpy() for c in ("doc", "sub", "at", "back", "fore"))
+        pieces = whole["piece"]
+        offsets = np.frombuffer(pieces.buffers()[1], np.int32)[pieces.offset:pieces.offset + len(pieces) + 1].astype(np.int64)
+        data = np.frombuffer(pieces.buffers()[2], np.uint8)[:offsets[-1]]
+        n = back - fore + 1
+        of = np.repeat(np.arange(len(n)), n)
+        nth = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+        place, start = offsets[of] + nth, (at - back)[of] + nth
+        # equal strings have equal triggers at the same place, so the bytes say all
+        a, b = mixed(rolling(data, length)[place]).view(np.int64), mixed(rolling(data, length, BASE2, BYTES2)[place]).view(np.int64)
+        doc, sub = doc[of], sub[of]
+        by = np.lexsort((start, sub, doc, b, a))
+        a, b, doc, sub, start = a[by], b[by], doc[by], sub[by], start[by]
+        old = np.concatenate([[False], (a[1:] == a[:-1]) & (b[1:] == b[:-1])])
+        new, runs = ~old, merged(doc[old], sub[old].astype(np.int64), start[old].astype(np.int64))
+        apart = mixed((runs[0].view(np.uint64) * np.uint64(BASE)) ^ runs[2].astype(np.uint64)).view(np.int64)
+        own = np.repeat([0, 1], [int(new.sum()), len(apart)])
+        columns = [own, np.concatenate([a[new], apart]), np.concatenate([b[new], apart]),
+                   *(np.concatenate([x[new], y]) for x, y in zip((doc, sub, start, start), runs))]
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64 if k in (1, 2, 3) else np.int32)) for k, c in enumerate(columns)],
+                                          ["own", "a", "b", "doc", "sub", "first", "last"])
+
+    def run(batches):
+        parts, held = [], 0
+        for batch in batches:
+            most = max(1, STRINGS // (2 * length))
+            for k in range(0, batch.num_rows, most):
+                parts.append(batch.slice(k, most))
+                held += int((parts[-1]["back"].to_numpy() - parts[-1]["fore"].to_numpy() + 1).sum())
+                if held > STRINGS:
+                    yield settled(parts)
+                    parts, held = [], 0
+        if held:
+            yield settled(parts)
+    return run
+
+
+def merged(doc: np.ndarray, sub: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, ...]:
+    """String starts as runs: doc, sub, first, last."""
+    by = np.lexsort((start, sub, doc))
+    doc, sub, start = doc[by], sub[by], start[by]
+    new = np.concatenate([[True], (np.diff(doc) != 0) | (np.diff(sub) != 0) | (np.diff(start) > 1)])[:len(by)]
+    head = np.flatnonzero(new)
+    tail = np.concatenate([head[1:], [len(by)]])[:len(head)] - 1
+    return doc[head], sub[head], start[head], start[tail]
+
+
 def ordered(docs: DataFrame) -> tuple[DataFrame, bool]:
     """``docs`` (doc_id, bytes) with ``doc`` and ``sub``, the corpus order;
     whether an id occurs again."""
@@ -252,14 +305,19 @@ def repeated_runs(base: DataFrame, length: int) -> DataFrame:
                         .when((F.col("kind") == OPEN) & F.coalesce("several", F.lit(False)), SHARED).otherwise(F.col("kind")))
         .where(F.col("kind").isin(SHARED, REPEATED)).select("kind", "trigger", "doc", "sub", "at", "back", "fore"))
     shared = told.where(F.col("kind") == SHARED)
-    crowds = (shared.groupBy("trigger").agg(F.count("*").alias("n")).where(F.col("n") > LANE)
-              .select("trigger", F.least(F.lit(length), F.ceil(F.col("n") / LANE)).cast("int").alias("lanes")))
-    pieces = (cut_out(base, shared, length).join(crowds, "trigger", "left")
-              .withColumn("lanes", F.coalesce("lanes", F.lit(1)))
-              .withColumn("lane", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1))))
+    crowds = materialize(shared.groupBy("trigger").agg(F.count("*").alias("n")).where(F.col("n") > LANE).select("trigger"))
+    some = not crowds.isEmpty()
+    crowds = F.broadcast(crowds)  # one row for LANE of the shared phrases at most
+    few = shared.join(crowds, "trigger", "left_anti") if some else shared
     groups = max(64, -(-shared.count() // 8_000))
-    pieces = pieces.withColumn("bin", F.pmod(F.xxhash64("trigger", "lane"), F.lit(groups)).cast("int"))
+    pieces = cut_out(base, few, length).withColumn("bin", F.pmod(F.xxhash64("trigger"), F.lit(groups)).cast("int"))
     found = pieces.groupBy("bin").applyInArrow(sort_suffixes(length), "doc long, sub int, first int, last int")
+    if some:
+        strings = cut_out(base, shared.join(crowds, "trigger", "left_semi"), length).mapInArrow(
+            crowded_strings(length), "own int, a long, b long, doc long, sub int, first int, last int")
+        # a hash has a row of each task at most; rows of own 1 are spread and stay
+        nth = F.row_number().over(Window.partitionBy("own", "a", "b").orderBy("doc", "sub", "first"))
+        found = found.unionAll(strings.withColumn("nth", nth).where("own = 1 or nth > 1").select("doc", "sub", "first", "last"))
     whole = told.where(F.col("kind") == REPEATED).select(
         "doc", "sub", (F.col("at") - F.col("back")).alias("first"), (F.col("at") - F.col("fore")).alias("last"))
     return whole.unionAll(found)

@@ -260,6 +260,26 @@ def test_repeats_with_crowded_triggers_and_long_texts(spark, monkeypatch):
     assert sorted(map(tuple, repeats.remove_repeats(df, remains=False).collect())) == brute_repeats(rows)
 
 
+def test_repeats_put_no_crowded_trigger_into_one_group(spark, monkeypatch):
+    real = repeats.sort_suffixes
+
+    def watched(length):
+        run = real(length)
+
+        def small(group):
+            assert group.num_rows < 150
+            return run(group)
+        return small
+
+    monkeypatch.setattr(repeats, "sort_suffixes", watched)
+    monkeypatch.setattr(repeats, "LANE", 50)
+    r, core = random.Random(4), "one passage that many of the texts hold, each of them elsewhere and between other words: "
+    rows = [(i, "".join(r.choice("xyz") for _ in range(90)) + r.choice(["#", "a1b2c3d4e5f6g7h8"]) + core + "".join(r.choice("xyz") for _ in range(90))) for i in range(300)]
+    df = spark.createDataFrame([(i, t, "s", *EXTRA) for i, t in rows], DOCS).repartition(3)
+    got = sorted(map(tuple, repeats.remove_repeats(df, remains=False).collect()))
+    assert got == brute_repeats(rows) and sum(r[2] for r in got) > 10_000
+
+
 def test_repeats_with_null_and_repeated_ids(spark):
     t = "".join(chr(97 + k * k % 26) + str(k) for k in range(80))
     got = repeats.remove_repeats(frame(spark, [(None, t, "a"), (1, t, "a"), (1, t, "b"), (1, t + "!", "b"), (2, None, "c")]), carry=("source",)).collect()
