@@ -88,8 +88,6 @@ NO_LICENSES = [
     "Copies without modification are of no use to the artist.",
     "The GNU is a large antelope.",
 ]
-#: A notice names its matter; this is part of the definition of one.
-CUE = r"(?i)licen[cs]|copyright|permission|redistribut|public domain|spdx"
 FAMILIES = ["unknown", *TEMPLATES]
 
 
@@ -110,6 +108,18 @@ def grams(line: Column) -> Column:
     return F.array_distinct(F.concat(w, F.when(F.size(w) > 1, pairs).otherwise(F.array().cast("array<string>"))))
 
 
+def gate(confirm: float) -> str:
+    """A pattern that every lower-case line holds which ``confirm`` can admit.  Such a
+    line lacks fewer than ``spare`` of a template's pairs, so it holds one of any
+    ``spare`` of them; the longest are taken."""
+    chosen = set()
+    for line in (line for lines in TEMPLATES.values() for line in lines):
+        pairs = sorted({g for g in grams_of(line) if " " in g}, key=lambda g: (-len(g), g))
+        spare = sum(k / len(pairs) >= confirm - 1e-9 for k in range(len(pairs) + 1))  # 1 + how many may be lacking
+        chosen.update(pairs[:spare])
+    return "(?<![a-z0-9])(?:" + "|".join(g.replace("0", "[0-9]+").replace(" ", "[^a-z0-9]+") for g in sorted(chosen)) + ")(?![a-z0-9])"
+
+
 def rows(spark: SparkSession, values: list, schema: str) -> DataFrame:
     """A small table from driver values, by way of one JSON literal."""
     one = spark.range(0, 1, 1, 1)
@@ -161,7 +171,8 @@ def scan(docs: DataFrame, confirm: float = 0.6) -> DataFrame:
 
     licenses: the families found, sorted, joined by commas, "" if none; n_notices:
     paragraphs (lines) accepted; best: the largest probability of an accepted
-    family, 0 if none.  Lines without a word of CUE are no notices.  Null and
+    family, 0 if none.  Only lines that hold none of the pairs of ``gate``, which
+    ``confirm`` would refuse, are left out before the classifier.  Null and
     empty texts have none.  Repeated rows are scanned each; extra columns are
     ignored; an empty table gives no rows.
     """
@@ -169,10 +180,10 @@ def scan(docs: DataFrame, confirm: float = 0.6) -> DataFrame:
     weights, bias, accept = train(spark)
     lines = [(k, line) for k, f in enumerate(FAMILIES) if k for line in TEMPLATES[f]]
     pairs = [{g for g in grams_of(line) if " " in g} for _, line in lines]
-    classes = range(len(FAMILIES))
+    classes, cue = range(len(FAMILIES)), F.lit(gate(confirm))
     table = rows(spark, [{"gram": g, "v": w + [1.0 / len(p) if g in p else 0.0 for p in pairs]} for g, w in weights.items()], "gram string, v array<double>")
     base = docs.select("doc_id", F.monotonically_increasing_id().alias("row"),
-                       F.when(F.rlike("text", F.lit(CUE)), F.filter(F.split("text", "\n"), lambda p: F.rlike(p, F.lit(CUE)))).alias("paragraphs"))
+                       F.when(F.rlike(F.lower("text"), cue), F.filter(F.split("text", "\n"), lambda p: F.rlike(F.lower(p), cue))).alias("paragraphs"))
     each = base.select("doc_id", "row", F.posexplode_outer("paragraphs").alias("place", "line"))
     each = each.select("doc_id", "row", "place", F.explode_outer(grams(F.col("line"))).alias("gram"))
     # the table is as large as the templates

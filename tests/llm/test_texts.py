@@ -209,6 +209,12 @@ def test_licenses(spark):
     assert len(odd) == len(odd_rows()) and {r.licenses for r in odd} == {""}
 
 
+def test_licenses_finds_every_template_line(spark):
+    lines = [(f, line) for f, lines in licenses.TEMPLATES.items() for line in lines] + [("gpl", "Released under the GPL, version 3 or any later version.")]
+    got = {r.doc_id: r.licenses for r in licenses.scan(frame(spark, [(i, "Some prose.\n" + line, None) for i, (_, line) in enumerate(lines)])).collect()}
+    assert {line: got[i] for i, (_, line) in enumerate(lines)} == {line: f for f, line in lines}
+
+
 def brute_repeats(rows, length=100):
     seen, out = set(), []
     for i, t in sorted(rows, key=lambda x: x[0]):
