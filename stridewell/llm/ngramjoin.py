@@ -1,13 +1,25 @@
 """Exact Jaccard join of word n-gram sets with prefix trees.
 
-Sets are hashed 5-word shingles in one global order: rare ones by hash, then
-those found to be frequent, by frequency.  Equal sets collapse.  Min-hashes give
-each set a few likely partners; their verified links merge most groups of copies
-early.  Then an exact prefix filter runs between different groups only: two
-linked sets share at least l shingles among the first n - ceil(t n) + l of each.
-Texts whose prefixes hold a shingle that many others hold are put into bins, and
-the filter pairs bins instead of texts, so a large group costs rows by the square
-of its bins only.  Whatever passes is verified.
+Sets are hashed 5-word shingles in one global order, that of their hashes.  One
+pass over the texts gives each set its size, a signature, min-hashes, a parity
+bitmap and its keys.
+
+Keys.  Sets of sizes a and b link only if they differ in at most
+(a + b)(100 - t) / (100 + t) shingles.  A set's shingles are dealt by hash into
+groups of at most about GROUP and, within a group, into slightly more parts than
+may differ there.  So two linked sets have a group with few enough differences,
+and in it a part that is not empty and equal in both: its hash is a key.  Of the
+keys of a group only the first in order stay, as many as may differ and one more
+(the prefix filter).  Unlike single shingles, parts are shared by hardly any texts
+that merely quote the same passage, and no table of frequent shingles is needed.
+
+Bitmaps.  The exclusive or of two parity bitmaps has at most as many ones as the
+sets have different shingles, so most pairs with a common key go without a look
+at the sets.
+
+Equal sets collapse first.  Each set is compared with the first one of each of
+its min-hashes; these links merge groups of copies early, and keys are followed
+only between different groups.  Whatever passes is verified.
 
 Verification stores a set's partners as ordered sequences in a tree (sorted, so
 that common beginnings are neighbours), walks it once against the set, counts a
@@ -17,23 +29,24 @@ cannot reach the needed overlap.
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize, small_batches
+from .common import components, discard, materialize, small_batches
 
 SIZE = 5
 BASE = np.uint64(0x9E3779B97F4A7C15)
 HASHES = 4  # min-hashes for the early links
-FREQUENT, OFTEN = 1 << 16, 4  # frequent shingles kept at most; in so many texts of a task at least
-SHARED = 4  # shingles that prefixes of larger sets have to share
-CROWD, BIN = 48, 64  # texts with a shingle in more prefixes than CROWD are compared in bins of about BIN
+LEAST_BAND = 5  # sizes under 2**5 are one band, then each doubling
+GROUP, MOST_GROUPS = 10, 11  # as powers of two
+TILE = 1024  # sets with one key that a task compares with each other
 MOST_WORDS = 200_000  # words a task remembers
-SMALL = 400_000  # rows that may be broadcast
+SMALL = 1_000_000  # rows of one or two longs that may be broadcast
+FLUSH = 3_000_000  # keys a task gathers before they are dealt out
+PER_RANGE = 1_500_000  # keys that are sorted together
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -43,23 +56,10 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 class Shingler:
-    """Texts -> their sets of shingle hashes, sorted in the global order."""
+    """Texts -> their sets of shingle hashes, sorted."""
 
-    def __init__(self, frequent: np.ndarray | None = None):
+    def __init__(self):
         self.numbers: dict[bytes, int] = {}
-        # frequent: the hashes in order, the most frequent last
-        rank = np.arange(len(frequent), dtype=np.uint64) if frequent is not None else np.zeros(0, np.uint64)
-        by = np.argsort(frequent) if frequent is not None else np.zeros(0, int)
-        self.frequent = frequent[by] if frequent is not None else np.zeros(0, np.uint64)
-        self.rank = rank[by] | np.uint64(1 << 63)
-
-    def order(self, h: np.ndarray) -> np.ndarray:
-        """Numbers that sort in the global order."""
-        out = h >> np.uint64(1)
-        if len(self.frequent):
-            at = np.minimum(np.searchsorted(self.frequent, h), len(self.frequent) - 1)
-            out = np.where(self.frequent[at] == h, self.rank[at], out)
-        return out
 
     def hashes(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """Shingle hashes of all texts, and how many each text has (with repeats)."""
@@ -87,11 +87,8 @@ class Shingler:
 
     def sets(self, texts: list[bytes | None]) -> list[np.ndarray]:
         h, count = self.hashes(texts)
-        h, out, at = self.order(h), [], 0
-        for n in count:
-            out.append(np.unique(h[at:at + n]))
-            at += n
-        return out
+        ends = np.cumsum(count)
+        return [np.unique(h[e - n:e]) for e, n in zip(ends, count)]
 
 
 def needed(a: int, b: int, t: int) -> int:
@@ -99,28 +96,134 @@ def needed(a: int, b: int, t: int) -> int:
     return -(-t * (a + b) // (100 + t))
 
 
-def first_pass(docs: DataFrame) -> DataFrame:
-    """kind 0: a row per text with the size, a 128-bit signature and min-hashes of
-    its set; kind 1: shingles of several texts of a task and their number."""
+def band_of(n: np.ndarray) -> np.ndarray:
+    """Number of bits of sizes, LEAST_BAND at least: a band's sizes are under 2**band."""
+    return np.maximum(LEAST_BAND, np.frexp(n.astype(np.float64))[1])
+
+
+def groups_of(band: np.ndarray) -> np.ndarray:
+    """Groups of a set of a band, as a power of two."""
+    return np.clip(band - GROUP, 0, MOST_GROUPS)
+
+
+class Cutter:
+    """Keys and bitmaps of sets; several sets, one after the other, at a time."""
+
+    def __init__(self, t: int):
+        if not 60 <= t <= 100:
+            raise ValueError("t must be 60 to 100")
+        self.t = t
+
+    def may_differ(self, n: np.ndarray) -> np.ndarray:
+        """Most differences from any set that a set of size n links with."""
+        return n * (100 - self.t) // self.t
+
+    def bitmaps(self, every: np.ndarray, size: np.ndarray) -> list[bytes]:
+        """Parity bitmaps of 2**(band + 1) bits.  The upper half folds onto the lower
+        as a set moves to the band below; a group's bits stand together."""
+        bits = np.int64(2) << band_of(size).astype(np.int64)
+        starts = np.cumsum(bits) - bits
+        at = np.repeat(starts, size) + (place(every) & np.repeat(bits - 1, size).astype(np.uint64)).astype(np.int64)
+        odd = np.bincount(at, minlength=int(bits.sum())).astype(np.uint8) & 1
+        packed = np.packbits(odd, bitorder="little")
+        return [packed[a // 8:(a + b) // 8].tobytes() for a, b in zip(starts, bits)]
+
+    def keys(self, every: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Key, number of the set, and slot (64 * group + band; 0: a single shingle)."""
+        band, out = band_of(size), []
+        of = np.repeat(np.arange(len(size)), size)
+        # a set that links with some of the band below has keys there as well
+        lower = (size > 0) & (band > LEAST_BAND) & (size * self.t <= 100 << np.maximum(band - 1, 0))
+        tags = place(every), mixed(every ^ BASE), every
+        out.append(self.of_band(of, *tags, np.arange(len(size))[size > 0], band[size > 0], size[size > 0]))
+        if lower.any():
+            some = np.flatnonzero(lower)
+            number = np.full(len(size), -1)
+            number[some] = np.arange(len(some))
+            mine = lower[of]
+            out.append(self.of_band(number[of[mine]], *(x[mine] for x in tags), some, band[some] - 1, np.minimum(size[some], (1 << (band[some] - 1)) - 1), size[some]))
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+    def of_band(self, of, where, value, every, who, band, least, size=None):
+        """``of``: index into ``who`` for shingles (of all sets, where ``who`` are the
+        sets that have any); ``least``: the smaller size of a pair at most."""
+        size = least if size is None else size
+        if len(of) and len(who) and of.max() >= len(who):
+            number = np.full(int(of.max()) + 1, -1)
+            number[who] = np.arange(len(who))
+            of = number[of]
+        g = groups_of(band)
+        room = self.may_differ(least) >> g  # differences in the group that has fewest
+        parts = ((((1 << band) >> g) * (100 - self.t) * 27) // (25 * self.t)) + 3
+        first = np.cumsum(parts << g) - (parts << g)
+        width = (band + 1 - g).astype(np.uint64)
+        group = ((where & ((np.uint64(2) << band.astype(np.uint64)) - np.uint64(1))[of]) >> width[of]).astype(np.int64)
+        part = ((value >> np.uint64(20)) % parts[of].astype(np.uint64)).astype(np.int64)
+        cell = first[of] + group * parts[of] + part
+        total = int((parts << g).sum())
+        # sums of 44 bits are exact in a double for up to 512 shingles of a part
+        sums = np.bincount(cell, (value & np.uint64((1 << 44) - 1)).astype(np.float64), total)
+        used = np.flatnonzero(np.bincount(cell, minlength=total))
+        mine = np.searchsorted(first, used, side="right") - 1
+        inner = used - first[mine]
+        in_group = inner // parts[mine]
+        key = mixed(sums[used].astype(np.uint64) ^ mixed((inner.astype(np.uint64) << np.uint64(8)) + band[mine].astype(np.uint64) + BASE))
+        box = (np.cumsum(1 << g) - (1 << g))[mine] + in_group
+        order = np.lexsort((key, box))
+        key, mine, in_group, box = key[order], mine[order], in_group[order], box[order]
+        begin = np.flatnonzero(np.concatenate([[True], box[1:] != box[:-1]]))[:len(box)]
+        count = np.diff(np.append(begin, len(box)))
+        nth = np.arange(len(box)) - np.repeat(begin, count)
+        stay = nth <= room[mine]
+        key, number, slot = key[stay], who[mine[stay]], (64 * in_group + band[mine])[stay]
+        # a group with so few filled parts that all may differ: the set's first shingles are keys, too
+        filled = np.bincount(box, minlength=int((1 << g).sum()))
+        sparse = np.unique(np.repeat(np.arange(len(who)), 1 << g)[filled <= np.repeat(room, 1 << g)])
+        for k in sparse:
+            own = np.sort(every[of == k])[:int(size[k]) - int(needed(int(size[k]), -(-int(size[k]) * self.t // 100), self.t)) + 1]
+            key, number, slot = np.append(key, mixed(own + BASE)), np.append(number, np.full(len(own), who[k])), np.append(slot, np.zeros(len(own), int))
+        return key, number, slot
+
+
+def place(every: np.ndarray) -> np.ndarray:
+    """Where shingles stand in bitmaps and groups."""
+    return mixed(every + np.uint64(12345))
+
+
+def one_pass(docs: DataFrame, ranges: int, t: int) -> DataFrame:
+    """kind 0: a row per text with the size, a 128-bit signature, min-hashes and
+    the bitmap (``data``) of its set; kind 1: ``uid, n`` a slot and ``s1`` a key
+    that several sets have."""
+    fields = ["kind", "uid", "n", "s1", "s2", *[f"m{k}" for k in range(HASHES)], "data"]
+    schema = "kind int, uid long, n long, s1 long, s2 long, " + ", ".join(f"m{k} long" for k in range(HASHES)) + ", data binary"
+    shift = np.uint64(64 - (ranges - 1).bit_length())
+
     def run(batches):
-        s, held, n_held = Shingler(), [], 0
-        def frequent():
-            value, n = np.unique(np.concatenate(held), return_counts=True)
-            value, n = value[n >= OFTEN], n[n >= OFTEN]
-            zero = np.zeros(len(value), np.int64)
+        s, cutter, held, n_held = Shingler(), Cutter(t), [], 0
+
+        def dealt():
+            """Keys by range: those keys, indices into the texts' ids, slots, ids."""
+            key, of, slot = (np.concatenate(x) for x in zip(*held))
+            order = np.argsort(key)
+            key, of, slot = key[order], of[order], slot[order].astype(np.uint16)
+            box = (key >> shift).astype(np.int64)
+            begin = np.flatnonzero(np.concatenate([[True], box[1:] != box[:-1]]))[:len(box)]
+            count = np.diff(np.append(begin, len(box)))
+            data, n_ids = [], []
+            for a, n in zip(begin, count):
+                ids, index = np.unique(of[a:a + n], return_inverse=True)
+                data.append(ids.tobytes() + key[a:a + n].tobytes() + index.astype(np.uint32).tobytes() + slot[a:a + n].tobytes())
+                n_ids.append(len(ids))
+            zero = pa.array(np.zeros(len(begin), np.int64))
             return pa.RecordBatch.from_arrays(
-                [pa.array(np.ones(len(value), np.int32)), pa.array(value.view(np.int64)), pa.array(n), *[pa.array(zero)] * (2 + HASHES)], names)
+                [pa.array(box[begin].astype(np.int32)), pa.array(np.ones(len(begin), np.int32)), zero, pa.array(count), pa.array(np.array(n_ids, np.int64)),
+                 *[zero] * (1 + HASHES), pa.array(data, pa.binary())], ["box", *fields])
 
-        names = ["kind", "uid", "n", "s1", "s2", *[f"m{k}" for k in range(HASHES)]]
         for batch in batches:
             uid = batch["uid"].to_numpy()
-            for at in range(0, len(uid), 500):
-                h, count = s.hashes(batch["text"].slice(at, 500).to_pylist())
-                sets, k = [], 0
-                for n in count:
-                    sets.append(np.unique(h[k:k + n]))
-                    k += n
-                size = np.array([len(x) for x in sets])
+            for at in range(0, len(uid), 250):
+                sets, ids = s.sets(batch["text"].slice(at, 250).to_pylist()), uid[at:at + 250]
+                size = np.array([len(x) for x in sets], np.int64)
                 some = np.flatnonzero(size)
                 every = np.concatenate([*sets, np.zeros(0, np.uint64)])
                 starts = (np.cumsum(size) - size)[some]
@@ -128,24 +231,87 @@ def first_pass(docs: DataFrame) -> DataFrame:
                 for j in range(2 + HASHES if len(some) else 0):
                     m = mixed(every ^ np.uint64(int(BASE) * (2 * j + 1) % (1 << 64)))
                     cols[j, some] = (np.add if j < 2 else np.minimum).reduceat(m, starts)
+                box = ranges + (mixed(ids.view(np.uint64) * BASE) % np.uint64(ranges)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.zeros(len(size), np.int32)), pa.array(uid[at:at + 500]), pa.array(size.astype(np.int64)),
-                     *[pa.array(c.view(np.int64)) for c in cols]], names)
-                held.append(every)
-                n_held += len(every)
-                if n_held > 2_000_000:
-                    yield frequent()
+                    [pa.array(box.astype(np.int32)), pa.array(np.zeros(len(size), np.int32)), pa.array(ids), pa.array(size),
+                     *[pa.array(c.view(np.int64)) for c in cols], pa.array(cutter.bitmaps(every, size), pa.binary())], ["box", *fields])
+                if len(some):
+                    key, number, slot = cutter.keys(every, size)
+                    held.append((key, ids[number], slot))
+                    n_held += len(key)
+                if n_held > FLUSH:
+                    yield dealt()
                     held, n_held = [], 0
         if held:
-            yield frequent()
+            yield dealt()
+
+    def shared(group):
+        """Keys of a range that several texts have; rows of kind 0 pass."""
+        if group["kind"][0].as_py() == 0:
+            return group.drop_columns(["box"])
+        keys, ids, slots = [], [], []
+        for n, m, data in zip(group["n"].to_pylist(), group["s1"].to_pylist(), group["data"]):
+            data = data.as_py()
+            own = np.frombuffer(data, np.int64, m)
+            keys.append(np.frombuffer(data, np.uint64, n, 8 * m))
+            ids.append(own[np.frombuffer(data, np.uint32, n, 8 * (m + n))])
+            slots.append(np.frombuffer(data, np.uint16, n, 8 * m + 12 * n))
+        key = np.concatenate(keys)
+        order = np.argsort(key)
+        key = key[order]
+        same = key[1:] == key[:-1]
+        often = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        key, order = key[often], order[often]
+        zero = pa.array(np.zeros(len(key), np.int64))
+        return pa.table([pa.array(np.ones(len(key), np.int32)), pa.array(np.concatenate(ids)[order]), pa.array(np.concatenate(slots)[order].astype(np.int64)),
+                         pa.array(key.view(np.int64)), *[zero] * (1 + HASHES), pa.nulls(len(key), pa.binary())], fields)
+
+    return docs.select("uid", "text").mapInArrow(run, "box int, " + schema).groupBy("box").applyInArrow(shared, schema)
+
+
+def ones(a: pa.Array, i: np.ndarray, b: pa.Array, j: np.ndarray) -> np.ndarray:
+    """Ones in the exclusive or of bitmaps a[i] and b[j]; the longer one of two is folded."""
+    def parts(column):
+        offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1].astype(np.int64)
+        return offsets[:-1], np.diff(offsets), np.frombuffer(column.buffers()[2] or b"", np.uint8)
+
+    (at_a, len_a, data_a), (at_b, len_b, data_b) = parts(a), parts(b)
+    out = np.zeros(len(i), np.int64)
+    sizes = len_a[i] << 32 | len_b[j]
+    for pair in np.unique(sizes):
+        la, lb = int(pair >> 32), int(pair & 0xFFFFFFFF)
+        size = min(la, lb)
+        if size == 0:
+            continue
+        rows = np.flatnonzero(sizes == pair)
+        for k in range(0, len(rows), max(1, (1 << 23) // max(la, lb))):
+            some = rows[k:k + max(1, (1 << 23) // max(la, lb))]
+            x, y = (data[at[who[some]][:, None] + np.arange(n)].view(np.uint64)
+                    for data, at, who, n in ((data_a, at_a, i, la), (data_b, at_b, j, lb)))
+            while x.shape[1] > y.shape[1]:
+                x = x[:, :x.shape[1] // 2] ^ x[:, x.shape[1] // 2:]
+            while y.shape[1] > x.shape[1]:
+                y = y[:, :y.shape[1] // 2] ^ y[:, y.shape[1] // 2:]
+            out[some] = np.bitwise_count(x ^ y).sum(axis=1)
+    return out
 
-    return docs.select("uid", "text").mapInArrow(
-        run, "kind int, uid long, n long, s1 long, s2 long, " + ", ".join(f"m{k} long" for k in range(HASHES)))
 
+def alike(na: np.ndarray, nb: np.ndarray, t: int) -> np.ndarray:
+    return np.minimum(na, nb) * 100 >= np.maximum(na, nb) * t
 
-def joined(docs: DataFrame, rows: DataFrame, count: int) -> DataFrame:
-    """``docs`` with ``rows`` by uid; a short list goes to every task."""
-    return docs.select("uid", "text").join(F.broadcast(rows) if count <= SMALL else rows, "uid")
+
+def screen(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose bitmaps let them link, with ``w`` the size of b."""
+    def run(batches):
+        for batch in batches:
+            na, nb = batch["na"].to_numpy(), batch["nb"].to_numpy()
+            each = np.arange(len(na))
+            ok = alike(na, nb, t) & (ones(batch["bits_a"], each, batch["bits_b"], each) <= (na + nb) * (100 - t) // (100 + t))
+            yield pa.RecordBatch.from_arrays([batch[c].filter(pa.array(ok)) for c in ("a", "b", "nb")], ["a", "b", "w"])
+
+    x, y = (sets.select(F.col("uid").alias(c), F.col("n").alias(f"n{c}"), F.col("data").alias(f"bits_{c}")) for c in "ab")
+    return (pairs.join(y, "b").where("nb > 0").join(x, "a").select("a", "b", "na", "nb", "bits_a", "bits_b")
+            .mapInArrow(run, "a long, b long, w long"))
 
 
 def tree_order(partners: list[np.ndarray]) -> list[int]:
@@ -187,156 +353,153 @@ def tree_links(a_set: np.ndarray, partners: list[np.ndarray], order, t: int) ->
     return found
 
 
-def prefix_size(size: np.ndarray, t: int) -> np.ndarray:
-    return np.minimum(size, size + (t * size) // -100 + np.where(size < 5 * SHARED, 1, SHARED))
-
-
-def links_between(left: list[tuple], right: list[tuple], t: int) -> list[tuple[int, int]]:
-    """Linked (uid, uid) of two lists of (uid, grp, set), of different groups."""
-    seqs = [r[2] for r in right]
-    size, grp = np.array([len(x) for x in seqs]), np.array([r[1] for r in right])
-    order = np.array(tree_order(seqs))
-    take = prefix_size(size, t)
-    heads, of = np.concatenate([x[:k] for x, k in zip(seqs, take)]), np.repeat(np.arange(len(seqs)), take)
-    least = np.where(size < 5 * SHARED, 1, SHARED)
-    out = []
-    for uid, own, a in left:
-        fits = (grp != own) & (np.minimum(size, len(a)) * 100 >= np.maximum(size, len(a)) * t)
-        if len(seqs) > 4 and fits.any():  # the filter for these two texts
-            mine = a[:int(prefix_size(np.array([len(a)]), t)[0])]
-            hit = mine[np.minimum(np.searchsorted(mine, heads), len(mine) - 1)] == heads
-            fits &= np.bincount(of, hit, len(seqs)) >= (1 if len(a) < 5 * SHARED else least)
-        if fits.any():
-            out += [(uid, right[k][0]) for k in tree_links(a, seqs, order[fits[order]], t)]
-    return out
-
-
-def verify(docs: DataFrame, pairs: DataFrame, homes: DataFrame | None, frequent, t: int) -> DataFrame:
-    """Links ``a, b`` of uids between the texts of ``pairs(a, b)`` of bins.
-
-    ``docs``: uid, text, grp; texts of one grp are not compared.  ``homes(uid,
-    bin)`` has the texts whose bin is not their own uid."""
+def verify(docs: DataFrame, pairs: DataFrame, t: int) -> DataFrame:
+    """The links among ``pairs(a, b, w)`` of uids of ``docs(uid, text)``; w: the
+    size of b.  A set with many partners meets them in several tasks."""
     spark = docs.sparkSession
     pairs = materialize(pairs)
-    ids = pairs.select(F.col("a").alias("bin")).unionAll(pairs.select("b")).distinct()
-    if homes is None:
-        members = ids.select("bin", F.col("bin").alias("uid"))
-    else:
-        # a bin without members is a text
-        members = (ids.join(homes.select("bin", "uid"), "bin", "left").select("bin", F.coalesce("uid", "bin").alias("uid")))
-    members = materialize(members)
+    members = materialize(pairs.select(F.col("a").alias("uid")).unionAll(pairs.select("b")).distinct())
 
     def encode(batches):
-        s = Shingler(frequent.value)
+        s = Shingler()
         for batch in batches:
             for k in range(0, batch.num_rows, 200):
                 sets = s.sets(batch["text"].slice(k, 200).to_pylist())
-                yield pa.RecordBatch.from_arrays([*[batch[c].slice(k, 200) for c in ("bin", "uid", "grp")], pa.array([x.tobytes() for x in sets], pa.binary())],
-                                                 ["bin", "uid", "grp", "seq"])
-
-    n_members = members.count()
-    sets = materialize(docs.join(F.broadcast(members) if n_members <= SMALL else members, "uid").select("bin", "uid", "grp", "text").mapInArrow(
-        encode, "bin long, uid long, grp long, seq binary"))
-    large = sets.groupBy("bin").agg(F.count("*").alias("c"))
-    # the larger bin's texts are sent once for many smaller ones
-    sized = (pairs.join(large.select(F.col("bin").alias("a"), F.col("c").alias("ca")), "a")
-             .join(large.select(F.col("bin").alias("b"), F.col("c").alias("cb")), "b")
-             .select(F.when(F.col("ca") < F.col("cb"), F.col("b")).otherwise(F.col("a")).alias("a"),
-                     F.when(F.col("ca") < F.col("cb"), F.col("a")).otherwise(F.col("b")).alias("b"),
-                     F.least("ca", "cb").alias("c")))
-    crowd = sized.groupBy("a").agg(F.ceil(F.sum("c") / 256).alias("parts"))
-    dealt = materialize(sized.join(crowd, "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").alias("part")))
-    rows = (dealt.join(sets.withColumnRenamed("bin", "b"), "b").select("a", "part", F.lit(1).alias("side"), "b", "uid", "grp", "seq")
-            .unionAll(dealt.select("a", "part").distinct().join(sets.withColumnRenamed("bin", "a"), "a")
-                      .select("a", "part", F.lit(0).alias("side"), F.col("a").alias("b"), "uid", "grp", "seq")))
-    bins = max(spark.sparkContext.defaultParallelism, -(-dealt.count() // 500))
-    rows = rows.withColumn("nth", F.pmod(F.xxhash64("a", "part"), F.lit(bins)))
+                yield pa.RecordBatch.from_arrays([batch["uid"].slice(k, 200), pa.array([x.tobytes() for x in sets], pa.binary())], ["uid", "seq"])
+
+    few = members.count() <= SMALL
+    sets = materialize(docs.select("uid", "text").join(F.broadcast(members) if few else members, "uid").mapInArrow(encode, "uid long, seq binary"))
+    parts = pairs.groupBy("a").agg(F.ceil(F.sum("w") / (1 << 17)).alias("parts"))
+    dealt = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").alias("part"))
+    wanted = (dealt.select("a", "part", F.lit(1).alias("side"), F.col("b").alias("uid"))
+              .unionAll(dealt.select("a", "part").distinct().select("a", "part", F.lit(0), "a")))
+    total = pairs.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
+    bins = max(spark.sparkContext.defaultParallelism, -(-total // (1 << 20)))
+    rows = wanted.join(sets, "uid").withColumn("nth", F.pmod(F.xxhash64("a", "part"), F.lit(bins)))
 
     def walk(group):
-        a, part, side, b, uid, grp = (group[c].to_numpy() for c in ("a", "part", "side", "b", "uid", "grp"))
+        a, part, side, uid = (group[c].to_numpy() for c in ("a", "part", "side", "uid"))
         seq = group["seq"].combine_chunks()
         order = np.lexsort((side, part, a))
         edges = np.flatnonzero(np.concatenate([[True], (np.diff(a[order]) != 0) | (np.diff(part[order]) != 0), [True]]))
         out = []
         for lo, hi in zip(edges[:-1], edges[1:]):
-            sides = [], []
-            for i in order[lo:hi]:
-                sides[side[i]].append((int(uid[i]), int(grp[i]), np.frombuffer(seq[int(i)].as_py(), np.uint64)))
-            out += links_between(*sides, t) if sides[1] else []
+            own = [np.frombuffer(seq[int(i)].as_py(), np.uint64) for i in order[lo:hi]]
+            partners = own[1:]  # the set itself stands first
+            out += [(a[order[lo]], uid[order[lo + 1 + k]]) for k in tree_links(own[0], partners, tree_order(partners), t)]
         out = np.array(out, np.int64).reshape(-1, 2)
         return pa.table({"a": pa.array(out[:, 0]), "b": pa.array(out[:, 1])})
 
-    return materialize(rows.groupBy("nth").applyInArrow(walk, "a long, b long"))
-
+    found = materialize(rows.groupBy("nth").applyInArrow(walk, "a long, b long"))
+    discard(pairs, members, sets)
+    return found
 
-def prefixes(docs: DataFrame, frequent, t: int) -> DataFrame:
-    """Prefix shingles of ``docs(uid, text, grp)``: token, uid, grp, n, place."""
-    def run(batches):
-        s = Shingler(frequent.value)
-        for batch in batches:
-            uid, grp = batch["uid"].to_numpy(), batch["grp"].to_numpy()
-            for k in range(0, len(uid), 500):
-                sets = s.sets(batch["text"].slice(k, 500).to_pylist())
-                size = np.array([len(x) for x in sets], np.int64)
-                take = prefix_size(size, t)
-                token = np.concatenate([*[x[:p] for x, p in zip(sets, take)], np.zeros(0, np.uint64)]).view(np.int64)
-                of = k + np.repeat(np.arange(len(sets)), take)
-                place = np.arange(len(of)) - np.repeat(np.cumsum(take) - take, take)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(token), pa.array(uid[of]), pa.array(grp[of]), pa.array(size[of - k].astype(np.int32)), pa.array(place.astype(np.int32))],
-                    ["token", "uid", "grp", "n", "place"])
 
-    return docs.mapInArrow(run, "token long, uid long, grp long, n int, place int")
+def block_pairs(t: int):
+    """Pairs of sets of different groups with a common key whose bitmaps let them link."""
+    def run(group):
+        key, left, right, tile, uid, grp, n, power = (group[c].to_numpy() for c in ("key", "i", "j", "tile", "uid", "grp", "n", "power"))
+        bits = group["bits"].combine_chunks()
+        order = np.lexsort((tile, right, left, key))
+        key, left, right = key[order], left[order], right[order]
+        edges = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (left[1:] != left[:-1]) | (right[1:] != right[:-1]), [True]]))
+        begin, count = edges[:-1], np.diff(edges)
+        inside = left[begin] == right[begin]
+        found = [np.zeros((2, 0), np.int64)]
+
+        def test(i, j):
+            i, j = order[i], order[j]
+            ok = (grp[i] != grp[j]) & alike(n[i], n[j], t)
+            i, j = i[ok], j[ok]
+            room = ((n[i] + n[j]) * (100 - t) // (100 + t)) >> power[i]
+            ok = ones(bits, i, bits, j) <= room
+            found.append(np.unique(np.sort(np.stack([uid[i[ok]], uid[j[ok]]]), axis=0), axis=1))
+
+        for c in np.unique(count[inside & (count <= 32)]):  # equally many rows at a time
+            at = begin[inside & (count == c)]
+            x, y = np.triu_indices(c, 1)
+            for k in range(0, len(at), max(1, 100_000 // max(1, len(x)))):
+                some = at[k:k + max(1, 100_000 // max(1, len(x)))][:, None]
+                test((some + x).ravel(), (some + y).ravel())
+        for b, c, one in zip(begin, count, inside):
+            if one and c <= 32:
+                continue
+            own = tile[order[b:b + c]]
+            xs = np.arange(b, b + c) if one else b + np.flatnonzero(own == left[b])
+            ys = xs if one else b + np.flatnonzero(own == right[b])
+            for k in range(0, len(xs), 64):
+                i, j = (m.ravel() for m in np.meshgrid(xs[k:k + 64], ys, indexing="ij"))
+                test(i[i < j] if one else i, j[i < j] if one else j)
+        a, b = np.unique(np.concatenate(found, axis=1), axis=1)
+        return pa.table({"a": pa.array(a), "b": pa.array(b)})
+    return run
+
+
+def key_pairs(keyed: DataFrame, sets: DataFrame, t: int) -> DataFrame:
+    """Pairs ``a, b`` from ``keyed(key, slot, uid, grp)``: sets of different groups
+    with a common key, screened by their bitmaps within the key's group of shingles.
+
+    Keys with over TILE sets are cut into tiles; a tile of one group's sets only is
+    not compared with others of that group."""
+    spark = keyed.sparkSession
+    open_ = keyed.groupBy("key", "slot").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.count("*").alias("c")).where("lo != hi").select("key", "slot", "c")
+    band, group = F.col("slot") % 64, F.floor(F.col("slot") / 64)
+    power = F.when(band > 0, F.greatest(F.lit(0), F.least(band - GROUP, F.lit(MOST_GROUPS)))).otherwise(F.lit(0))
+    # bytes of the bitmap of a set of that band, of one group in it
+    whole, one = F.pow(F.lit(2.0), band - 2).cast("long"), F.pow(F.lit(2.0), band - 2 - power).cast("long")
+    at, size = (group * one + 1).cast("int"), one.cast("int")
+    piece = F.col("data").substr(at, size)
+    bits = (F.when(band == 0, F.lit(b"")).when(F.length("data") <= whole, piece)
+            .otherwise(F.concat(piece, F.col("data").substr((whole + group * one + 1).cast("int"), size))))
+    rows = materialize(keyed.join(open_, ["key", "slot"]).join(sets.select("uid", "n", "data"), "uid")
+                       .select("key", "slot", "c", "uid", "grp", "n", power.cast("int").alias("power"), bits.alias("bits")))
+    base = ["key", "slot", "uid", "grp", "n", "power", "bits"]
+    plain = rows.where(F.col("c") <= TILE).select(*base, F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(0).cast("long").alias("tile"))
+    hot = rows.where(F.col("c") > TILE)
+    of_group = hot.groupBy("key", "slot", "grp").agg(F.count("*").alias("g"))
+    large = of_group.where(F.col("g") > TILE // 4)
+    rest = of_group.where(F.col("g") <= TILE // 4).groupBy("key", "slot").agg(F.sum("g").alias("r"))
+    nth = F.when(F.col("g").isNotNull(), F.xxhash64("grp", F.pmod(F.xxhash64("uid"), F.ceil(F.col("g") / TILE)))).otherwise(
+        F.pmod(F.xxhash64("uid"), F.ceil(F.coalesce("r", F.lit(1)) / TILE)))
+    tiled = (hot.join(large, ["key", "slot", "grp"], "left").join(rest, ["key", "slot"], "left")
+             .select(*base, nth.alias("tile"), F.when(F.col("g").isNotNull(), F.col("grp")).alias("own")))
+    tiles = tiled.select("key", "slot", "tile", "own").distinct()
+    x, y = (tiles.select("key", "slot", F.col("tile").alias(c), F.col("own").alias(f"own_{c}")) for c in "ij")
+    met = x.join(y, ["key", "slot"]).where("i <= j and not coalesce(own_i = own_j, false)").select("key", "slot", "i", "j")
+    ends = met.select("key", "slot", "i", "j", F.col("i").alias("tile")).unionAll(met.where("i < j").select("key", "slot", "i", "j", "j"))
+    crowded = tiled.drop("own").join(ends, ["key", "slot", "tile"]).select(*base, "i", "j", "tile")
+    bins = max(spark.sparkContext.defaultParallelism, -(-rows.count() // 20_000))
+    every = plain.unionAll(crowded) if not hot.isEmpty() else plain
+    every = every.withColumn("nth", F.pmod(F.xxhash64("key", "slot", "i", "j"), F.lit(bins)))
+    found = materialize(every.groupBy("nth").applyInArrow(block_pairs(t), "a long, b long"))
+    discard(rows)
+    return found.distinct()
 
 
 def similar_sets(docs: DataFrame, t: int = 80) -> DataFrame:
     """``uid, n_shingles, grp`` for ``docs(uid, text)`` of unique uids: the
     smallest uid that links of at least ``t`` percent similarity reach."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    seen = materialize(first_pass(docs))
+    small_batches(docs.sparkSession)
+    length = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    ranges = 1 << max(4, (length // 20 // PER_RANGE).bit_length())  # about a key for twenty bytes
+    seen = materialize(one_pass(docs, ranges, t))
     rows = seen.where("kind = 0")
-    # local numbers of texts, summed: a fixed number of shingles counts as frequent
-    often = (seen.where("kind = 1").groupBy("uid").agg(F.sum("n").alias("n"))
-             .orderBy(F.col("n").desc(), "uid").limit(FREQUENT).toPandas())
-    frequent = spark.sparkContext.broadcast(often["uid"].to_numpy(np.int64)[::-1].copy().view(np.uint64))
+    sets = rows.select("uid", "n", "data")
     full = rows.where("n > 0")
-    reps = materialize(full.groupBy("s1", "s2", "n", *[f"m{k}" for k in range(HASHES)]).agg(F.min("uid").alias("uid")))
+    alike_ = ["s1", "s2", "n", *[f"m{k}" for k in range(HASHES)]]
+    reps = materialize(full.groupBy(*alike_).agg(F.min("uid").alias("uid")))
     # early links: each set with the first one of each of its min-hashes
     keyed = reps.select("uid", "n", F.posexplode(F.array(*[f"m{k}" for k in range(HASHES)])).alias("k", "m"))
     heads = keyed.groupBy("k", "m").agg(F.min("uid").alias("a"), F.min_by("n", "uid").alias("n_a"), F.count("*").alias("c")).where("c > 1").drop("c")
     early = (keyed.join(heads, ["k", "m"]).where((F.col("a") != F.col("uid")) & (F.least("n", "n_a") * 100 >= F.greatest("n", "n_a") * t))
              .select("a", F.col("uid").alias("b")).distinct())
-    alone = docs.select("uid", "text", F.col("uid").alias("grp"))
-    links = verify(alone, early, None, frequent, t)
-    groups = materialize(components(reps.select(F.col("uid").alias("id")), links).select(F.col("id").alias("uid"), F.col("component").alias("grp")))
-    # the exact filter between groups
-    mine = joined(docs, groups, groups.count())
-    tokens = materialize(prefixes(mine, frequent, t))
-    across = (tokens.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.count("*").alias("c"))
-              .where("lo != hi").select("token", "c"))
-    held = materialize(tokens.join(across, "token"))
-    homes = materialize(held.where(F.col("c") > CROWD).groupBy("uid").agg(F.max(F.struct("c", "token")).alias("m"))
-                        .select("uid", F.xxhash64("m.token", F.pmod(F.xxhash64("uid"), F.ceil(F.col("m.c") / BIN))).alias("bin")))
-    n_homes = homes.count()
-    placed = held.join(F.broadcast(homes) if n_homes <= SMALL else homes, "uid", "left")
-    rest = F.col("n") - F.col("place")
-    sides = (placed.where("bin is null").select("token", F.col("uid").alias("bin"), F.col("n").alias("lo"), F.col("n").alias("hi"), "place",
-                                                rest.alias("rest"), F.col("grp").alias("g"), F.col("grp").alias("h"))
-             .unionAll(placed.where("bin is not null").groupBy("token", "bin").agg(
-                 F.min("n"), F.max("n"), F.max("place"), F.max(rest), F.min("grp"), F.max("grp"))))
-    x, y = (sides.select("token", *[F.col(c).alias(f"{c}{k}") for c in sides.columns[1:]]) for k in "ab")
-    # bounds that hold for any two texts of two bins: of sizes, and of the overlap, which can't
-    # be larger than what stands before a shared shingle and from it on
-    need = F.ceil(F.lit(t) * (F.col("loa") + F.col("lob")) / F.lit(100 + t))
-    reach = F.least("placea", "placeb") + F.least("resta", "restb")
-    several = (F.col("ga") != F.col("gb")) | (F.col("ga") != F.col("ha")) | (F.col("gb") != F.col("hb"))
-    shared = (x.join(y, "token").where((F.col("bina") <= F.col("binb")) & several
-                                       & (F.least("hia", "hib") * 100 >= F.greatest("loa", "lob") * t) & (reach >= need))
-              .groupBy("bina", "binb").agg(F.count("*").alias("c"), F.min(F.least("loa", "lob")).alias("n")))
-    late = shared.where((F.col("n") < 5 * SHARED) | (F.col("c") >= SHARED)).select(F.col("bina").alias("a"), F.col("binb").alias("b"))
-    more = verify(mine, late, homes, frequent, t)
-    ends = materialize(components(reps.select(F.col("uid").alias("id")), links.unionAll(more)).withColumnRenamed("id", "uid"))
+    links = verify(docs, screen(early, sets, t), t)
+    ids = reps.select(F.col("uid").alias("id"))
+    groups = materialize(components(ids, links).select(F.col("id").alias("uid"), F.col("component").alias("grp")))
+    # the exact search between groups; sets that stand for no group have none
+    across = seen.where("kind = 1").select(F.col("s1").alias("key"), F.col("n").alias("slot"), "uid").join(groups, "uid")
+    more = verify(docs, screen(key_pairs(across, sets, t), sets, t), t)
+    ends = materialize(components(ids, links.unionAll(more)).withColumnRenamed("id", "uid"))
     by_set = reps.join(ends, "uid").select("s1", "s2", "n", F.col("component").alias("grp"))
     out = rows.join(by_set, ["s1", "s2", "n"], "left")
     return out.select("uid", F.col("n").alias("n_shingles"), F.coalesce("grp", "uid").alias("grp"))
@@ -348,11 +511,12 @@ def ngram_components(docs: DataFrame, t: int = 80) -> DataFrame:
 
     Texts are lower-cased (A-Z) and cut at white space; a set holds the distinct
     5-word shingles, of a text with fewer words the whole of it.  Sets link when
-    100 * intersection >= t * union.  Null, empty and blank texts have 0
-    shingles and stand alone.  Null ids: such a row takes part, its component is
-    the smallest id that is not null, null if there is none.  Repeated ids: each
-    row takes part by its own text.  Shingles and sets are known by 64- and
-    128-bit hashes.  Extra columns are ignored; an empty table gives no rows.
+    100 * intersection >= t * union, ``t`` from 60 to 100.  Null, empty and blank
+    texts have 0 shingles and stand alone.  Null ids: such a row takes part, its
+    component is the smallest id that is not null, null if there is none.
+    Repeated ids: each row takes part by its own text.  Shingles and sets are
+    known by 64- and 128-bit hashes.  Extra columns are ignored; an empty table
+    gives no rows.
     """
     docs = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
     again = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null")

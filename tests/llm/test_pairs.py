@@ -7,6 +7,7 @@ import re
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from stridewell.llm import catalog, neardup, ngramjoin, topk
@@ -39,6 +40,7 @@ def texts():
     r = random.Random(4)
     word = lambda n: "w%d" % int(r.paretovariate(0.6) % n)
     base = [" ".join(word(300) for _ in range(r.choice([3, 6, 12, 40, 90, 300]))) for _ in range(40)]
+    base += [" ".join(word(3000) for _ in range(n)) for n in (900, 1100, 2300)]
     out = list(base)
     for t in base:
         for _ in range(r.choice([0, 1, 2, 6])):
@@ -52,10 +54,10 @@ def texts():
     return out
 
 
-@pytest.mark.parametrize("crowd", [16, 2])
-def test_ngram_join_finds_every_link(spark, monkeypatch, crowd):
-    monkeypatch.setattr(ngramjoin, "CROWD", crowd)
-    monkeypatch.setattr(ngramjoin, "BIN", crowd * 2)
+@pytest.mark.parametrize("options", [{}, {"TILE": 2, "FLUSH": 500, "PER_RANGE": 100, "SMALL": 0}, {"HASHES": 1, "TILE": 3, "SMALL": 0}])
+def test_ngram_join_finds_every_link(spark, monkeypatch, options):
+    for name, value in options.items():
+        monkeypatch.setattr(ngramjoin, name, value)
     rows = [(3 * i, t, "u", 1, 2) for i, t in enumerate(texts())]
     sets = [shingles(r[1]) for r in rows]
     links = [(i, j) for i, j in itertools.combinations(range(len(rows)), 2)
@@ -87,6 +89,38 @@ def test_tree_walk_equals_set_arithmetic():
         assert set(ngramjoin.tree_links(a, seqs, ngramjoin.tree_order(seqs), 80)) == want
 
 
+def test_linked_sets_share_a_key_within_its_bounds():
+    """No pair at or just over the similarity is lost, whatever the sizes."""
+    r = np.random.default_rng(7)
+    cutter, met = ngramjoin.Cutter(80), 0
+    for n in [1, 2, 4, 5, 6, 9, 15, 25, 30, 31, 32, 40, 63, 64, 100, 127, 130, 255, 256, 300, 1000, 1023, 1024, 1100, 2000, 2048, 2500, 5000, 20_000]:
+        for trial in range(12 if n < 3000 else 3):
+            a = np.unique(r.integers(0, 2 ** 63, n, dtype=np.uint64))
+            m = r.integers(len(a), len(a) * 100 // 80 + 1)  # the other set's size; the least overlap that links
+            both = ngramjoin.needed(len(a), int(m), 80)
+            b = np.unique(np.concatenate([r.permutation(a)[:both], r.integers(0, 2 ** 63, m - both, dtype=np.uint64)]))
+            if 100 * both < 80 * (len(a) + len(b) - both):
+                continue
+            met += 1
+            size = np.array([len(a), len(b)])
+            key, number, slot = cutter.keys(np.concatenate([a, b]), size)
+            mine, other = (set(zip(key[number == k].tolist(), slot[number == k].tolist())) for k in (0, 1))
+            assert mine & other, (n, m)
+            bits = pa.array(cutter.bitmaps(np.concatenate([a, b]), size), pa.binary())
+            apart = ngramjoin.ones(bits, np.array([0]), bits, np.array([1]))[0]
+            assert apart <= len(a) + len(b) - 2 * both
+            good = []
+            for _, s in mine & other:  # in one of these groups the bitmaps admit the pair, as key_pairs cuts them
+                power = int(ngramjoin.groups_of(np.array([s % 64]))[0]) if s else 0
+                one, whole = (1 << (s % 64 - 2 - power), 1 << (s % 64 - 2)) if s else (0, 0)
+                cut = [x.as_py()[s // 64 * one:s // 64 * one + one] + (x.as_py()[whole + s // 64 * one:whole + (s // 64 + 1) * one] if len(x.as_py()) > whole else b"")
+                       for x in bits] if s else [b"", b""]
+                cut = pa.array(cut, pa.binary())
+                good.append(ngramjoin.ones(cut, np.array([0]), cut, np.array([1]))[0] <= ((len(a) + len(b)) * 20 // 180) >> power)
+            assert any(good), (n, m)
+    assert met > 150
+
+
 def vectors():
     r = np.random.default_rng(2)
     rows, nan, inf = [], float("nan"), float("inf")
