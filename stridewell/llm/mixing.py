@@ -43,7 +43,7 @@ def targets(sizes: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tup
     return w.select("nosrc", "src", "source_size", F.least("stop", F.col("level") * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, seed: str = "mix", rows_per_cell: int = 20_000,
+def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, seed: str = "mix", rows_per_cell: int = 2_000,
         key: Column | None = None) -> DataFrame:
     """``doc_id, size, source_size, target, taken`` for every row of ``docs``.
 
@@ -61,7 +61,7 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, seed: str = "mix"
         "doc_id", F.col("source").isNull().alias("nosrc"), F.coalesce("source", F.lit("")).alias("src"),
         hashed.alias("key"), word_count(F.col("text")).alias("size")))
     digits, rows = 1, base.count()
-    while digits < 3 and 16 ** digits * rows_per_cell < rows:
+    while 16 ** digits * rows_per_cell < rows:
         digits += 1
     base = base.withColumn("cell", F.substring("key", 1, digits))
     cells = base.groupBy("nosrc", "src", "cell").agg(F.sum("size").alias("words"))

@@ -87,7 +87,7 @@ def tile_pair(threshold: float):
     return run
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tile_rows: int = 512) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tile_rows: int = 2048) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row of ``vectors``.
 
     ``vectors`` needs vec_id (long), embedding (array of float or double) and
@@ -95,15 +95,18 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tile_rows: int
     and equally many components are compared by cosine; those that are null,
     empty, zero or hold null or non-finite components, or have no id, link with
     nothing and stand alone (0 links, kept).  Exact copies link with each
-    other; every row counts, repeated ones too.  Empty table: no rows.
+    other; every row counts, repeated ones too.  Rows of one id are compared
+    each by its own vector; an id's rows that are their component's smallest
+    are all kept.  Empty table: no rows.
     """
     rows = vectors.select("vec_id", "embedding", "label")
     good = (rows.where(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & usable(F.col("embedding"))
                        & F.exists("embedding", lambda x: x != 0)))
     good = good.withColumn("h", F.xxhash64("label", "embedding"))
     keys = ["label", "h", "embedding"]
-    reps = materialize(good.groupBy(*keys).agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-                       .withColumn("dim", F.size("embedding")))
+    # a number for each vector of a label: ids may occur again
+    reps = materialize(good.groupBy(*keys).agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
+                       .withColumn("dim", F.size("embedding")).withColumn("rep", F.monotonically_increasing_id()))
     tiles = reps.groupBy("label", "dim").agg(F.ceil(F.count("*") / tile_rows).cast("int").alias("tiles"))
     # one row per vector and pair of tiles: as many as rows times tiles of its label
     dealt = (reps.join(tiles, ["label", "dim"])
@@ -116,8 +119,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tile_rows: int
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     groups = components(reps.select(F.col("rep").alias("id")),
                         found.where("rep != low").select(F.col("rep").alias("a"), F.col("low").alias("b")))
-    known = (reps.join(links, "rep", "left").join(groups.withColumnRenamed("id", "rep"), "rep")
-             .select(*keys, "component", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    placed = reps.join(links, "rep", "left").join(groups.withColumnRenamed("id", "rep"), "rep")
+    least = placed.groupBy("component").agg(F.min("first").alias("least"))
+    known = (placed.join(least, "component")
+             .select(*keys, F.col("least").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
     linked_rows = good.join(known, keys).select("vec_id", "n_links", F.col("component").alias("component_id"))
     alone = rows.where(~F.coalesce(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & usable(F.col("embedding"))
                                    & F.exists("embedding", lambda x: x != 0), F.lit(False)))

@@ -60,7 +60,7 @@ def optimal_bounds(longest: np.ndarray, count: np.ndarray, total: np.ndarray, bu
 
 
 def pack(docs: DataFrame, length: Column | None = None, buckets: int = 16, budget: int = 16_384,
-         seed: int = 17, rows_per_cell: int = 20_000) -> DataFrame:
+         seed: int = 17, rows_per_cell: int = 2_000) -> DataFrame:
     """``doc_id, n_tokens, bucket, bucket_len, batch, slot, padding`` for every
     row of ``docs``.
 
@@ -82,7 +82,7 @@ def pack(docs: DataFrame, length: Column | None = None, buckets: int = 16, budge
     bounds = optimal_bounds(np.array([r.longest for r in hist]), np.array([r.n for r in hist]),
                             np.array([r.s for r in hist]), buckets)
     rows, bits = sum(r.n for r in hist), 4
-    while bits < 12 and 2 ** bits * rows_per_cell < rows:
+    while 2 ** bits * rows_per_cell < rows:
         bits += 1
     bucket, size = F.lit(len(bounds) - 1), F.lit(bounds[-1] if bounds else 0)
     for k in reversed(range(len(bounds) - 1)):

@@ -91,10 +91,11 @@ def phrases(buf: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray,
     last = np.concatenate([first[1:], [len(place)]]) - 1
     first, last = first[whole[first]], last[whole[first]]
     text, at = text[first], place[first]
-    wide, end = rolling(buf, 64), last + length  # a phrase is covered by three times 64 bytes
-    ident = mixed(wide[end - 64] + (end - first).astype(np.uint64) * np.uint64(BASE))
-    ident = mixed(wide[(first + end - 64) // 2] + ident * np.uint64(5) + (at - first).astype(np.uint64))
-    ident = mixed(wide[first] + ident * np.uint64(3))
+    wide, end = rolling(buf, 64), last + length
+    spans = -(-(2 * length - TRIGGER) // 64)  # so many times 64 bytes cover the longest phrase
+    ident = mixed((end - first).astype(np.uint64) * np.uint64(BASE) + (at - first).astype(np.uint64))
+    for k in range(spans):
+        ident = mixed(wide[first + (end - 64 - first) * k // (spans - 1)] + ident * np.uint64(5))
     begin = np.concatenate([[0], ends[:-1]])[text]
     return text, hashes[at].view(np.int64), ident.view(np.int64), at - begin, first - begin, last - begin
 
@@ -354,7 +355,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, carry: tuple[str, ...] =
     of any length up to 2**31 - 1 bytes.  Empty table: no rows.
     """
     if not 95 <= length <= 159:
-        raise ValueError("length must be 95 to 159")  # three times 64 bytes cover a phrase
+        raise ValueError("length must be 95 to 159")
     small_batches(docs.sparkSession)
     docs = docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("bytes"), *carry)
     base, again = ordered(docs)

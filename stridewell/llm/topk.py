@@ -121,7 +121,7 @@ def search_block(k: int, bits: int, scale: float):
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256.0, bits: int = 12,
-          block_rows: int = 8192, query_rows: int = 256) -> DataFrame:
+          block_rows: int = 8192, query_rows: int = 1024) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k best rows of ``vectors`` for
     each row of ``queries`` (both vec_id long, embedding array) by integer inner
     product of floor(scale * component), ties to the smaller vec_id.

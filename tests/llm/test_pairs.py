@@ -155,6 +155,12 @@ def test_near_duplicates_equal_brute_force(spark, tile_rows):
     assert neardup.near_duplicates(spark.createDataFrame([], VECTORS)).collect() == []
 
 
+def test_near_duplicates_with_repeated_ids(spark):
+    rows = [(7, [1.0, 0.0], 1, 0, 0.0), (7, [0.0, 1.0], 1, 0, 0.0), (9, [0.0, 2.0], 1, 0, 0.0), (9, [0.0, 1.0], 1, 0, 0.0), (3, [1.0, 0.01], 1, 0, 0.0), (7, [1.0, 0.0], 2, 0, 0.0)]
+    got = sorted(map(tuple, neardup.near_duplicates(spark.createDataFrame(rows, VECTORS)).collect()))
+    assert got == sorted([(7, 1, 3, False), (7, 2, 7, True), (9, 2, 7, False), (9, 2, 7, False), (3, 1, 3, True), (7, 0, 7, True)])
+
+
 def test_int8_bounds_hold():
     r = np.random.default_rng(3)
     x = r.normal(size=(300, 8)) * 10.0 ** r.integers(-3, 3, (300, 8))

@@ -247,11 +247,24 @@ def repeat_rows():
     return rows + [(300 + k, rows[k][1]) for k in range(0, 60, 7)]
 
 
-def test_repeats_equal_brute_force(spark):
+@pytest.mark.parametrize("length", [100, 159])
+def test_repeats_equal_brute_force(spark, length):
     rows = repeat_rows()
     shuffled = random.Random(1).sample(rows, len(rows))
     df = spark.createDataFrame([(i, t, "s", *EXTRA) for i, t in shuffled], DOCS).repartition(5)
-    assert sorted(map(tuple, repeats.remove_repeats(df, remains=False).collect())) == brute_repeats(rows)
+    assert sorted(map(tuple, repeats.remove_repeats(df, length, remains=False).collect())) == brute_repeats(rows, length)
+
+
+@pytest.mark.parametrize("length", [95, 100, 159])
+def test_phrases_differ_wherever_a_byte_differs(length):
+    r = np.random.default_rng(5)
+    buf = r.integers(0, 256, 4_000).astype(np.uint8)
+    text, _, ident, _, first, last = repeats.phrases(buf, np.array([len(buf)]), length)
+    for a, b, own in zip(first, last, ident):
+        for k in range(0, b + length - a, 7):
+            other = buf[a:b + length].copy()
+            other[k] ^= 1
+            assert own not in repeats.phrases(other, np.array([len(other)]), length)[2]
 
 
 def test_repeats_with_crowded_triggers_and_long_texts(spark, monkeypatch):
@@ -315,6 +328,34 @@ def test_toxicity_edges(spark):
     assert all(r.predicted == r.doc_id % 2 for r in toxicity.toxicity(docs, train).collect())
 
 
+def test_network_equals_a_plain_convolution():
+    m, r = toxicity.Model(), random.Random(6)
+    m.bias = np.linspace(-0.2, 0.2, toxicity.CHANNELS).astype(np.float32)
+    texts = ["", "one", *(" ".join(r.choice(["the", "und", "les", "idiot", "foul", "tea", "zzz"]) for _ in range(n)) for n in (2, 3, 17, 60))]
+    for text, z in zip(texts, toxicity.Scorer(m).score(texts)[0]):
+        words = toxicity.words_of(text)
+        vec = [m.emb[toxicity.features(w)].sum(axis=0) for w in words] + [np.zeros(toxicity.DIM)] * 3
+        want, c = float(m.base), 0
+        for w, filters in zip(toxicity.WIDTHS, m.filters):
+            for f in filters:
+                best = max(sum(float(f[j] @ vec[k + j]) for j in range(w)) for k in range(len(words) + 1))
+                want += max(0.0, best + float(m.bias[c])) * float(m.head[c])
+                c += 1
+        assert abs(want - z) < 1e-3
+
+
+def test_sample_bounds_hold_and_long_texts_train(spark):
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(400)], "doc_id long, toxic int, quality int")
+    docs = frame(spark, [(i, "word " * (10 if i % 4 else 8_000), None) for i in range(400)])
+    texts, y, weight, fold = toxicity.labelled_sample(docs, labels, 1_000, 10 ** 9)
+    train_rows = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5]
+    assert len(texts) == len(train_rows) and max(map(len, texts)) == 8_000
+    assert abs(weight.sum() - len(y)) < 1e-2 * len(y)
+    some = toxicity.labelled_sample(docs, labels, 60, 10 ** 9)[0]
+    few = toxicity.labelled_sample(docs, labels, 1_000, 400_000)[0]
+    assert len(some) < len(texts) / 2 and len(few) < len(texts)
+
+
 def test_long_texts_are_scored_in_overlapping_pieces(monkeypatch):
     m = toxicity.Model()
     r = random.Random(2)
