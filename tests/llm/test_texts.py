@@ -200,19 +200,51 @@ def test_mixed_documents_hold_what_was_taken(spark):
 
 def test_licenses(spark):
     rows = [(1, "Some prose.\nReleased under the MIT License.\nMore.", None), (2, "He lost his driving license in the spring.", None),
-            (3, "Licensed under the Apache License, Version 2.0.\n\nLicensed under CC BY-NC 4.0.", None),
-            (4, "SPDX-License-Identifier: GPL-3.0-or-later", None), (5, "A permission slip was signed by both of them.", None)]
+            (3, "Licensed under the Apache License, Version 2.0.\nLicensed under CC BY-NC 4.0.", None),
+            (4, "SPDX-License-Identifier: GPL-3.0-or-later", None), (5, "A permission slip was signed by both of them.", None),
+            (6, "Released under the\nMIT License.\n\nLicensed under the GNU General\nPublic License, version 3.", None),
+            (7, "word " * 90 + "Distributed under the\nMozilla Public License 2.0. " + "word " * 90, None)]
     got = {r.doc_id: r for r in licenses.scan(frame(spark, rows)).collect()}
-    assert {i: r.licenses for i, r in got.items()} == {1: "mit", 2: "", 3: "apache,cc-by-nc", 4: "gpl", 5: ""}
-    assert got[3].n_notices == 2 and got[2].best == 0.0
+    assert {i: (r.licenses, r.n_notices) for i, r in got.items()} == {
+        1: ("mit", 1), 2: ("", 0), 3: ("apache,cc-by-nc", 2), 4: ("gpl", 1), 5: ("", 0), 6: ("gpl,mit", 2), 7: ("mpl", 1)}
+    assert got[2].best == 0.0
     odd = licenses.scan(frame(spark, odd_rows())).collect()
     assert len(odd) == len(odd_rows()) and {r.licenses for r in odd} == {""}
+    assert licenses.scan(frame(spark, [])).collect() == []
+
+
+#: Written apart from the training lists: openings, wraps and spellings that they lack.
+NOTICES = [
+    ("mit", "Everything in this folder is under the MIT License."), ("mit", "Code: MIT License, see the file COPYING"), ("mit", "You get this program under an MIT license, have fun."),
+    ("apache", "The server is open source, under the Apache License 2.0, like the client."), ("apache", "Our plug-ins come under the Apache License,\nVersion 2.0 (the terms)."),
+    ("gpl", "The kernel module falls under the GNU General\nPublic License, version 2, as does the loader."), ("gpl", "Copying is governed by the GNU GPL v3 and nothing else."),
+    ("gpl", "GNU GPL v3 or newer."), ("lgpl", "Linking is fine, as the GNU Lesser General Public License, version 3 says."), ("lgpl", "The wrapper is under the GNU LGPL v3."),
+    ("bsd", "Our parser may be had under the BSD 3-Clause License at no cost."), ("bsd", "The tools are under the BSD license."),
+    ("mpl", "The add-on falls under the Mozilla Public License 2.0."), ("mpl", "Covered by the Mozilla Public\nLicense, v. 2.0."),
+    ("cc-by", "Photographs: CC BY 4.0."), ("cc-by", "All pictures may be reused under a Creative Commons Attribution 4.0 International License."),
+    ("cc-by-nc", "Music by the band, CC BY-NC 4.0."), ("cc-by-nc", "Maps come under a Creative Commons Attribution-NonCommercial 4.0 International\nLicense."),
+    ("public-domain", "We hereby say: this is free and unencumbered software released into the public domain, all of it."), ("public-domain", "This recording has been released into the public domain."),
+]
+NOT_NOTICES = ["The minister said that a license is needed for each version of the device.", "A general of the public guard asked for a permit.",
+               "MIT and the foundation published the results together.", "Creative work is common in this domain.", "The lease was granted free of charge to the school.",
+               "She signed under the terms of the lease.", "Mozilla and Apache are names of projects.", "Public licenses were debated for hours.",
+               "The source of the rumour has been released from prison.", "This work is the property of the museum.", "BSD was short for a name in that town.", "The attribution of the 4 paintings is unclear."]
+
+
+def test_licenses_recall_and_precision(spark):
+    cases = [*NOTICES, *(("", x) for x in NOT_NOTICES)]
+    got = {r.doc_id: r.licenses for r in licenses.scan(frame(spark, [(i, "Some prose stands here.\n" + line + "\nAnd more of it.", None) for i, (_, line) in enumerate(cases)])).collect()}
+    for family in licenses.FAMILIES[1:]:
+        want, found = {i for i, (f, _) in enumerate(cases) if f == family}, {i for i, f in got.items() if family in f.split(",")}
+        assert len(want & found) >= 0.9 * len(want) and len(want & found) >= 0.9 * len(found), (family, [cases[i] for i in want ^ found])
+    assert not any(got[i] for i, (f, _) in enumerate(cases) if not f)
 
 
 def test_licenses_finds_every_template_line(spark):
     lines = [(f, line) for f, lines in licenses.TEMPLATES.items() for line in lines] + [("gpl", "Released under the GPL, version 3 or any later version.")]
     got = {r.doc_id: r.licenses for r in licenses.scan(frame(spark, [(i, "Some prose.\n" + line, None) for i, (_, line) in enumerate(lines)])).collect()}
-    assert {line: got[i] for i, (_, line) in enumerate(lines)} == {line: f for f, line in lines}
+    wrong = {line: got[i] for i, (f, line) in enumerate(lines) if got[i] != f}
+    assert not wrong, wrong
 
 
 def brute_repeats(rows, length=100):
