@@ -91,9 +91,68 @@ def test_lm_counts_and_base_score(spark):
     assert lm.score(frame(spark, [])).collect() == []
 
 
+def plain_log10(m, ids):
+    """The model's log10 probabilities, position by position, without batches."""
+    p, n, w, lead = m.p, len(ids), lm.WINDOW, lm.WINDOW - lm.STRIDE
+    before = [m.n + 1] + [int(m.place[i]) for i in ids[:-1]]
+    out = []
+    for t in range(n):
+        begin = 0 if t < w else (t - lead) // lm.STRIDE * lm.STRIDE
+        x = p["emb"][before[begin:t + 1]].astype(float)
+        q, k, v = x[-1] @ p["q"] * lm.DIM ** -0.5, x @ p["k"], x @ p["v"]
+        e = np.exp(k @ q + p["far"][np.arange(len(x))[::-1]])
+        h = np.maximum(np.concatenate([x[-1], e @ v / e.sum()]) @ p["w1"] + p["b1"], 0)
+        target = int(m.place[ids[t]])
+        c = int(m.cls[target])
+        z = h @ p["wc"] + p["bc"]
+        score = z[c] - np.log(np.exp(z).sum())
+        if target == m.n:
+            score += m.rare[ids[t]]
+        else:
+            lo, hi = m.bounds[c], m.bounds[c + 1]
+            z = p["wd"][lo:hi] @ h + p["bd"][lo:hi]
+            score += z[target - lo] - np.log(np.exp(z).sum())
+        out.append(score / math.log(10))
+    return out
+
+
+def test_lm_score_equals_a_plain_forward_pass(spark, monkeypatch):
+    rows = [(r.doc_id, r.text[:1_500], None) for r in pd.read_parquet(f"{DIR}/documents.parquet").itertuples()][:60]
+    rows += [(9_000 + i, t, None) for i, t in enumerate(["", None, "one", "zebra xylophone quux 中文 flügel", "end " * 40])]
+    monkeypatch.setattr(lm, "COMMON", 50)  # so that most words meet their counts in the join
+    fitted = lm.fit(frame(spark, rows), share=2)
+    got = {r.doc_id: r.score for r in lm.score_with(fitted, frame(spark, rows)).collect()}
+    count = {r["hash"]: r.n for r in fitted.words.collect()}
+    v = lm.Vocabulary(fitted.ranks.value)
+    for i, text, _ in rows[-20:]:
+        words = lm.tokens_of(text)
+        parts = [v.subwords(w) for w in words]
+        each, at, want = plain_log10(fitted.model, [s for p in parts for s in p]), 0, 0.0
+        for w, p in zip(words, parts):
+            share = (count.get(lm.word_hash(w), 0) + 1) / (fitted.total + fitted.distinct + 1)
+            want += math.log10(lm.SHARE * share + (1 - lm.SHARE) * 10 ** sum(each[at:at + len(p)]))
+            at += len(p)
+        assert abs(got[i] - want) < 1e-3 * max(1, abs(want)), text
+
+
+def test_lm_average_of_tasks(spark):
+    r = np.random.default_rng(8)
+    data, steps = r.normal(size=(700, 3)).astype(np.float32), r.integers(1, 9, 700)
+    rows = [(0, i, int(steps[i]), bytearray(data[i].tobytes())) for i in range(700)]
+    got = lm.averaged(spark.createDataFrame(rows, "piece int, task long, steps long, data binary")).collect()
+    assert len(got) == 1 and got[0].steps == steps.sum()
+    assert np.allclose(np.frombuffer(got[0].data, np.float32), (data * steps[:, None]).sum(axis=0) / steps.sum(), atol=1e-5)
+
+
+def test_lm_training_in_tasks_helps(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    with_, without = (lm.score_with(lm.fit(docs, sample_docs=60, share=share), docs).where("held_out").agg({"score": "sum"}).first()[0] for share in (2, 10 ** 9))
+    assert with_ > without
+
+
 def test_lm_windows_score_each_token_once():
     m = lm.Model(np.arange(lm.IDS) % 7 + 0.0)
-    ends = np.cumsum([1, 2, 15, 16, 17, 28, 29, 200])
+    ends = np.cumsum([1, 2, 15, 16, 17, 31, 32, 33, 56, 57, 200])
     at, scored = m.windows(np.zeros(ends[-1], int), ends)
     assert sorted(at[scored]) == list(range(ends[-1]))
 
