@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -57,7 +58,68 @@ def test_html_copies_are_no_evidence_of_boilerplate(spark):
     assert all(got[20 + i] == f"{max(0, i - 30)} Story {max(0, i - 30)}" for i in range(37))
 
 
+SITE = ("<html><body><div class='a1'><div class='a2'><a href='/'>Start</a> <a href='/x'>Contact us</a></div></div><div class='b1'><h2>{title}</h2>{story}</div>"
+        "<div class='c1'><ul><li>Imprint of the house</li><li>Page seen {i} times</li></ul></div></body></html>")
+
+
+def site(n, host, seed):
+    """Pages whose classes tell nothing; what stands in their b1 is the article."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randrange(2, 8)))
+    out = []
+    for i in range(n):
+        title, parts = f"{word()} {word()}", [" ".join(word() for _ in range(r.randrange(5, 30))) + "." for _ in range(r.randrange(1, 6))]
+        out.append((i, f"https://{host}/{i}", SITE.format(i=r.randrange(3), title=title, story="".join(f"<p>{x}</p>" for x in parts)), " ".join([title, *parts])))
+    return out
+
+
+def test_html_style_tree_decides_without_telling_names(spark):
+    rows = site(60, "telling.example", 1) + [(1000 + i, u, h, t) for i, u, h, t in site(7, "small.example", 2)] + [(2000 + i, u, h, t) for i, u, h, t in site(3, "tiny.example", 3)]
+    got = {r.page_id: r.text for r in htmltext.extract(spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string").repartition(4)).collect()}
+    assert all(got[i] == t for i, _, _, t in rows if i < 2000)
+    assert all(t in got[i] and "Imprint" in got[i] for i, _, _, t in rows if i >= 2000)  # too few pages to tell
+
+
+def test_html_importance_equals_brute_force(spark):
+    pages = site(12, "one.example", 5)
+    pages += [(50 + k, u, h.replace("<p>", "<div>", 1), t) for k, (_, u, h, t) in enumerate(pages[:3])] + pages[:4]
+    got = {r.path: (r.n, r.importance) for r in htmltext.style_tree(spark.createDataFrame([r[:3] for r in pages], "page_id long, url string, html string")).collect()}
+    by_text = {}
+    for _, _, h, _ in pages:
+        by_text.setdefault(htmltext.main_text(h), h)
+    look, content, n = {}, {}, Counter()
+    for h in by_text.values():
+        boxes = []
+        htmltext.walk(h, watch=boxes)
+        for path in {b.path for b in boxes}:
+            n[path] += 1
+            look.setdefault(path, Counter())["|".join(",".join(b.kids) for b in boxes if b.path == path)] += 1
+            inner = [b for b in boxes if any(x is not None and x.path == path for x in (b, b.up, b.up and b.up.up))]
+            content.setdefault(path, Counter()).update({w for b in inner for w in b.content})
+    want = {}
+    for path, m in n.items():
+        h = -sum(c / m * math.log(c / m, m) for c in look[path].values()) if m > 1 else 1
+        rest = 1 - sum(math.log(c, m) for c in content[path].values()) / len(content[path]) if m > 1 and content[path] else 0
+        g = htmltext.GAMMA ** len(look[path])
+        want[path] = (m, (1 - g) * h + g * rest if m > 1 else 1.0)
+    assert got.keys() == want.keys() and len(want) >= 5
+    assert all(got[p][0] == want[p][0] and abs(got[p][1] - want[p][1]) < 1e-9 for p in want)
+
+
+@pytest.mark.parametrize("unit, close", [("<div>", "x"), ("<div>a", ""), ("<a ", ""), ('<a "', ""), ("<b>", "<p>" * 20_000), ("<form><p>", ""), ("<svg><path>", ""), ("<!--", ""), ("<div>", "</ul>" * 50_000)])
+def test_html_takes_linear_time(unit, close):
+    def seconds(n):
+        began = time.process_time()
+        htmltext.counted(unit * n + close)
+        return time.process_time() - began
+    assert seconds(40_000) < 8 * max(0.05, seconds(10_000))
+
+
 @pytest.mark.parametrize("page, text", [
+    ("<form action=/x><article><p>one</p></article><input></form>", "one"), ("<form><p>a</p><p>b</p></form><p>c</p>", "a b c"), ("<p>a</p><p>b</p><form>Search<p>c</p></form>", "a b"),
+    ('<article><h2 id="related-work">Related work</h2><p class="search">kept</p><span class="menu">too</span><div class="share">no</div></article>', "Related work kept too"),
+    ("<article>teaser</article><div><p>" + "the long text of the page " * 9 + "</p></div>", "teaser " + ("the long text of the page " * 9).strip()),
+    ("<article><p>one</p><svg class=i /><p>two</p><math><mi>x</mi></math></article>", "one two"),
     ('<p>before</p><svg class="i"/><p>after one</p><p>after two</p>', "before after one after two"),
     ("<button-group>in</button-group><p>rest</p>", "in rest"),
     ("<html><head><title>t</title><body><article>all of it</article>", "all of it"),
@@ -130,7 +192,7 @@ def test_lm_score_equals_a_plain_forward_pass(spark, monkeypatch):
         each, at, want = plain_log10(fitted.model, [s for p in parts for s in p]), 0, 0.0
         for w, p in zip(words, parts):
             share = (count.get(lm.word_hash(w), 0) + 1) / (fitted.total + fitted.distinct + 1)
-            want += math.log10(lm.SHARE * share + (1 - lm.SHARE) * 10 ** sum(each[at:at + len(p)]))
+            want += math.log10(lm.MIX * share + (1 - lm.MIX) * 10 ** sum(each[at:at + len(p)]))
             at += len(p)
         assert abs(got[i] - want) < 1e-3 * max(1, abs(want)), text
 
