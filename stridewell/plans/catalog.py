@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import scoring as S
 from ..operators import activities as A
 from ..operators import load as L
+from ..schemas import METRICS
+from ..scratch import fresh_path
+from ..sources import exports
+from .. import sinks
 from . import standin, views
 
 QUERIES, ORACLES = {}, {}
@@ -206,3 +210,98 @@ def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = standin.table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
     text = rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("line"))
     return text.select(F.from_json("line", rows.schema).alias("r")).select("r.*")
+
+
+FILES = """
+WITH m AS (
+  SELECT 'o' || event_id // 4 || '.fit' AS name, event_id % 4 AS seq, event_id % 2 = 1 AS odd, user_id AS s, event_id * 7 AS p, floor(value) AS q, event_type AS mode, ts AS ship,
+         CASE event_type WHEN 'click' THEN 'running' WHEN 'view' THEN 'cycling' WHEN 'purchase' THEN 'swimming' ELSE 'rowing' END AS sport
+  FROM events
+), f AS (
+  SELECT name, arg_max(sport, seq) AS activity_type, arg_max({'v': mode}, seq) FILTER (odd) AS mode, arg_max(ship, seq) AS ship,
+         arg_max({'v': q * 60.0::DOUBLE}, seq) FILTER (s % 3 <> 0) AS elapsed, arg_max({'v': CASE WHEN odd THEN CAST(p % 200 AS DOUBLE) END}, seq) FILTER (s % 2 = 0) AS hr,
+         arg_max(s, seq) AS s,
+         CASE WHEN bool_or(s % 4 <> 0) THEN string_agg(CASE WHEN s % 4 <> 0 THEN CAST(CAST(q AS BIGINT) AS VARCHAR) ELSE '-' END, ',' ORDER BY seq) END AS power,
+         CASE WHEN bool_or(p % 3 = 0) THEN string_agg(CASE WHEN p % 3 = 0 THEN CAST(p % 200 AS VARCHAR) ELSE '-' END, ',' ORDER BY seq) END AS heart_rate
+  FROM m GROUP BY name
+), act AS (
+  SELECT name, activity_type, mode.v AS sub_sport, CAST(ship AS TIMESTAMP) AS timestamp,
+         CASE WHEN elapsed IS NULL THEN 0.0::DOUBLE ELSE elapsed.v / 60.0::DOUBLE END AS duration_min,
+         CASE WHEN hr IS NULL THEN 0.0::DOUBLE ELSE hr.v END AS avg_heart_rate, CAST(s AS DOUBLE) AS distance, CAST(NULL AS DOUBLE) AS calories, power, heart_rate
+  FROM f WHERE activity_type <> 'rowing'
+), scored AS (
+  SELECT *, duration_min * CASE WHEN avg_heart_rate IS NULL OR avg_heart_rate = 0 THEN 1.0::DOUBLE ELSE avg_heart_rate / 100.0::DOUBLE END
+         * CASE activity_type WHEN 'running' THEN 1.2::DOUBLE WHEN 'cycling' THEN 1.0::DOUBLE ELSE 0.8::DOUBLE END AS trimp
+  FROM act
+)"""
+
+
+def file_activities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.activities(standin.file_sessions(spark, sf_dir), standin.file_records(spark, sf_dir))
+
+
+@query(FILES + " SELECT name, activity_type, sub_sport, timestamp, round(duration_min, 6) AS duration_min, avg_heart_rate, distance, calories, "
+       + ", ".join(m if m in ("power", "heart_rate") else f"CAST(NULL AS VARCHAR) AS {m}" for m in METRICS) + ", round(trimp, 6) AS trimp FROM scored")
+def activity_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 20 columns; arrays as text, gaps as dashes."""
+    text = {m: F.array_join(F.transform(m, lambda x: x.cast("bigint").cast("string")), ",", "-") for m in METRICS}
+    return rounded(file_activities(spark, sf_dir).withColumns(text), "duration_min", "trimp")
+
+
+@query(FILES + " SELECT name, activity_type, sub_sport, timestamp, round(duration_min, 6) AS duration_min, avg_heart_rate, round(trimp, 6) AS trimp FROM scored")
+def analysis_activities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first part of an analysis."""
+    return rounded(views.analysis(file_activities(spark, sf_dir)).activities, "duration_min", "trimp")
+
+
+@query(FILES.replace("WITH m", "WITH RECURSIVE m") + """, daily AS (
+  SELECT 0 AS athlete_id, CAST(timestamp AS DATE) AS date, coalesce(sum(trimp), 0) AS trimp FROM scored WHERE timestamp IS NOT NULL GROUP BY ALL
+)""" + DENSE + MEANS + METRICS_SELECT.replace("athlete_id, date", "strftime(date, '%Y-%m-%d') AS date", 1))
+def analysis_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second part: metrics with dates as text."""
+    return rounded(views.analysis(file_activities(spark, sf_dir)).metrics, "trimp", "atl", "ctl", "tsb")
+
+
+EXPORTED = """SELECT CAST(event_id AS BIGINT) AS id, CASE WHEN event_id % 9 <> 0 THEN 'a "quoted" ride, ' || event_type END AS name, event_type AS type, strftime(ts, '%Y-%m-%d') AS start_date,
+       value AS elapsed_time, value * 2 AS distance, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS average_heartrate FROM events"""
+
+
+@query(EXPORTED)
+def export_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exported activities through the sink of JSON lines and the reader."""
+    path = fresh_path(spark)
+    sinks.write_json(standin.exports(spark, sf_dir), path)
+    return exports.read_export(spark, path, array=False)
+
+
+@query(EXPORTED)
+def export_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as JSON arrays."""
+    path = fresh_path(spark)
+    sinks.write_json_array(standin.exports(spark, sf_dir), path)
+    return exports.read_export(spark, path)
+
+
+@query(EXPORTED + " WHERE false")
+def export_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exports.no_activities(spark)
+
+
+@query(DAILY + " SELECT athlete_id, date, round(trimp, 6) AS trimp FROM daily WHERE date >= DATE '2024-01-03'")
+def stored_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily loads kept as a table by day; a later read takes only some days' files."""
+    path = fresh_path(spark)
+    sinks.write_table(rounded(L.daily_load(standin.activities(spark, sf_dir)), "trimp"), path, "date")
+    return spark.read.parquet(path).where("date >= date'2024-01-03'").select("athlete_id", "date", "trimp")
+
+
+@query(FILES + " SELECT activity_type, count(*) AS n, round(sum(trimp), 4) AS trimp FROM scored GROUP BY ALL")
+def published_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A published result read again by its name, and withdrawn."""
+    name = "activities_" + fresh_path(spark)[-8:]
+    kept = sinks.publish(file_activities(spark, sf_dir).select("activity_type", "trimp"), name)
+    out = spark.table(name).groupBy("activity_type").agg(F.count("*").alias("n"), F.sum("trimp").alias("trimp"))
+    path = fresh_path(spark)
+    rounded(out, "trimp", digits=4).write.parquet(path)
+    sinks.withdraw(kept, name)
+    return spark.read.parquet(path)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scoring as S
+from ..schemas import METRICS, metric_type
 
 SPORTS = {"click": "running", "view": "cycling", "purchase": "swimming"}
 
@@ -32,6 +33,47 @@ def activities(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "avg_heart_rate", S.trimp(F.col("duration_min"), F.col("avg_heart_rate"), F.col("sport")).alias("trimp"))
 
 
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four events each as the messages of one file."""
+    return table(spark, sf_dir, "events").select(
+        F.concat(F.lit("o"), F.floor(F.col("event_id") / 4), F.lit(".fit")).alias("name"), (F.col("event_id") % 4).cast("int").alias("seq"),
+        F.col("user_id").cast("long").alias("s"), (F.col("event_id") * 7).cast("long").alias("p"), F.floor("value").cast("double").alias("q"),
+        "event_type", "ts")
+
+
+def file_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Session messages: some keys are missing in some, and some heart rates are
+    there but null."""
+    odd, s = F.col("seq") % 2 == 1, F.col("s")
+    key = lambda name, where: F.when(where, F.lit(name))
+    sport = F.lit("rowing")
+    for kind, name in SPORTS.items():
+        sport = F.when(F.col("event_type") == kind, name).otherwise(sport)
+    return messages(spark, sf_dir).select(
+        "name", "seq", sport.alias("sport"), F.col("event_type").alias("sub_sport"), F.col("ts").cast("timestamp_ntz").alias("timestamp"),
+        (F.col("q") * 60.0).alias("total_elapsed_time"), F.when(odd, (F.col("p") % 200).cast("double")).alias("avg_heart_rate"),
+        s.cast("double").alias("total_distance"), F.lit(None).cast("double").alias("total_calories"),
+        F.array_compact(F.array(F.lit("sport"), F.lit("timestamp"), key("sub_sport", odd), key("total_elapsed_time", s % 3 != 0),
+                                key("avg_heart_rate", s % 2 == 0), F.lit("total_distance"))).alias("present"))
+
+
+def file_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples with power and heart rate."""
+    power, rate = F.col("s") % 4 != 0, F.col("p") % 3 == 0
+    values = {"power": F.when(power, F.col("q")), "heart_rate": F.when(rate, (F.col("p") % 200).cast("int"))}
+    return messages(spark, sf_dir).select(
+        "name", F.col("seq").alias("idx"), *[values.get(m, F.lit(None).cast(metric_type(m))).alias(m) for m in METRICS],
+        F.array_compact(F.array(F.when(power, F.lit("power")), F.when(rate, F.lit("heart_rate")))).alias("present"))
+
+
+def exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a tracking service exports activities."""
+    e = table(spark, sf_dir, "events")
+    return e.select(F.col("event_id").cast("long").alias("id"), F.when(F.col("event_id") % 9 != 0, F.concat(F.lit('a "quoted" ride, '), "event_type")).alias("name"),
+                    F.col("event_type").alias("type"), F.date_format("ts", "yyyy-MM-dd").alias("start_date"), F.col("value").alias("elapsed_time"),
+                    (F.col("value") * 2).alias("distance"), F.get_json_object("props", "$.k").cast("double").alias("average_heartrate"))
+
+
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as samples of their user: file order is (ts, event_id), numbers of 0
     are gaps."""

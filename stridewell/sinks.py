@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def write_json(df: DataFrame, path: str) -> None:
@@ -12,6 +14,24 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
+def write_json_array(df: DataFrame, path: str) -> None:
+    """An indented JSON array per part file, replacing what is there; nulls are kept
+    as keys.  An empty part is an empty array."""
+    def lines(batches):
+        held = None  # the last row, until it is known whether another follows
+        for batch in batches:
+            out = []
+            for row in batch["value"].to_pylist():
+                out.append("[" if held is None else f"  {held},")
+                held = row
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+        end = ["[]"] if held is None else [f"  {held}", "]"]
+        yield pa.RecordBatch.from_arrays([pa.array(end, pa.string())], ["value"])
+
+    text = df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
+    text.mapInArrow(lines, "value string").write.mode("overwrite").text(path)
+
+
 def write_table(df: DataFrame, path: str, *partitions: str) -> None:
     df.write.mode("overwrite").partitionBy(*partitions).parquet(path)
 
