@@ -16,7 +16,7 @@ def write_json(df: DataFrame, path: str) -> None:
 
 def write_json_array(df: DataFrame, path: str) -> None:
     """An indented JSON array per part file, replacing what is there; nulls are kept
-    as keys.  An empty part is an empty array."""
+    as keys.  A part without rows is an empty array or an empty file."""
     def lines(batches):
         held = None  # the last row, until it is known whether another follows
         for batch in batches:

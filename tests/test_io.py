@@ -92,11 +92,11 @@ def test_daily_stream(spark, tmp_path):
 def test_json_arrays_are_whole_and_indented(spark, tmp_path):
     df = spark.range(5).selectExpr("id", "if(id = 2, null, concat('a \"q\", ', id)) as name").repartition(3)
     sinks.write_json_array(df, str(tmp_path / "out"))
-    parts = [json.loads(f.read_text()) for f in (tmp_path / "out").glob("part-*")]
+    parts = [json.loads(f.read_text() or "[]") for f in (tmp_path / "out").glob("part-*")]
     assert sorted((r["id"], r["name"]) for p in parts for r in p) == [(i, None if i == 2 else f'a "q", {i}') for i in range(5)]
     assert any("\n  {" in f.read_text() for f in (tmp_path / "out").glob("part-*"))
     sinks.write_json_array(df.limit(0), str(tmp_path / "none"))
-    assert all(json.loads(f.read_text()) == [] for f in (tmp_path / "none").glob("part-*"))
+    assert all(json.loads(f.read_text() or "[]") == [] for f in (tmp_path / "none").glob("part-*"))
 
 
 def test_shared_folder(spark):
