@@ -324,28 +324,33 @@ def repeated_runs(base: DataFrame, length: int) -> DataFrame:
     return whole.unionAll(found)
 
 
-def kept(data: bytes, runs: list, length: int) -> tuple[bytes, int, int]:
-    """Remaining bytes, number of removed bytes, number of removed runs."""
-    out, at, removed, spans = [], 0, 0, 0
-    stop = None
+def kept(data: bytes, runs: list, length: int, whole: bool = False) -> tuple[bytes, int, int]:
+    """Remaining bytes, number of removed bytes, number of removed runs; with
+    ``whole`` characters of UTF-8 that are covered in part stay."""
+    spans: list[list[int]] = []
     for first, last in sorted(runs):
-        if stop is None or first > stop:
-            if stop is not None:
-                at = stop
-            out.append(data[at:first])
-            spans, stop, begin = spans + 1, last + length, first
-            removed += stop - begin
-        elif last + length > stop:
-            removed += last + length - stop
-            stop = last + length
-    out.append(data[stop if stop is not None else 0:])
-    return b"".join(out), removed, spans
-
-
-def remove_repeats(docs: DataFrame, length: int = 100, carry: tuple[str, ...] = (), remains: bool = True) -> DataFrame:
+        if spans and first <= spans[-1][1]:
+            spans[-1][1] = max(spans[-1][1], last + length)
+        else:
+            spans.append([first, last + length])
+    if whole:
+        inside = lambda k: k < len(data) and data[k] & 0xC0 == 0x80
+        for s in spans:
+            while s[0] < s[1] and inside(s[0]):
+                s[0] += 1
+            while s[0] < s[1] and inside(s[1]):
+                s[1] -= 1
+        spans = [s for s in spans if s[0] < s[1]]
+    ends = [0, *(e for _, e in spans)]
+    out = [data[a:b] for a, b in zip(ends, [*(s for s, _ in spans), len(data)])]
+    return b"".join(out), sum(e - s for s, e in spans), len(spans)
+
+
+def remove_repeats(docs: DataFrame, length: int = 100, carry: tuple[str, ...] = (), remains: bool = True, whole: bool = False) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256``, with ``remains`` the
     remaining bytes ``kept``, and the columns ``carry``, for every row of
-    ``docs`` (doc_id integer, text).
+    ``docs`` (doc_id integer, text).  With ``whole``, characters that repeated
+    strings cover in part stay, so ``kept`` is valid UTF-8.
 
     A byte goes if a string of ``length`` bytes over it also starts earlier: in a
     smaller doc_id or earlier in the same text.  Null texts are empty; texts
@@ -368,7 +373,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, carry: tuple[str, ...] =
 
     def run(batches):
         for batch in batches:
-            made = [kept(d.as_py(), [(r["first"], r["last"]) for r in (s.as_py() or ())], length) for d, s in zip(batch["bytes"], batch["runs"])]
+            made = [kept(d.as_py(), [(r["first"], r["last"]) for r in (s.as_py() or ())], length, whole) for d, s in zip(batch["bytes"], batch["runs"])]
             size = [len(d.as_py()) for d in batch["bytes"]]
             yield pa.RecordBatch.from_arrays(
                 [*[batch[c] for c in fields], pa.array(size, pa.int64()), pa.array([m[1] for m in made], pa.int64()),

@@ -452,6 +452,24 @@ def test_repeats_put_no_crowded_trigger_into_one_group(spark, monkeypatch):
     assert got == brute_repeats(rows) and sum(r[2] for r in got) > 10_000
 
 
+def test_cuts_leave_whole_characters():
+    r = random.Random(2)
+    for _ in range(200):
+        text = "".join(r.choice("aé中😀\uFFFD") for _ in range(60))
+        data = text.encode()
+        runs = [(k, k + r.randrange(9)) for k in (r.randrange(len(data) - 12) for _ in range(3))]
+        gone = {i for a, b in runs for i in range(a, b + 4)}
+        at, want = 0, ""
+        for c in text:
+            size = len(c.encode())
+            want += c * (not gone.issuperset(range(at, at + size)))
+            at += size
+        left, n, spans = repeats.kept(data, runs, 4, True)
+        assert left.decode() == want and n == len(data) - len(left)
+        plain = repeats.kept(data, runs, 4)
+        assert plain[0] == bytes(x for i, x in enumerate(data) if i not in gone) and plain[1] == len([i for i in gone if i < len(data)]) and spans <= plain[2]
+
+
 def test_repeats_with_null_and_repeated_ids(spark):
     t = "".join(chr(97 + k * k % 26) + str(k) for k in range(80))
     got = repeats.remove_repeats(frame(spark, [(None, t, "a"), (1, t, "a"), (1, t, "b"), (1, t + "!", "b"), (2, None, "c")]), carry=("source",)).collect()
