@@ -44,15 +44,12 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of passages that an earlier document or place has go.  Where a cut
-    leaves part of a character, that part goes too; texts with nothing left stay,
-    empty."""
+    """Bytes of passages that an earlier document or place has go, characters whole
+    or not at all; texts with nothing left stay, empty."""
     own = plain(docs)
     carry = tuple(c for c in own.columns if c not in ("doc_id", "text", "n_chars"))
-    cut = repeats.remove_repeats(own, carry=carry)
-    text = F.when(F.is_valid_utf8(F.col("kept").cast("string")), F.col("kept").cast("string")).otherwise(
-        F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "\uFFFD", ""))
-    cut = cut.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long"))
+    cut = repeats.remove_repeats(own, carry=carry, whole=True)
+    cut = cut.withColumn("text", F.col("kept").cast("string")).withColumn("n_chars", F.length("text").cast("long"))
     return cut.select(own.columns).toDF(*docs.columns)
 
 
