@@ -9,11 +9,15 @@ downward.  Rows at the boundary are scored exactly.
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialize
 from .neardup import matrix, usable
 
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -104,14 +108,31 @@ class SlicedIndex:
         return ids[at][order], score[order]
 
 
-def search_block(k: int, bits: int, scale: float):
+def build_block(bits: int, scale: float):
+    """The index of a block of rows, as one value."""
     def run(group):
-        ids, asks = group["vec_id"].to_numpy(), group["asks"].to_numpy(zero_copy_only=False)
         ints = np.floor(scale * matrix(group["embedding"])).astype(np.int64)
+        index = SlicedIndex(ints, bits)
+        for kind in (np.int16, np.int32):  # the smallest integers that hold the rows
+            if np.abs(ints).max(initial=0) <= np.iinfo(kind).max:
+                index.rows = ints.astype(kind)
+                break
+        return pa.table({"block": group["block"][:1], "dim": group["dim"][:1],
+                         "data": pa.array([pickle.dumps((index, group["vec_id"].to_numpy()))], pa.binary())})
+    return run
+
+
+def search_block(k: int, scale: float):
+    """The best rows of a block for some queries; the block's index is one of the rows."""
+    def run(group):
         out = {"query_id": [], "vec_id": [], "score": []}
-        if len(asks) - asks.sum() and asks.any():
-            index, kept = SlicedIndex(ints[~asks], bits), ids[~asks]
-            for own, query in zip(ids[asks], ints[asks]):
+        here = group["data"].is_valid()
+        blocks, asked = group.filter(here), group.filter(pc.invert(here))
+        if blocks.num_rows and asked.num_rows:
+            index, kept = pickle.loads(blocks["data"][0].as_py())
+            index.rows = index.rows.astype(np.int64)
+            queries = np.floor(scale * matrix(asked["embedding"])).astype(np.int64)
+            for own, query in zip(asked["vec_id"].to_numpy(), queries):
                 who, score = index.best(query, kept, own, k)
                 out["query_id"].append(np.full(len(who), own))
                 out["vec_id"].append(who)
@@ -131,8 +152,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256
     components take no part, as query or candidate; zero vectors do.  Repeated
     rows are candidates each; a repeated query id is answered once.  Scores and
     components times ``scale`` must fit a long.  Empty tables: no rows.  Extra
-    columns are ignored.  Each pair of a row block and a query block is a group
-    of bounded size; a block returns k rows a query.
+    columns are ignored.  A block's index is built once and sent to every query
+    block; each such pair is a group of bounded size and returns k rows a query.
     """
     def parts(df):
         return df.where(F.col("vec_id").isNotNull() & usable(F.col("embedding")) & (F.size("embedding") > 0)).select(
@@ -142,16 +163,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256
     blocks = max(1, -(-rows.count() // block_rows))
     chunks = max(1, -(-asked.count() // query_rows))
 
-    def spread(df, own, other, mine, theirs, asks):
-        return df.select(F.pmod(F.xxhash64("vec_id"), F.lit(mine)).cast("int").alias(own),
-                         F.explode(F.sequence(F.lit(0), F.lit(theirs - 1))).alias(other), "dim", "vec_id", "embedding",
-                         F.lit(asks).alias("asks"))
-
-    cols = ["block", "chunk", "dim", "vec_id", "embedding", "asks"]
-    dealt = (spread(rows, "block", "chunk", blocks, chunks, False).select(cols)
-             .unionAll(spread(asked, "chunk", "block", chunks, blocks, True).select(cols)))
-    found = dealt.groupBy("block", "chunk", "dim").applyInArrow(
-        search_block(k, bits, scale), "query_id long, vec_id long, score long")
+    block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
+    index = materialize(rows.withColumn("block", block).groupBy("block", "dim").applyInArrow(build_block(bits, scale), "block int, dim int, data binary"))
+    each = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    none = lambda kind: F.lit(None).cast(kind)
+    kind = rows.schema["embedding"].dataType
+    dealt = index.select("block", each(chunks, "chunk"), "dim", none("long").alias("vec_id"), none(kind).alias("embedding"), "data").unionAll(
+        asked.select(each(blocks, "block"), F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).cast("int"), "dim", "vec_id", "embedding", none("binary")))
+    found = dealt.groupBy("block", "chunk", "dim").applyInArrow(search_block(k, scale), "query_id long, vec_id long, score long")
     rank = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return (found.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))
