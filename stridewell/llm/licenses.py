@@ -117,7 +117,15 @@ def gate(confirm: float) -> str:
         pairs = sorted({g for g in grams_of(line) if " " in g}, key=lambda g: (-len(set(g.split()) - PLAIN), -len(g), g))
         spare = sum(k / len(pairs) >= confirm - 1e-9 for k in range(len(pairs) + 1))  # 1 + how many may be lacking
         chosen.update(pairs[:spare])
-    return "(?<![a-z0-9])(?:" + "|".join(g.replace("0", "[0-9]+").replace(" ", "[^a-z0-9]+") for g in sorted(chosen)) + ")(?![a-z0-9])"
+    # by first letter and first word, so that most words of a text are told after a letter
+    spell = lambda w: w.replace("0", "[0-9]+")
+    seconds: dict[str, dict[str, list[str]]] = {}
+    for g in sorted(chosen):
+        first, second = g.split(" ")
+        seconds.setdefault(first[0], {}).setdefault(first, []).append(second)
+    letters = [spell(c) + "(?:" + "|".join(
+        spell(first[1:]) + "[^a-z0-9]+(?:" + "|".join(map(spell, seconds[c][first])) + ")" for first in seconds[c]) + ")" for c in seconds]
+    return "(?<![a-z0-9])(?:" + "|".join(letters) + ")(?![a-z0-9])"
 
 
 def rows(spark: SparkSession, values: list, schema: str) -> DataFrame:
@@ -156,7 +164,7 @@ def examples(unknown: list[str]) -> list[tuple[str, int, bool]]:
     return out
 
 
-def train(spark: SparkSession, unknown: list[str], steps: int = 40, rate: float = 0.6, decay: float = 2e-4) -> tuple[dict, list[float], float]:
+def train(spark: SparkSession, unknown: list[str], steps: int = 30, rate: float = 0.8, decay: float = 2e-4) -> tuple[dict, list[float], float]:
     """Weights by gram, biases, and the calibrated acceptance probability.  A step
     is one small job; weights pass through the driver (as many rows as the
     templates and openings have grams)."""
@@ -171,7 +179,7 @@ def train(spark: SparkSession, unknown: list[str], steps: int = 40, rate: float
     speed = {g: [0.0] * len(FAMILIES) for g in weights}
 
     def probabilities() -> DataFrame:
-        w = rows(spark, [{"gram": g, "w": v} for g, v in weights.items()], "gram string, w array<double>")
+        w = rows(spark, [{"gram": g, "w": [round(x, 4) for x in v]} for g, v in weights.items()], "gram string, w array<double>")
         z = table.join(F.broadcast(w), "gram").groupBy("ex", "y", "held").agg(*[F.sum(F.get("w", k)).alias(f"z{k}") for k in classes])
         top = F.greatest(*[F.col(f"z{k}") for k in classes])
         total = sum((F.exp(F.col(f"z{k}") - top) for k in classes), F.lit(0.0))
@@ -219,7 +227,7 @@ def scan(docs: DataFrame, confirm: float = 0.65, sample: int = 300) -> DataFrame
     pairs = [{g for g in grams_of(line) if " " in g} for _, line in lines]
     every = sorted({*weights, *(g for p in pairs for g in p)})
     classes, none = range(len(FAMILIES)), [0.0] * len(FAMILIES)
-    table = rows(spark, [{"gram": g, "v": weights.get(g, none) + [1.0 / len(p) if g in p else 0.0 for p in pairs]} for g in every], "gram string, v array<double>")
+    table = rows(spark, [{"gram": g, "v": [round(x, 4) for x in weights.get(g, none)] + [round(1 / len(p), 12) if g in p else 0 for p in pairs]} for g in every], "gram string, v array<double>")
     hit = lambda x: F.rlike(F.lower(x), cue)
     base = docs.select("doc_id", F.monotonically_increasing_id().alias("row"),
                        F.when(hit(F.col("text")), F.filter(F.split("text", r"\n[ \t\r]*\n"), hit)).alias("paragraphs"))
