@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import htmltext, licenses, lm, mixing, neardup, ngramjoin, packing, repeats, topk, toxicity
+from . import alignment, archives, htmltext, licenses, lm, mixing, neardup, ngramjoin, packing, repeats, topk, toxicity, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,18 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.ngram_components(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archives.convert(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_html": op1_html,
     "op2_lm": op2_lm,
@@ -64,6 +76,9 @@ QUERIES = {
     "op8_repeats": op8_repeats,
     "op9_toxicity": op9_toxicity,
     "op10_ngram_join": op10_ngram_join,
+    "op11_whitening": op11_whitening,
+    "op12_warc": op12_warc,
+    "op13_alignment": op13_alignment,
 }
 
 OP5_SQL = r"""
@@ -129,4 +144,22 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
-ORACLES = {"op4_neardup": OP4_SQL, "op6_topk": OP6_SQL, "op5_mixing": OP5_SQL}
+OP12_SQL = """
+WITH p AS (
+  SELECT page_id, url, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages
+), d AS (
+  SELECT page_id, url, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes,
+         list_reduce(list_transform(range(1, 41, 5), lambda i: list_reduce(list_transform([15, 10, 5, 0],
+           lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(hex, i, 5) AS INTEGER) >> k) & 31 AS INTEGER) + 1, 1)),
+           lambda a, b: a || b)), lambda a, b: a || b) AS payload_digest
+  FROM p
+), f AS (
+  SELECT *, first_value(page_id) OVER w AS first_id, row_number() OVER w AS n FROM d
+  WINDOW w AS (PARTITION BY payload_digest, payload_bytes ORDER BY page_id NULLS LAST, url)
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN n = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN n > 1 THEN first_id END AS refers_to
+FROM f
+"""
+
+ORACLES = {"op12_warc": OP12_SQL, "op4_neardup": OP4_SQL, "op6_topk": OP6_SQL, "op5_mixing": OP5_SQL}

@@ -34,9 +34,14 @@ def materialize(df: DataFrame) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Delete what ``materialize`` wrote for ``tables``, once nothing reads it again."""
     for table in tables:
-        jvm = table.sparkSession._jvm
-        path = jvm.org.apache.hadoop.fs.Path(table._written_to)
-        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        remove(table.sparkSession, table._written_to)
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Delete folders of intermediate data."""
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def word_count(text: Column) -> Column:
