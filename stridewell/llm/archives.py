@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, remove
+from .common import discard, materialize, remove
 from ..scratch import fresh_path
 
 #: Fixed values of the ARC format: the fields of a record's header line by version.
@@ -348,10 +348,11 @@ def convert(pages: DataFrame, least: int = 0) -> DataFrame:
     old = [fresh_path(spark) for _ in range(2)]
     write_arc(rows.where(~second), old[0], 1, fields=("page_id",))
     write_arc(rows.where(second), old[1], 2, fields=("page_id",))
-    parsed = materialize(read_arc(spark, *old))
+    parsed = materialize(read_arc(spark, *old), "zstd")
+    remove(spark, *old)
     path = fresh_path(spark)
     write_warc(parsed, path, "X-Page-Id", least)
-    remove(spark, *old, parsed._written_to)
+    discard(parsed)
     number = F.regexp_extract(F.col("head").cast("string"), r"\r\nX-Page-Id: (-?\d+)\r\n", 1).try_cast("long")
     return read_warc(spark, path, payloads=False).select(
         number.alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", F.col("uri").alias("url"), F.col("date").alias("warc_date"))
