@@ -30,6 +30,13 @@ def sample_arrays(records: DataFrame, metrics: tuple[str, ...] = METRICS) -> Dat
     return one.select("name", *[F.when(F.col(f"has_{m}"), F.col(f"samples.{m}")).alias(m) for m in metrics])
 
 
+def scored(sessions: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+    """Sessions of supported sports (``sport``, ``elapsed`` seconds, ``avg_heart_rate``)
+    with minutes and load; other columns stay."""
+    s = sessions.where(S.supported(F.col("sport"), weights)).withColumn("duration_min", S.minutes(F.col("elapsed")))
+    return s.withColumn("trimp", S.trimp(F.col("duration_min"), F.col("avg_heart_rate"), F.col("sport"), weights)).withColumnRenamed("sport", "activity_type").drop("elapsed")
+
+
 def activities(sessions: DataFrame, records: DataFrame | None = None, weights: dict[str, float] | None = None) -> DataFrame:
     """The 20 columns of activities of supported sports.
 
@@ -40,10 +47,8 @@ def activities(sessions: DataFrame, records: DataFrame | None = None, weights: d
     there = lambda k: F.array_contains("keys", k)
     elapsed = F.when(there("total_elapsed_time"), F.col("total_elapsed_time")).otherwise(F.lit(0.0))
     rate = F.when(there("avg_heart_rate"), F.col("avg_heart_rate")).otherwise(F.lit(0.0))
-    s = s.where(S.supported(F.col("sport"), weights)).select(
-        "name", F.col("sport").alias("activity_type"), "sub_sport", "timestamp", S.minutes(elapsed).alias("duration_min"),
-        rate.alias("avg_heart_rate"), F.col("total_distance").alias("distance"), F.col("total_calories").alias("calories"))
-    s = s.withColumn("trimp", S.trimp(F.col("duration_min"), F.col("avg_heart_rate"), F.col("activity_type"), weights))
+    s = scored(s.select("name", "sport", "sub_sport", "timestamp", elapsed.alias("elapsed"), rate.alias("avg_heart_rate"),
+                        F.col("total_distance").alias("distance"), F.col("total_calories").alias("calories")), weights)
     if records is None:
         kind = lambda m: "array<int>" if m == "heart_rate" else "array<double>"
         return s.select(*[F.col(c) if c in s.columns else F.lit(None).cast(kind(c)).alias(c) for c in ACTIVITY_COLUMNS])

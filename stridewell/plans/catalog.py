@@ -10,7 +10,7 @@ from ..operators import activities as A
 from ..operators import load as L
 from ..schemas import METRICS
 from ..scratch import fresh_path
-from ..sources import exports
+from ..sources import exports, fit
 from .. import sinks
 from . import standin, views
 
@@ -305,3 +305,41 @@ def published_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     rounded(out, "trimp", digits=4).write.parquet(path)
     sinks.withdraw(kept, name)
     return spark.read.parquet(path)
+
+
+FIT = """
+WITH e AS (
+  SELECT 'u' || user_id || '.fit' AS name, event_id AS i, event_type, date_trunc('second', ts) AS moment, value,
+         CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INTEGER) AS idx FROM events
+), s AS (
+  SELECT name, arg_max(CASE event_type WHEN 'click' THEN 'running' WHEN 'view' THEN 'cycling' WHEN 'purchase' THEN 'swimming' ELSE 'generic' END, idx) AS sport,
+         max(moment) AS moment, arg_max(i % 7200 + 0.5::DOUBLE, idx) AS elapsed, CAST(arg_max(i, idx) AS DOUBLE) AS distance,
+         arg_max({'v': CASE WHEN i % 2 = 0 THEN CAST(i % 200 AS DOUBLE) END}, idx) FILTER (i % 3 = 0) AS hr
+  FROM e WHERE i % 5 = 0 GROUP BY name
+)"""
+
+
+def fit_files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of FIT files, one per user, written from events."""
+    path = fresh_path(spark)
+    fit.register(spark)
+    fit.write_fit(*standin.fit_messages(spark, sf_dir), path)
+    return path
+
+
+@query(FIT + """ SELECT name, idx, CAST(moment AS TIMESTAMP) AS timestamp, i % 500 / 8.0::DOUBLE AS speed, floor(value) AS power,
+  CAST(CASE WHEN i % 3 = 0 AND i % 2 = 0 THEN i % 200 END AS INTEGER) AS heart_rate, i % 3 = 0 AS has_rate FROM e""")
+def fit_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples through FIT files and back: encoded, with checksums, found and decoded."""
+    r = fit.read_fit(spark, fit_files(spark, sf_dir), "record")
+    return r.select("name", "idx", "timestamp", "speed", "power", "heart_rate", F.array_contains("present", "heart_rate").alias("has_rate"))
+
+
+@query(FIT + """ SELECT name, sport AS activity_type, CAST(moment AS TIMESTAMP) AS timestamp, round(elapsed / 60, 6) AS duration_min,
+  CASE WHEN hr IS NULL THEN 0.0::DOUBLE ELSE hr.v END AS avg_heart_rate, distance,
+  round(elapsed / 60 * CASE WHEN hr IS NULL OR hr.v IS NULL OR hr.v = 0 THEN 1.0::DOUBLE ELSE hr.v / 100 END
+        * CASE sport WHEN 'running' THEN 1.2::DOUBLE WHEN 'cycling' THEN 1.0::DOUBLE ELSE 0.8::DOUBLE END, 6) AS trimp FROM s WHERE sport <> 'generic'""")
+def fit_activities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of FIT files, folded to activities."""
+    a = A.activities(fit.read_fit(spark, fit_files(spark, sf_dir)))
+    return rounded(a.select("name", "activity_type", "timestamp", "duration_min", "avg_heart_rate", "distance", "trimp"), "duration_min", "trimp")

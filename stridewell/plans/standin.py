@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import scoring as S
+from ..operators import activities as A
 from ..schemas import METRICS, metric_type
 
 SPORTS = {"click": "running", "view": "cycling", "purchase": "swimming"}
@@ -28,9 +28,7 @@ def raw_activities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def activities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = raw_activities(spark, sf_dir).where(S.supported(F.col("sport"))).withColumn("duration_min", S.minutes(F.col("elapsed")))
-    return a.select("event_id", "athlete_id", "name", F.col("sport").alias("activity_type"), "sub_sport", "timestamp", "duration_min",
-                    "avg_heart_rate", S.trimp(F.col("duration_min"), F.col("avg_heart_rate"), F.col("sport")).alias("trimp"))
+    return A.scored(raw_activities(spark, sf_dir)).select("event_id", "athlete_id", "name", "activity_type", "sub_sport", "timestamp", "duration_min", "avg_heart_rate", "trimp")
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,3 +93,24 @@ def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("value") * 2).alias("altitude"), F.when(odd & ~gap, F.col("value") * 3).alias("enhanced_altitude"),
         F.when(odd, F.array(F.lit("speed"), F.lit("enhanced_speed"), F.lit("altitude"), F.lit("enhanced_altitude")))
         .otherwise(F.array(F.lit("speed"), F.lit("altitude"))).alias("present"))
+
+
+def fit_messages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Events of a user as the messages of one file: every event is a sample, every
+    fifth a session too; a third of the samples have a heart rate, seconds are whole."""
+    e = table(spark, sf_dir, "events")
+    i, at = F.col("event_id"), F.date_trunc("second", "ts").cast("timestamp_ntz")
+    name, order = F.concat(F.lit("u"), "user_id", F.lit(".fit")).alias("name"), F.struct("ts", "event_id")
+    records = e.select(name, order.alias("idx"), at.alias("timestamp"), (i % 500 / 8).alias("speed"), F.floor("value").cast("double").alias("power"),
+                       F.when(i % 2 == 0, i % 200).cast("int").alias("heart_rate"),
+                       F.array_compact(F.array(F.lit("timestamp"), F.lit("speed"), F.lit("power"), F.when(i % 3 == 0, F.lit("heart_rate")))).alias("present"),
+                       F.when(i % 4 == 0, F.create_map(F.lit("field_200"), F.col("value"))).alias("others"))
+    sport = F.lit("generic")
+    for kind, label in SPORTS.items():
+        sport = F.when(F.col("event_type") == kind, label).otherwise(sport)
+    sessions = e.where(i % 5 == 0).select(
+        name, order.alias("seq"), sport.alias("sport"), at.alias("timestamp"), (i % 7200 + F.lit(0.5)).alias("total_elapsed_time"),
+        F.when(i % 2 == 0, i % 200).cast("double").alias("avg_heart_rate"), i.cast("double").alias("total_distance"),
+        F.array_compact(F.array(F.lit("sport"), F.lit("timestamp"), F.lit("total_elapsed_time"), F.lit("total_distance"),
+                                F.when(i % 3 == 0, F.lit("avg_heart_rate")))).alias("present"))
+    return sessions, records

@@ -1,26 +1,33 @@
 """Workout files of the FIT protocol as a Spark data source.
 
 ``spark.read.format("fit").option("message", "session" | "record").load(folder)``
-after ``register(spark)``.  Each file is an input partition of its own; only
-metrics that are asked for are decoded.  A broken file fails the read, or with
+after ``register(spark)``; ``write_fit`` writes such files from tables.  Many small
+files share an input partition; only metrics that are asked for are decoded.  A
+broken file, one whose checksum does not hold too, fails the read, or with
 ``onError=skip`` gives no rows.
 
-The decoder covers what the public protocol says of normal and compressed
-headers, definition and data messages, developer fields, both byte orders and
-invalid values.
+Decoder and encoder cover what the public protocol says of normal and compressed
+headers, definition and data messages, developer fields, both byte orders, invalid
+values, checksums and chained files.
 """
 
 from __future__ import annotations
 
 import datetime
+import functools
 import struct
-from collections.abc import Iterator
+import tempfile
+import uuid
+from collections.abc import Iterable, Iterator
 
+from pyarrow.fs import FileSelector, FileType
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
-from ..schemas import METRICS, RECORDS, SESSIONS
+from ..schemas import METRICS, RECORDS, SESSION_FIELDS, SESSIONS, metric_type
+from .files import listed, store
 
 #: Fixed values of the protocol: message numbers, and per field number its name,
 #: scale and offset.
@@ -42,6 +49,34 @@ SUB_SPORTS = {0: "generic", 1: "treadmill", 2: "street", 3: "trail", 4: "track",
 EPOCH = datetime.datetime(1989, 12, 31)
 
 
+#: Base type of each field that the encoder writes.
+BASES = {
+    18: {253: 0x86, 5: 0x00, 6: 0x00, 7: 0x86, 9: 0x86, 11: 0x84, 16: 0x02},
+    20: {253: 0x86, 0: 0x85, 1: 0x85, 2: 0x84, 3: 0x02, 4: 0x02, 6: 0x84, 7: 0x84, 13: 0x01, 73: 0x86, 78: 0x86},
+}
+#: What a message that is no known metric is called: its field number.
+OTHER = "field_"
+#: Bytes of files in an input partition, and what opening one counts.
+PACK, OPENING = 32 << 20, 64 << 10
+
+
+@functools.cache
+def crc_table() -> tuple[int, ...]:
+    """CRC-16 with the reversed polynomial 0xA001, a byte at a time."""
+    def of(byte: int) -> int:
+        for _ in range(8):
+            byte = byte >> 1 ^ (0xA001 if byte & 1 else 0)
+        return byte
+    return tuple(of(i) for i in range(256))
+
+
+def crc(data: bytes, start: int = 0) -> int:
+    table = crc_table()
+    for byte in data:
+        start = start >> 8 ^ table[(start ^ byte) & 0xFF]
+    return start
+
+
 def value_of(name: str, raw, scale: int, offset: int):
     if raw is None:
         return None
@@ -54,14 +89,35 @@ def value_of(name: str, raw, scale: int, offset: int):
     return int(raw) if name == "heart_rate" else raw / scale - offset if scale != 1 or offset else float(raw)
 
 
-def messages(data: bytes, wanted: int) -> Iterator[dict]:
-    """Messages of one kind, as name -> value; a repeated field's last value holds."""
-    size, = struct.unpack_from("<I", data, 4)
-    if data[8:12] != b".FIT":
-        raise ValueError("not a FIT file")
-    at, end, layouts, clock = data[0], data[0] + size, {}, None
-    if end > len(data):
-        raise ValueError("the file ends early")
+def chained(data: bytes) -> Iterator[bytes]:
+    """The files that were put one behind the other in a file, each with its header and checksum."""
+    at = 0
+    while at < len(data) or not at:
+        if len(data) - at < 14 or data[at + 8:at + 12] != b".FIT":
+            raise ValueError("not a FIT file" if not at else f"no FIT file follows at byte {at}")
+        head, size = data[at], struct.unpack_from("<I", data, at + 4)[0]
+        end = at + head + size
+        if end + 2 > len(data):
+            raise ValueError("the file ends early")
+        told = struct.unpack_from("<H", data, at + 12)[0] if head >= 14 else 0
+        if told and told != crc(data[at:at + 12]):
+            raise ValueError(f"the checksum of the header at byte {at} does not hold")
+        if struct.unpack_from("<H", data, end)[0] != crc(data[at:end]):
+            raise ValueError(f"the checksum of the file at byte {at} does not hold")
+        yield data[at:end + 2]
+        at = end + 2
+
+
+def messages(data: bytes, wanted: int, others: bool = False) -> Iterator[dict]:
+    """Messages of one kind of a file and those chained to it, as name -> value; a
+    repeated field's last value holds.  With ``others`` numbers of unknown fields are
+    kept under ``field_`` and their number."""
+    for part in chained(data):
+        yield from own_messages(part, wanted, others)
+
+
+def own_messages(data: bytes, wanted: int, others: bool) -> Iterator[dict]:
+    at, end, layouts, clock = data[0], len(data) - 2, {}, None
     names = FIELDS[wanted]
     while at < end:
         head = data[at]
@@ -86,6 +142,8 @@ def messages(data: bytes, wanted: int) -> Iterator[dict]:
             out["timestamp"] = value_of("timestamp", clock, 1, 0)
         for field, length, base in fields:
             known = names.get(field) if number == wanted else None
+            if others and number == wanted and not known and field != 253:
+                known = (f"{OTHER}{field}", 1, 0)
             if (known or field == 253) and base in TYPES:
                 code, missing = TYPES[base]
                 if length == struct.calcsize(code):
@@ -101,36 +159,175 @@ def messages(data: bytes, wanted: int) -> Iterator[dict]:
             yield out
 
 
+def raw_of(name: str, value, scale: int, offset: int, code: str, missing) -> int | float:
+    """A value as its field stores it; raises where it has no place."""
+    if value is None:
+        return float("nan") if missing is None else missing
+    if name == "timestamp":
+        value = (value - EPOCH).total_seconds()
+    elif name in ("sport", "sub_sport"):
+        known = SPORTS if name == "sport" else SUB_SPORTS
+        value = next((k for k, v in known.items() if v == value), value)
+        value = int(value) if str(value).isdigit() else value
+        if isinstance(value, str):
+            raise ValueError(f"{name} {value!r} has no number")
+    if code in "fd":
+        return float(value)
+    raw = round((value + offset) * scale)
+    low, high = (0, 2 ** (8 * struct.calcsize(code)) - 1) if code.isupper() else (-2 ** (8 * struct.calcsize(code) - 1), 2 ** (8 * struct.calcsize(code) - 1) - 1)
+    if not low <= raw <= high or raw == missing:
+        raise ValueError(f"{name} {value} does not fit its field")
+    return raw
+
+
+class Encoder:
+    """Messages as bytes: a definition where the fields change, then the data."""
+
+    def __init__(self):
+        self.layouts: dict[int, tuple] = {}
+
+    def message(self, number: int, values: dict) -> bytes:
+        numbers = {f[0]: k for k, f in FIELDS[number].items()}
+        fields = []
+        for name, value in values.items():
+            if name in numbers:
+                k = numbers[name]
+                fields.append((k, BASES[number][k], value, *FIELDS[number][k]))
+            elif name.startswith(OTHER) and 0 <= int(name[len(OTHER):]) < 256:  # a double: any number has a place
+                fields.append((int(name[len(OTHER):]), 0x89, value, name, 1, 0))
+            else:
+                raise ValueError(f"{name} has no field number")
+        fields.sort(key=lambda f: f[0])
+        local, layout = (1 if number == MESSAGES["session"] else 0), tuple(f[:2] for f in fields)
+        out = b""
+        if self.layouts.get(local) != layout:
+            self.layouts[local] = layout
+            sizes = [(k, struct.calcsize(TYPES[b][0]), b) for k, b in layout]
+            out = bytes([0x40 | local, 0, 0]) + struct.pack("<HB", number, len(layout)) + b"".join(bytes(x) for x in sizes)
+        data = b"".join(struct.pack("<" + TYPES[b][0], raw_of(name, v, scale, offset, *TYPES[b])) for _, b, v, name, scale, offset in fields)
+        return out + bytes([local]) + data
+
+
+def header(size: int) -> bytes:
+    head = struct.pack("<BBHI4s", 14, 0x20, 2132, size, b".FIT")
+    return head + struct.pack("<H", crc(head))
+
+
+def encode(parts: Iterable[tuple[str, dict]]) -> bytes:
+    """A whole file of (kind, name -> value) messages."""
+    own = Encoder()
+    body = b"".join(own.message(MESSAGES[kind], values) for kind, values in parts)
+    out = header(len(body)) + body
+    return out + struct.pack("<H", crc(out))
+
+
 class FilePartition(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, paths: list[str]):
+        self.paths = paths
 
 
 class FitReader(DataSourceReader):
-    def __init__(self, options: dict):
+    def __init__(self, options: dict, files: list[tuple[str, int]]):
         self.kind, self.skip = options.get("message", "session"), options.get("onerror", "fail") == "skip"
-        self.paths = [p for p in options.get("files", "").split("\n") if p]
+        self.others, self.files = options.get("others", "false") == "true", files
 
     def partitions(self):
-        return [FilePartition(p) for p in self.paths] or [FilePartition("")]
+        packs, size = [[]], 0
+        for path, n in self.files:
+            if packs[-1] and size + n + OPENING > PACK:
+                packs.append([])
+                size = 0
+            packs[-1].append(path)
+            size += n + OPENING
+        return [FilePartition(p) for p in packs]
 
     def read(self, partition: FilePartition):
-        if not partition.path:
-            return
-        try:
-            with open(partition.path, "rb") as f:
-                rows = list(rows_of(partition.path.rpartition("/")[2], f.read(), self.kind))
-        except (ValueError, KeyError, struct.error, IndexError, OSError):
-            if self.skip:
-                return
-            raise
-        yield from rows
-
-
-def rows_of(name: str, data: bytes, kind: str) -> Iterator[tuple]:
+        for path in partition.paths:
+            try:
+                system, own = store(path)
+                with system.open_input_stream(own) as f:
+                    rows = list(rows_of(path.rpartition("/")[2], f.read(), self.kind, self.others))
+            except (ValueError, KeyError, struct.error, IndexError, OSError) as e:
+                if self.skip:
+                    continue
+                raise ValueError(f"{path}: {e}") from e
+            yield from rows
+
+
+def rows_of(name: str, data: bytes, kind: str, others: bool = False) -> Iterator[tuple]:
     schema = SESSIONS if kind == "session" else RECORDS
-    for i, m in enumerate(messages(data, MESSAGES[kind])):
-        yield tuple(name if c == "name" else i if c in ("seq", "idx") else sorted(m) if c == "present" else m.get(c) for c in schema.names)
+    for i, m in enumerate(messages(data, MESSAGES[kind], others)):
+        row = [name if c == "name" else i if c in ("seq", "idx") else sorted(m) if c == "present" else m.get(c) for c in schema.names]
+        yield (*row, {k: v for k, v in m.items() if k.startswith(OTHER)}) if others else tuple(row)
+
+
+class Written(WriterCommitMessage):
+    def __init__(self, files: list[tuple[str, str]]):
+        self.files = files
+
+
+class FitWriter(DataSourceWriter):
+    """A file per name.  Rows come sorted by name; each file is built in a temporary
+    file of the task, put into a staging folder and moved when all tasks are done,
+    so a task that is lost or runs twice leaves nothing behind."""
+
+    def __init__(self, path: str, names: list[str], overwrite: bool):
+        self.path, self.names, self.overwrite = path.rstrip("/"), names, overwrite
+        self.staging = f"{self.path}/_staging-{uuid.uuid4().hex}"
+
+    def write(self, rows: Iterator) -> Written:
+        system, staging = store(self.staging)
+        system.create_dir(staging, recursive=True)
+        done, name, body, size, own = [], None, None, 0, None
+
+        def close():
+            path = f"{staging}/{uuid.uuid4().hex}"
+            head = header(size)
+            check = crc(head)
+            body.seek(0)
+            with system.open_output_stream(path) as out:
+                out.write(head)
+                while part := body.read(1 << 20):
+                    check = crc(part, check)
+                    out.write(part)
+                out.write(struct.pack("<H", check))
+            body.close()
+            done.append((path, name))
+
+        for row in rows:
+            r = row.asDict()
+            if r["name"] != name:
+                if body:
+                    close()
+                name, body, size, own = r["name"], tempfile.SpooledTemporaryFile(max_size=8 << 20), 0, Encoder()
+                if not name or "/" in name or not name.endswith(".fit"):
+                    raise ValueError(f"{name!r} is no name of a .fit file")
+            values = {k: r.get(k) for k in r["present"] or ()} | dict(r.get("others") or {})
+            data = own.message(MESSAGES[r["message"]], values)
+            body.write(data)
+            size += len(data)
+        if body:
+            close()
+        return Written(done)
+
+    def commit(self, messages: list) -> None:
+        files = [f for m in messages if m for f in m.files]
+        if len({name for _, name in files}) < len(files):
+            self.abort(messages)
+            raise ValueError("a file's messages came from several tasks: partition by name")
+        system, folder = store(self.path)
+        if self.overwrite:
+            for old in system.get_file_info(FileSelector(folder, allow_not_found=True)):
+                if old.path.endswith(".fit"):
+                    system.delete_file(old.path)
+        for path, name in files:
+            system.move(path, f"{folder}/{name}")
+        self.abort(messages)
+
+    def abort(self, messages: list) -> None:
+        system, staging = store(self.staging)
+        if system.get_file_info(staging).type == FileType.Directory:
+            system.delete_dir(staging)
 
 
 class FitSource(DataSource):
@@ -141,24 +338,61 @@ class FitSource(DataSource):
         return "fit"
 
     def schema(self):
-        return SESSIONS if self.options.get("message", "session") == "session" else RECORDS
+        own = SESSIONS if self.options.get("message", "session") == "session" else RECORDS
+        if self.options.get("others", "false") == "true":
+            own = T.StructType([*own.fields, T.StructField("others", T.MapType(T.StringType(), T.DoubleType()))])
+        return own
 
     def reader(self, schema):
-        import glob
-
         options = dict(self.options)
-        folder = options.get("path", "").removeprefix("file:")
-        options["files"] = "\n".join(sorted(glob.glob(f"{glob.escape(folder)}/*.fit") + glob.glob(f"{glob.escape(folder)}/.*.fit")))
-        return FitReader(options)
+        if "files" in options:  # as read_fit lists them
+            return FitReader(options, [(p, int(n)) for n, _, p in (f.partition(" ") for f in options["files"].split("\n") if f)])
+        path = options.get("path", "")
+        system, folder = store(path)
+        scheme = path[:path.index("://") + 3] if "://" in path and not path.startswith("file:") else ""
+        found = sorted((f"{scheme}{f.path}", f.size) for f in system.get_file_info(FileSelector(folder, allow_not_found=True)) if f.is_file and f.path.endswith(".fit"))
+        return FitReader(options, found)
+
+    def writer(self, schema, overwrite: bool):
+        return FitWriter(self.options["path"], schema.names, overwrite)
 
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(FitSource)
 
 
-def decode(spark: SparkSession, folder: str, kind: str = "session") -> DataFrame:
-    """The same from any store that Spark reads: files come as binary rows, and a
-    broken file gives no rows.  Hidden files are left out."""
+def write_fit(sessions: DataFrame, records: DataFrame, path: str, mode: str = "append") -> None:
+    """Sessions and samples (``name``, ``seq`` or ``idx``, fields, ``present``; samples may
+    have a map ``others`` of field_N to numbers) as one file per name: samples in
+    order, then sessions.  A field is written where ``present`` names it, a null as
+    the value that means missing.  Values that have no place in their field, and
+    names that are none of a file, raise.  ``overwrite`` replaces the folder's files.
+    """
+    kinds = {"timestamp": T.TimestampNTZType(), **{m: metric_type(m) for m in METRICS}, **SESSION_FIELDS}
+
+    def rows(df: DataFrame, kind: str, order: str) -> DataFrame:
+        field = lambda k: (F.col(k) if k in df.columns else F.lit(None)).cast(kinds[k]).alias(k)
+        others = F.col("others") if "others" in df.columns else F.lit(None)
+        return df.select("name", F.lit(kind).alias("message"), F.col(order).alias(f"{kind}_order"), "present",
+                         others.cast("map<string,double>").alias("others"), *[field(k) for k in kinds])
+
+    order = ("record_order", "session_order")
+    both = rows(records, "record", "idx").unionByName(rows(sessions, "session", "seq"), allowMissingColumns=True)
+    both.repartition("name").sortWithinPartitions("name", "message", *order).drop(*order).write.format("fit").mode(mode).save(path)
+
+
+def read_fit(spark: SparkSession, folder: str, kind: str = "session", others: bool = False, on_error: str = "fail") -> DataFrame:
+    """Messages of the files of a folder that Spark's file systems list, hidden ones too."""
+    register(spark)
+    files = "\n".join(f"{n} {p}" for p, n in listed(spark, folder, "*.fit"))
+    return (spark.read.format("fit").option("message", kind).option("others", str(others).lower())
+            .option("onError", on_error).option("files", files).load(folder))
+
+
+def decode(spark: SparkSession, folder: str, kind: str = "session", on_error: str = "skip") -> DataFrame:
+    """The same from any store that Spark reads: files come as binary rows.  A broken
+    file gives no rows, or with ``on_error="fail"`` fails the read.  Hidden files are
+    left out."""
     schema = SESSIONS if kind == "session" else RECORDS
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.fit").load(folder).select("path", "content")
 
@@ -166,14 +400,14 @@ def decode(spark: SparkSession, folder: str, kind: str = "session") -> DataFrame
         import pandas as pd
 
         for batch in batches:
-            out = []
             for path, content in zip(batch["path"], batch["content"]):
                 try:
-                    out += list(rows_of(path.rpartition("/")[2], content, kind))
-                except (ValueError, KeyError, struct.error, IndexError):
-                    continue
-            yield pd.DataFrame(out, columns=schema.names).astype(
-                {"heart_rate": "Int32"} if kind == "record" else {})
+                    out = list(rows_of(path.rpartition("/")[2], content, kind))
+                except (ValueError, KeyError, struct.error, IndexError) as e:
+                    if on_error == "skip":
+                        continue
+                    raise ValueError(f"{path}: {e}") from e
+                yield pd.DataFrame(out, columns=schema.names).astype({"heart_rate": "Int32"} if kind == "record" else {})
 
     return files.mapInPandas(run, schema).select(*[F.col(c) for c in schema.names])
 

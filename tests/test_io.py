@@ -4,6 +4,7 @@ import struct
 
 import pytest
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 from stridewell import sinks
 from stridewell.sources import exports, fit
@@ -22,7 +23,8 @@ def message(local, number, fields, order="<"):
 
 def fit_file(*parts):
     body = b"".join(parts)
-    return struct.pack("<BBHI4sH", 14, 16, 2000, len(body), b".FIT", 0) + body + b"\0\0"
+    data = struct.pack("<BBHI4sH", 14, 16, 2000, len(body), b".FIT", 0) + body
+    return data + struct.pack("<H", fit.crc(data))
 
 
 WORKOUT = fit_file(
@@ -57,6 +59,63 @@ def test_fit_source(spark, folder):
         spark.read.format("fit").load(folder).collect()
 
 
+def test_checksum_and_chained_files(spark, tmp_path):
+    assert fit.crc(b"123456789") == 0xBB3D  # the check value of this CRC
+    (tmp_path / "a.fit").write_bytes(WORKOUT + WORKOUT)
+    (tmp_path / ".hidden.fit").write_bytes(WORKOUT)
+    assert [r.seq for r in fit.read_fit(spark, str(tmp_path)).where("name = 'a.fit'").collect()] == [0, 1]
+    assert fit.read_fit(spark, str(tmp_path), "record").groupBy("name").count().orderBy("name").collect() == [(".hidden.fit", 3), ("a.fit", 6)]
+    for at, told in ((40, "checksum of the file"), (len(WORKOUT) - 1, "checksum of the file"), (8, "not a FIT file")):
+        bad = bytearray(WORKOUT)
+        bad[at] ^= 1
+        with pytest.raises(ValueError, match=told):
+            list(fit.messages(bytes(bad), 18))
+    bad = bytearray(fit.encode([("session", {"sport": "running"})]))
+    bad[2] ^= 1
+    with pytest.raises(ValueError, match="header"):
+        list(fit.messages(bytes(bad), 18))
+    with pytest.raises(ValueError, match="follows"):
+        list(fit.messages(WORKOUT + b"junk" * 9, 18))
+    (tmp_path / "b.fit").write_bytes(bytes(bad))
+    assert fit.read_fit(spark, str(tmp_path), on_error="skip").count() == 3
+    with pytest.raises(Exception, match="b.fit"):
+        fit.read_fit(spark, str(tmp_path)).collect()
+    assert fit.read_fit(spark, str(tmp_path / "nowhere")).count() == 0
+
+
+def test_tables_to_files_and_back(spark, tmp_path):
+    at = lambda n: START + dt.timedelta(seconds=n)
+    sessions = spark.createDataFrame([
+        dict(name="x.fit", seq=1, sport="cycling", sub_sport="road", timestamp=at(9), total_elapsed_time=12.345, avg_heart_rate=None, total_distance=1.5,
+            total_calories=None, present=["sport", "sub_sport", "timestamp", "total_elapsed_time", "avg_heart_rate", "total_distance"]),
+        dict(name="x.fit", seq=0, sport="77", sub_sport=None, timestamp=at(8), total_elapsed_time=None, avg_heart_rate=60.0, total_distance=None,
+            total_calories=300.0, present=["sport", "timestamp", "avg_heart_rate", "total_calories"])], fit.SESSIONS)
+    sample = {m: None for m in fit.METRICS} | {"timestamp": None}
+    records = spark.createDataFrame([
+        dict(sample, name="x.fit", idx=5, timestamp=at(2), power=250.0, heart_rate=141, altitude=-12.0, position_lat=-5.0, temperature=-3.0,
+                            present=["timestamp", "power", "heart_rate", "altitude", "position_lat", "temperature"]),
+        dict(sample, name="x.fit", idx=7, timestamp=at(3), power=None, present=["timestamp", "power"]),
+        dict(sample, name="x.fit", idx=3, timestamp=at(1), speed=3.25, enhanced_speed=70.5, present=["timestamp", "speed", "enhanced_speed"]),
+        dict(sample, name="y.fit", idx=0, present=[])], fit.RECORDS)
+    fit.register(spark)
+    folder = str(tmp_path / "out")
+    fit.write_fit(sessions, records, folder)
+    key = lambda r: (r["name"], r.get("idx", r.get("seq")))
+    got = sorted((r.asDict() for r in fit.read_fit(spark, folder, "record").collect()), key=key)
+    want = sorted((r.asDict() for r in records.collect()), key=key)
+    assert [g | {"idx": None} for g in got] == [w | {"idx": None, "present": sorted(w["present"])} for w in want]
+    back = sorted((r.asDict() for r in fit.read_fit(spark, folder).collect()), key=key)
+    assert back == [w | {"present": sorted(w["present"])} for w in sorted((r.asDict() for r in sessions.collect()), key=key)]
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["x.fit", "y.fit"]  # no staging is left
+    fit.write_fit(sessions.where("false"), records.where("name = 'y.fit'").withColumn("others", F.create_map(F.lit("field_200"), F.lit(1e9))), folder, "overwrite")
+    (r,) = fit.read_fit(spark, folder, "record", others=True).collect()
+    assert (r["name"], r["others"]) == ("y.fit", {"field_200": 1e9})
+    for bad in (dict(name="z", present=[]), dict(name="z.fit", heart_rate=255, present=["heart_rate"]), dict(name="z.fit", watts=1.0, present=["watts"])):
+        with pytest.raises(Exception, match="no name|does not fit|no field number"):
+            fit.write_fit(sessions.where("false"), spark.createDataFrame([sample | dict(idx=0) | bad], fit.RECORDS), folder)
+    assert [p.name for p in (tmp_path / "out").iterdir()] == ["y.fit"]
+
+
 def test_fit_by_binary_rows(spark, folder):
     check(fit.decode(spark, folder), fit.decode(spark, folder, "record"))
 
