@@ -328,11 +328,11 @@ def fit_files(spark: SparkSession, sf_dir: str) -> str:
 
 
 @query(FIT + """ SELECT name, idx, CAST(moment AS TIMESTAMP) AS timestamp, i % 500 / 8.0::DOUBLE AS speed, floor(value) AS power,
-  CAST(CASE WHEN i % 3 = 0 AND i % 2 = 0 THEN i % 200 END AS INTEGER) AS heart_rate, i % 3 = 0 AS has_rate FROM e""")
+  CAST(CASE WHEN i % 3 = 0 AND i % 2 = 0 THEN i % 200 END AS DOUBLE) AS heart_rate, i % 3 = 0 AS has_rate FROM e""")
 def fit_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples through FIT files and back: encoded, with checksums, found and decoded."""
     r = fit.read_fit(spark, fit_files(spark, sf_dir), "record")
-    return r.select("name", "idx", "timestamp", "speed", "power", "heart_rate", F.array_contains("present", "heart_rate").alias("has_rate"))
+    return r.select("name", "idx", "timestamp", "speed", "power", F.col("heart_rate").cast("double").alias("heart_rate"), F.array_contains("present", "heart_rate").alias("has_rate"))
 
 
 @query(FIT + """ SELECT name, sport AS activity_type, CAST(moment AS TIMESTAMP) AS timestamp, round(elapsed / 60, 6) AS duration_min,
