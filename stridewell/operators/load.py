@@ -1,8 +1,10 @@
 """Daily load, its moving averages and their balance, per athlete.
 
-Activities shrink to one row per athlete and day before anything is gathered, so
-an athlete with most activities costs one partial sum per task, and the fold
-handles days, not activities.
+Activities shrink to one row per athlete and day before anything is gathered.  An
+athlete's days are cut at fixed dates into stretches, which are worked on apart: a
+moving average over a stretch is an affine map of the average before it, so the
+maps of all stretches, two numbers each, are composed in order, and every stretch
+then starts from its own average.
 """
 
 from __future__ import annotations
@@ -12,6 +14,9 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring as S
 
+#: Days in a stretch, which is one row; days of it that are gathered at a time.
+STRETCH, STEP = 4096, 64
+
 
 def daily_load(activities: DataFrame, by: tuple[str, ...] = ("athlete_id",)) -> DataFrame:
     """``by, date, trimp``: sums of dated activities; NaN counts as missing, and a
@@ -26,48 +31,102 @@ def date_bounds(daily: DataFrame, by: tuple[str, ...] = ("athlete_id",)) -> Data
     return daily.groupBy(*by).agg(F.min("date").alias("first_date"), F.max("date").alias("last_date"))
 
 
-def calendars(daily: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    """One row per athlete with the gap-free array of (date, trimp), missing days 0.
-
-    A map from day to load per athlete replaces the join with a calendar: one
-    shuffle by athlete, already combined by day.
-    """
-    one = daily.groupBy(*by).agg(F.min("date").alias("lo"), F.max("date").alias("hi"),
-                                 F.array_sort(F.collect_list(F.struct("date", "trimp"))).alias("known"))
-    # walk the sorted known days; fill between each and the next
-    ahead = F.transform("known", lambda x, i: F.struct(
-        x["date"].alias("date"), x["trimp"].alias("trimp"), F.get("known", i + 1)["date"].alias("next")))
-    days = F.flatten(F.transform(ahead, lambda x: F.transform(
-        F.sequence(x["date"], F.coalesce(F.date_sub(x["next"], 1), x["date"])),
-        lambda d: F.struct(d.alias("date"), F.when(d == x["date"], x["trimp"]).otherwise(F.lit(0.0)).alias("trimp")))))
-    return one.select(*by, days.alias("days"))
+def stretches(daily: DataFrame, by: tuple[str, ...], spans: tuple[int, int] | None = None) -> DataFrame:
+    """``by, known, before`` and, with ``spans``, ``atl, ctl``: one row per athlete and
+    stretch with known days, ``known`` their (date, trimp) in order, ``before`` the last
+    known day of the athlete's stretch before it and ``atl, ctl`` the averages of that
+    day; all null in the first."""
+    number = F.floor(F.unix_date("date") / STRETCH).cast("int")
+    known = daily.groupBy(*by, number.alias("stretch")).agg(F.array_sort(F.collect_list(F.struct("date", "trimp"))).alias("known"))
+    first, last = F.get("known", 0), F.element_at("known", -1)
+    parts = [F.col("stretch"), first["date"].alias("first"), first["trimp"].alias("load"), last["date"].alias("last")]
+    rates = [2.0 / (n + 1) for n in spans] if spans else []
+    if spans:
+        # the average after the stretch is rest * (average before it) + sum, the sum taken day by day
+        day = lambda x: F.unix_date(x["date"])
+
+        def total(rate):
+            keep = F.lit(1 - rate)
+            return F.aggregate("known", F.struct(F.lit(0.0).alias("v"), (day(first) - 1).alias("d")), lambda s, x: F.struct(
+                (s["v"] * F.pow(keep, day(x) - s["d"]) + F.lit(rate) * x["trimp"]).alias("v"), day(x).alias("d")))["v"]
+
+        for i, rate in enumerate(rates):
+            parts += [F.pow(F.lit(1 - rate), day(last) - day(first) + 1).alias(f"rest{i}"), total(rate).alias(f"sum{i}")]
+    each = known.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*parts))).alias("all"))
+    kind = "struct<stretch:int,before:date" + ",y0:double,y1:double>" * bool(spans) + ">" * (not spans)
+    state = f"struct<out:array<{kind}>,before:date" + ",y0:double,y1:double>" * bool(spans) + ">" * (not spans)
+    names = ["before"] + ["y0", "y1"] * bool(spans)
+
+    def step(s, x):
+        after = [x["last"].alias("before")]
+        for i, rate in enumerate(rates):
+            gap = F.datediff(x["first"], s["before"]) - 1  # days without load between the stretches
+            start = F.coalesce(s[f"y{i}"] * F.pow(F.lit(1 - rate), gap), x["load"])
+            after.append((x[f"rest{i}"] * start + x[f"sum{i}"]).alias(f"y{i}"))
+        own = F.struct(x["stretch"], *[s[n].alias(n) for n in names])
+        return F.struct(F.concat(s["out"], F.array(own)).alias("out"), *after)
+
+    empty = F.struct(F.array().cast(f"array<{kind}>").alias("out"), *[F.lit(None).alias(n) for n in names]).cast(state)
+    starts = each.select(*by, F.inline(F.aggregate("all", empty, step)["out"]))
+    renamed = starts.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("stretch").alias("_stretch"), *names)
+    match = F.col("stretch") == F.col("_stretch")
+    for c in by:
+        match = match & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return known.join(renamed, match).select(*by, "known", "before", *[F.col(f"y{i}").alias(n) for i, n in enumerate(("atl", "ctl")) if spans])
+
+
+def filled(known: Column, before: Column) -> Column:
+    """Every day from the one after ``before`` (or the first known) to the last known, as
+    (date, trimp), days that are not known with 0."""
+    ahead = F.transform(known, lambda x, i: F.struct(
+        F.when(i > 0, F.date_add(F.get(known, i - 1)["date"], 1)).otherwise(F.coalesce(F.date_add(before, 1), x["date"])).alias("start"),
+        x["date"].alias("date"), x["trimp"].alias("trimp")))
+    return F.flatten(F.transform(ahead, lambda x: F.transform(
+        F.sequence(x["start"], x["date"]), lambda d: F.struct(d.alias("date"), F.when(d == x["date"], x["trimp"]).otherwise(F.lit(0.0)).alias("trimp")))))
 
 
 def dense_daily(daily: DataFrame, by: tuple[str, ...] = ("athlete_id",)) -> DataFrame:
     """``by, date, trimp`` for every day from the first to the last."""
-    return calendars(daily, by).select(*by, F.inline("days"))
+    return stretches(daily, by).select(*by, F.inline(filled(F.col("known"), F.col("before"))))
+
 
+def smoothed(days: Column, atl: Column, ctl: Column, spans: tuple[int, int] = (S.SHORT_SPAN, S.LONG_SPAN)) -> Column:
+    """Exponentially weighted means over an array of consecutive (date, trimp): each day
+    moves the means ``atl`` and ``ctl`` of the day before by 2 / (span + 1); where these are
+    null the first day's load starts both.
 
-def smoothed(days: Column, spans: tuple[int, int] = (S.SHORT_SPAN, S.LONG_SPAN)) -> Column:
-    """Exponentially weighted means over an array of (date, trimp): the first day's
-    load starts both, each later day moves them by 2 / (span + 1)."""
+    The work is in proportion to the days: these are cut into steps, the means at
+    each step's end come first, and the days of a step are gathered on their own.
+    """
     a, b = (2.0 / (n + 1) for n in spans)
-    row = "struct<date:date,trimp:double,atl:double,ctl:double>"
+    means, row = "struct<atl:double,ctl:double>", "struct<date:date,trimp:double,atl:double,ctl:double>"
+
+    def let(value: Column, body) -> Column:  # evaluates the value once
+        return F.get(F.transform(F.array(value), body), 0)
+
+    def moved(s, x):
+        new = lambda rate, old: F.when(old.isNull(), x["trimp"]).otherwise(F.lit(1 - rate) * old + F.lit(rate) * x["trimp"])
+        return new(a, s["atl"]).alias("atl"), new(b, s["ctl"]).alias("ctl")
+
+    def gathered(part, start):
+        seed = F.array(F.struct(F.lit(None).cast("date").alias("date"), F.lit(None).cast("double").alias("trimp"), start["atl"], start["ctl"]).cast(row))
+        seen = F.aggregate(part, seed, lambda seen, x: F.concat(seen, F.array(F.struct(
+            x["date"].alias("date"), x["trimp"].alias("trimp"), *moved(F.element_at(seen, -1), x)))))
+        return F.slice(seen, 2, STEP)
 
-    def step(seen, x):
-        last = F.element_at(seen, -1)
-        return F.concat(seen, F.array(F.struct(
-            x["date"].alias("date"), x["trimp"].alias("trimp"),
-            (F.lit(1 - a) * last["atl"] + F.lit(a) * x["trimp"]).alias("atl"),
-            (F.lit(1 - b) * last["ctl"] + F.lit(b) * x["trimp"]).alias("ctl"))))
+    def scan(steps):
+        first = F.array(F.struct(atl.cast("double").alias("atl"), ctl.cast("double").alias("ctl")).cast(means))
+        starts = F.aggregate(steps, first, lambda s, part: F.concat(s, F.array(
+            F.aggregate(part, F.element_at(s, -1), lambda m, x: F.struct(*moved(m, x))))))
+        return let(starts, lambda at: F.flatten(F.transform(steps, lambda part, i: gathered(part, F.get(at, i)))))
 
-    first = F.get(days, 0)
-    start = F.array(F.struct(first["date"].alias("date"), first["trimp"].alias("trimp"), first["trimp"].alias("atl"), first["trimp"].alias("ctl"))).cast(f"array<{row}>")
-    return F.aggregate(F.slice(days, 2, F.greatest(F.size(days) - 1, F.lit(0))), start, lambda s, x: step(s, x).cast(f"array<{row}>"))
+    cut = lambda days: F.transform(F.sequence(F.lit(0), F.floor((F.size(days) - 1) / STEP).cast("int")), lambda i: F.slice(days, i * STEP + 1, F.lit(STEP)))
+    return let(days, lambda days: let(cut(days), scan))
 
 
-def atl_ctl(daily: DataFrame, by: tuple[str, ...] = ("athlete_id",)) -> DataFrame:
-    return calendars(daily, by).select(*by, F.inline(smoothed(F.col("days"))))
+def atl_ctl(daily: DataFrame, by: tuple[str, ...] = ("athlete_id",), spans: tuple[int, int] = (S.SHORT_SPAN, S.LONG_SPAN)) -> DataFrame:
+    known = stretches(daily, by, spans)
+    return known.select(*by, F.inline(smoothed(filled(F.col("known"), F.col("before")), F.col("atl"), F.col("ctl"), spans)))
 
 
 def training_metrics(activities: DataFrame, by: tuple[str, ...] = ("athlete_id",)) -> DataFrame:

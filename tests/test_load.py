@@ -1,5 +1,6 @@
 import datetime as dt
 import math
+import random
 
 import numpy as np
 import pandas as pd
@@ -68,7 +69,7 @@ def test_one_day(spark, golden):
 @pytest.mark.parametrize("span, want", [(7, [10, 7.5, 5.625, 9.21875]), (42, [10, 9.534883720930234, 9.091400757166037, 9.598777466135058])])
 def test_smoothing(spark, span, want):
     days = [Row(athlete_id=1, date=dt.date(2024, 1, 1 + i), trimp=float(x)) for i, x in enumerate([10, 0, 0, 20])]
-    df = L.calendars(spark.createDataFrame(days), ("athlete_id",)).select(F.inline(L.smoothed(F.col("days"), (span, span + 1)))).orderBy("date")
+    df = L.atl_ctl(spark.createDataFrame(days), spans=(span, span + 1)).orderBy("date")
     got = df.collect()
     assert [r.atl for r in got] == pytest.approx(want, abs=1e-12)
     assert [r.ctl for r in got][1:] != pytest.approx(want[1:], abs=1e-6)  # another span must not match
@@ -147,3 +148,63 @@ def test_views(golden):
     assert both.activities.columns == ["name", "activity_type", "sub_sport", "timestamp", "duration_min", "avg_heart_rate", "trimp"]
     assert both.metrics.select(F.min("date")).first()[0] == "2024-03-01"
     assert views.latest(L.training_metrics(golden.withColumn("athlete_id", F.lit(1)))).first().date == dt.date(2024, 3, 6)
+
+
+def recurrence(loads, spans=(7, 42)):
+    """Both means by the plain recurrence, a day at a time."""
+    out, means = [], None
+    for x in loads:
+        means = [x, x] if means is None else [(1 - r) * m + r * x for m, r in zip(means, (2 / (n + 1) for n in spans))]
+        out.append(tuple(means))
+    return out
+
+
+def walked(rows):
+    """Dates, loads and means of every athlete of (athlete, date, load) by the recurrence."""
+    want = {}
+    for who in {r[0] for r in rows}:
+        known = {d: x for w, d, x in rows if w == who}
+        days = [min(known) + dt.timedelta(days=i) for i in range((max(known) - min(known)).days + 1)]
+        loads = [known.get(d, 0.0) for d in days]
+        want |= {(who, d): (x, *m) for d, x, m in zip(days, loads, recurrence(loads))}
+    return want
+
+
+def test_means_across_stretches_equal_the_recurrence(spark):
+    start = dt.date(1969, 12, 1)  # before the first cut of stretches, which are at multiples of 4,096 days
+    r = random.Random(2)
+    rows = [(1, start + dt.timedelta(days=i), r.random() * 100) for i in range(0, 9000) if r.random() < 0.4]
+    rows += [(2, start, 50.0), (2, start + dt.timedelta(days=20_000), 7.0), (2, start + dt.timedelta(days=20_001), 9.0)]  # whole stretches without a day
+    rows += [(3, start + dt.timedelta(days=5000), 1.0)]
+    rows += [(None, start + dt.timedelta(days=40 * i), float(i)) for i in range(200)]  # activities of nobody are one athlete's
+    df = spark.createDataFrame(rows, "athlete_id int, date date, trimp double").repartition(7)
+    want = walked(rows)
+    got = L.atl_ctl(df).collect()
+    assert len(got) == len(want)
+    for g in got:
+        load, atl, ctl = want[g.athlete_id, g.date]
+        assert g.trimp == load and abs(g.atl - atl) <= 1e-10 and abs(g.ctl - ctl) <= 1e-10
+    assert {(g.athlete_id, g.date): g.trimp for g in L.dense_daily(df).collect()} == {k: v[0] for k, v in want.items()}
+
+
+def test_means_within_a_stretch_are_the_recurrence_to_the_bit(spark):
+    start, r = dt.date(2024, 1, 1), random.Random(1)
+    rows = [(1, start + dt.timedelta(days=i), r.random() * 100) for i in range(500) if i % 3]
+    got = L.atl_ctl(spark.createDataFrame(rows, "athlete_id int, date date, trimp double")).collect()
+    assert {(g.athlete_id, g.date): (g.trimp, g.atl, g.ctl) for g in got} == walked(rows)
+
+
+def test_time_is_in_proportion_to_the_days(spark):
+    import time
+
+    def run(n):
+        days = spark.range(n).select(F.lit(1).alias("athlete_id"), F.date_add(F.lit("1800-01-01").cast("date"), F.col("id").cast("int")).alias("date"),
+                                     (F.col("id") % 100).cast("double").alias("trimp"))
+        began = time.time()
+        got = L.atl_ctl(days).agg(F.count("*"), F.max("date")).first()
+        assert got[0] == n
+        return time.time() - began
+
+    run(2000)
+    short, long = run(20_000), run(100_000)
+    assert long < 5 * short + 10  # by the square it would be 25 times
