@@ -9,6 +9,8 @@ then starts from its own average.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,11 +33,17 @@ def date_bounds(daily: DataFrame, by: tuple[str, ...] = ("athlete_id",)) -> Data
     return daily.groupBy(*by).agg(F.min("date").alias("first_date"), F.max("date").alias("last_date"))
 
 
-def stretches(daily: DataFrame, by: tuple[str, ...], spans: tuple[int, int] | None = None) -> DataFrame:
+def equal(by: tuple[str, ...], more: tuple[str, ...] = ()) -> Column:
+    """Keys ``by``, null equal to null, and ``more`` equal to those of another table that are
+    named with a dash before them."""
+    return functools.reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by] + [F.col(c) == F.col(f"_{c}") for c in more])
+
+
+def stretches(daily: DataFrame, by: tuple[str, ...], spans: tuple[int, int] | None = None, starts: DataFrame | None = None) -> DataFrame:
     """``by, known, before`` and, with ``spans``, ``atl, ctl``: one row per athlete and
     stretch with known days, ``known`` their (date, trimp) in order, ``before`` the last
     known day of the athlete's stretch before it and ``atl, ctl`` the averages of that
-    day; all null in the first."""
+    day; in the first the row of ``starts(by, date, atl, ctl)``, null without one."""
     number = F.floor(F.unix_date("date") / STRETCH).cast("int")
     known = daily.groupBy(*by, number.alias("stretch")).agg(F.array_sort(F.collect_list(F.struct("date", "trimp"))).alias("known"))
     first, last = F.get("known", 0), F.element_at("known", -1)
@@ -66,13 +74,15 @@ def stretches(daily: DataFrame, by: tuple[str, ...], spans: tuple[int, int] | No
         own = F.struct(x["stretch"], *[s[n].alias(n) for n in names])
         return F.struct(F.concat(s["out"], F.array(own)).alias("out"), *after)
 
-    empty = F.struct(F.array().cast(f"array<{kind}>").alias("out"), *[F.lit(None).alias(n) for n in names]).cast(state)
+    given = [F.lit(None).alias(n) for n in names]
+    if starts is not None:
+        own = starts.select(*[F.col(c).alias(f"_{c}") for c in by], *[F.col(c).alias(f"_{n}") for c, n in zip(("date", "atl", "ctl"), names)])
+        each = each.join(own, equal(by), "left")
+        given = [F.col(f"_{n}").alias(n) for n in names]
+    empty = F.struct(F.array().cast(f"array<{kind}>").alias("out"), *given).cast(state)
     starts = each.select(*by, F.inline(F.aggregate("all", empty, step)["out"]))
     renamed = starts.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("stretch").alias("_stretch"), *names)
-    match = F.col("stretch") == F.col("_stretch")
-    for c in by:
-        match = match & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    return known.join(renamed, match).select(*by, "known", "before", *[F.col(f"y{i}").alias(n) for i, n in enumerate(("atl", "ctl")) if spans])
+    return known.join(renamed, equal(by, ("stretch",))).select(*by, "known", "before", *[F.col(f"y{i}").alias(n) for i, n in enumerate(("atl", "ctl")) if spans])
 
 
 def filled(known: Column, before: Column) -> Column:
@@ -124,8 +134,11 @@ def smoothed(days: Column, atl: Column, ctl: Column, spans: tuple[int, int] = (S
     return let(days, lambda days: let(cut(days), scan))
 
 
-def atl_ctl(daily: DataFrame, by: tuple[str, ...] = ("athlete_id",), spans: tuple[int, int] = (S.SHORT_SPAN, S.LONG_SPAN)) -> DataFrame:
-    known = stretches(daily, by, spans)
+def atl_ctl(daily: DataFrame, by: tuple[str, ...] = ("athlete_id",), spans: tuple[int, int] = (S.SHORT_SPAN, S.LONG_SPAN),
+            starts: DataFrame | None = None) -> DataFrame:
+    """``by, date, trimp, atl, ctl`` for every day; athletes in ``starts(by, date, atl, ctl)`` go
+    on from that day, whose row is not repeated."""
+    known = stretches(daily, by, spans, starts)
     return known.select(*by, F.inline(smoothed(filled(F.col("known"), F.col("before")), F.col("atl"), F.col("ctl"), spans)))
 
 
@@ -134,5 +147,10 @@ def training_metrics(activities: DataFrame, by: tuple[str, ...] = ("athlete_id",
     With ``by`` empty all activities are one athlete's."""
     if not by:
         return training_metrics(activities.withColumn("athlete_id", F.lit(0)), ("athlete_id",)).drop("athlete_id")
-    m = atl_ctl(daily_load(activities, by), by).withColumn("tsb", F.col("ctl") - F.col("atl"))
+    return judged(atl_ctl(daily_load(activities, by), by))
+
+
+def judged(means: DataFrame) -> DataFrame:
+    """With the balance and its zone."""
+    m = means.withColumn("tsb", F.col("ctl") - F.col("atl"))
     return m.withColumn("status", S.zone(F.col("tsb")))

@@ -13,6 +13,7 @@ from ..scratch import fresh_path
 from ..sources import exports, fit
 from .. import sinks
 from . import standin, views
+from .store import MetricsStore
 
 QUERIES, ORACLES = {}, {}
 
@@ -343,3 +344,14 @@ def fit_activities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions of FIT files, folded to activities."""
     a = A.activities(fit.read_fit(spark, fit_files(spark, sf_dir)))
     return rounded(a.select("name", "activity_type", "timestamp", "duration_min", "avg_heart_rate", "distance", "trimp"), "duration_min", "trimp")
+
+
+@query(DAILY + DENSE + MEANS + METRICS_SELECT)
+def refreshed_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of a store that took in three batches: half a month, what follows, and
+    activities of both halves that came late."""
+    kept = MetricsStore(spark, fresh_path(spark))
+    acts, early, late = standin.activities(spark, sf_dir), F.col("timestamp") < "2024-01-16", F.col("event_id") % 7 == 0
+    for i, which in enumerate((early & ~late, ~early & ~late, late)):
+        kept.apply(acts.where(which), i)
+    return rounded(kept.metrics(), "trimp", "atl", "ctl", "tsb")

@@ -26,3 +26,14 @@ def listed(spark: SparkSession, folder: str, pattern: str = "*") -> list[tuple[s
         return []
     found = [(f.getPath(), f.getLen()) for f in hadoop.listStatus(path) if f.isFile()]
     return sorted((p.toString(), n) for p, n in found if fnmatch.fnmatchcase(p.getName(), pattern))
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return own.getFileSystem(spark._jsc.hadoopConfiguration()).exists(own)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder; it need not exist."""
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    own.getFileSystem(spark._jsc.hadoopConfiguration()).delete(own, True)
