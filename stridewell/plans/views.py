@@ -32,6 +32,14 @@ def single_activity(activities: DataFrame, name: str) -> DataFrame:
     return activities.where(F.col("name") == name).orderBy("timestamp", "trimp").limit(1)
 
 
+def activity_or_error(activities: DataFrame, name: str) -> dict:
+    """The activity of that name as a dict; LookupError if there is none."""
+    found = single_activity(activities, name).collect()
+    if not found:
+        raise LookupError(f"no activity {name!r}")
+    return found[0].asDict(recursive=True)
+
+
 def recent(activities: DataFrame, n: int = 3) -> DataFrame:
     """The latest ``n`` activities; undated ones last, ties by name."""
     return activities.orderBy(F.col("timestamp").desc_nulls_last(), "name").limit(n)
