@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import scoring as S
 from ..operators import activities as A
 from ..operators import load as L
+from ..operators import messages, validate, weights
 from ..schemas import METRICS
 from ..scratch import fresh_path
 from ..sources import exports, fit
@@ -117,9 +119,10 @@ def training_metrics_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(L.training_metrics(one, ()), "trimp", "atl", "ctl", "tsb", digits=4)
 
 
-@query(f"SELECT tsb, {ZONE} AS status FROM (SELECT i / 4.0::DOUBLE AS tsb FROM range(-160, 161) t(i))")
+@query(f"SELECT event_id, tsb, {ZONE} AS status FROM (SELECT event_id, (event_id * 7 % 321 - 160) / 4.0::DOUBLE AS tsb FROM events)")
 def zone_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = spark.range(-160, 161).select((F.col("id") / 4.0).alias("tsb"))
+    """Zones of events whose balance is on a grid that has every bound."""
+    grid = standin.table(spark, sf_dir, "events").select("event_id", ((F.col("event_id") * 7 % 321 - 160) / 4.0).alias("tsb"))
     return grid.withColumn("status", S.zone(F.col("tsb")))
 
 
@@ -207,10 +210,10 @@ def coerced_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, user_id, event_type, value FROM events")
 def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows through JSON text and back, as the sinks and readers treat them."""
-    rows = standin.table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
-    text = rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("line"))
-    return text.select(F.from_json("line", rows.schema).alias("r")).select("r.*")
+    """Rows through one JSON array in one file and back."""
+    rows, path = standin.table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value"), fresh_path(spark) + ".json"
+    sinks.write_json_file(rows, path)
+    return exports.read_export(spark, path, rows.schema)
 
 
 FILES = """
@@ -283,9 +286,10 @@ def export_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exports.read_export(spark, path)
 
 
-@query(EXPORTED + " WHERE false")
+@query(EXPORTED)
 def export_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exports.no_activities(spark)
+    """A service without a connection beside one with activities: it adds no rows."""
+    return exports.no_activities(spark).unionByName(standin.exports(spark, sf_dir))
 
 
 @query(DAILY + " SELECT athlete_id, date, round(trimp, 6) AS trimp FROM daily WHERE date >= DATE '2024-01-03'")
@@ -355,3 +359,110 @@ def refreshed_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, which in enumerate((early & ~late, ~early & ~late, late)):
         kept.apply(acts.where(which), i)
     return rounded(kept.metrics(), "trimp", "atl", "ctl", "tsb")
+
+
+@query(FIT + """ SELECT name, idx, i % 500 / 8.0::DOUBLE AS speed, CASE WHEN i % 4 = 0 THEN value END AS field_200 FROM e""")
+def key_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples of FIT files with a metric that no schema knows: the union of the keys
+    makes it a column."""
+    r = fit.read_fit(spark, fit_files(spark, sf_dir), "record", others=True)
+    return messages.widen(r.select("name", "idx", "speed", "others"), "others")
+
+
+ENTRIES = """
+WITH e AS (
+  SELECT event_id // 4 AS name, event_id AS i, event_type AS key, CASE WHEN event_id % 11 <> 0 THEN value END AS v, event_id % 3 = 0 AS of_sample FROM events
+)"""
+
+
+@query(ENTRIES + """ SELECT name, key, arg_max({'v': v}, (CASE WHEN of_sample THEN 1 ELSE 0 END, i)).v AS value FROM e GROUP BY ALL""")
+def map_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions' keys and values as maps, of repeated keys the last; samples' maps win over them."""
+    i = F.col("event_id")
+    own = F.struct(i.alias("i"), F.struct(F.col("event_type").alias("key"), F.when(i % 11 != 0, F.col("value")).alias("value")).alias("e"))
+    each = standin.table(spark, sf_dir, "events").groupBy(F.floor(i / 4).alias("name")).agg(
+        *[F.array_sort(F.collect_list(F.when(test, own))).alias(n) for n, test in (("session", i % 3 != 0), ("sample", i % 3 == 0))])
+    both = messages.merged(messages.last_wins(F.col("session.e")), messages.last_wins(F.col("sample.e")))
+    return each.select("name", F.explode(both).alias("key", "value"))
+
+
+@query(ENTRIES + """ SELECT name, key, arg_max({'v': v}, i).v AS value FROM e GROUP BY ALL""")
+def map_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maps of several messages folded to one: each key's last value."""
+    i = F.col("event_id")
+    each = standin.table(spark, sf_dir, "events").select(F.floor(i / 4).alias("name"), i.alias("seq"), F.create_map("event_type", F.when(i % 11 != 0, F.col("value"))).alias("m"))
+    return messages.fold_maps(each, "name", "seq", "m").select("name", F.explode("m").alias("key", "value"))
+
+
+@query(ACTIVITIES.replace("WITH RECURSIVE", "WITH") + """, w AS (
+  SELECT CASE event_type WHEN 'click' THEN 'running' ELSE 'cycling' END AS sport, CAST(ts AS DATE) AS valid_from, max(0.5 + event_id % 10 / 8.0::DOUBLE) AS weight
+  FROM events WHERE event_id % 97 = 5 AND event_type IN ('click', 'view') GROUP BY ALL
+) SELECT event_id, activity_type, (SELECT arg_max(weight, valid_from) FROM w WHERE sport = activity_type AND valid_from <= CAST(timestamp AS DATE)) AS weight FROM a""")
+def changing_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Multipliers of a sport that change with the day; some sports have none."""
+    e = standin.table(spark, sf_dir, "events")
+    table = e.where((F.col("event_id") % 97 == 5) & F.col("event_type").isin("click", "view")).select(
+        F.when(F.col("event_type") == "click", "running").otherwise("cycling").alias("sport"), F.to_date("ts").alias("valid_from"),
+        (F.lit(0.5) + F.col("event_id") % 10 / 8.0).alias("weight"))
+    return weights.weigh(standin.activities(spark, sf_dir), table).select("event_id", "activity_type", "weight")
+
+
+@query(ACTIVITIES.replace("WITH RECURSIVE", "WITH") + SUMMARY + " WHERE event_id % 101 = 0")
+def indexed_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Activities of a look-up table, found by a list of names."""
+    acts, path = standin.activities(spark, sf_dir), fresh_path(spark)
+    table = f"activities_{path[-12:]}"
+    sinks.write_lookup(views.summary(acts), table, path, "name")
+    asked = acts.where("event_id % 101 = 0").select("name")
+    return rounded(spark.table(table).join(asked, "name", "left_semi"), "duration_min", "trimp")
+
+
+TYPED = """
+WITH r AS (
+  SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'none' WHEN 1 THEN NULL ELSE json_extract_string(props, '$.k') END AS heart_rate,
+         CASE event_id % 5 WHEN 0 THEN 'x' || event_id ELSE strftime(ts, '%Y-%m-%d') END AS day, CASE event_id % 6 WHEN 0 THEN NULL ELSE event_type END AS name FROM events
+)"""
+
+
+def typed_rows(spark: SparkSession, sf_dir: str) -> validate.Validated:
+    i = F.col("event_id")
+    rows = standin.table(spark, sf_dir, "events").select(
+        "event_id", F.when(i % 7 == 0, "none").when(i % 7 != 1, F.get_json_object("props", "$.k")).alias("heart_rate"),
+        F.when(i % 5 == 0, F.concat(F.lit("x"), i)).otherwise(F.date_format("ts", "yyyy-MM-dd")).alias("day"), F.when(i % 6 != 0, F.col("event_type")).alias("name"))
+    return validate.validate(rows, T.StructType.fromDDL("event_id bigint, heart_rate int, day date, name string"), required=("name",))
+
+
+@query(TYPED + " SELECT event_id, TRY_CAST(heart_rate AS INTEGER) AS heart_rate, CAST(day AS DATE) AS day, name FROM r WHERE event_id % 7 > 1 AND event_id % 5 <> 0 AND event_id % 6 <> 0")
+def valid_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that have the declared types."""
+    return typed_rows(spark, sf_dir).good.where("heart_rate is not null")
+
+
+@query(TYPED + """ SELECT event_id, concat_ws('; ', CASE WHEN event_id % 7 = 0 THEN 'heart_rate: no int' END, CASE WHEN event_id % 5 = 0 THEN 'day: no date' END,
+  CASE WHEN event_id % 6 = 0 THEN 'name: missing' END) AS reasons FROM r WHERE event_id % 7 = 0 OR event_id % 5 = 0 OR event_id % 6 = 0""")
+def rejected_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that do not, with the reasons."""
+    out = typed_rows(spark, sf_dir).rejects
+    return out.select(F.get_json_object("row", "$.event_id").cast("bigint").alias("event_id"), F.array_join("reasons", "; ").alias("reasons"))
+
+
+@query("""SELECT event_id, coalesce(CAST(CAST(round(v, 0) AS BIGINT) AS VARCHAR), 'N/A') AS shown
+       FROM (SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN event_id % 40 / 8.0::DOUBLE END AS v FROM events)""")
+def shown_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers without decimals, halves up."""
+    v = F.when(F.col("event_id") % 3 != 0, F.col("event_id") % 40 / 8.0)
+    return standin.table(spark, sf_dir, "events").select("event_id", S.shown(v, 0).alias("shown"))
+
+
+@query(DAILY.replace("FROM a WHERE timestamp IS NOT NULL", "FROM a WHERE athlete_id % 2 = 0") + DENSE + MEANS + METRICS_SELECT)
+def undated_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Athletes without a dated activity have no metrics."""
+    acts = standin.activities(spark, sf_dir)
+    return rounded(L.training_metrics(acts.withColumn("timestamp", F.when(F.col("athlete_id") % 2 == 0, F.col("timestamp")))), "trimp", "atl", "ctl", "tsb")
+
+
+@query(ACTIVITIES.replace("WITH RECURSIVE", "WITH") + """ SELECT 'e' || event_id || '.fit' AS name, a.name IS NOT NULL AS found FROM events LEFT JOIN a USING (event_id) WHERE event_id % 211 = 0""")
+def unknown_activities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of the asked names there are activities of."""
+    asked = standin.table(spark, sf_dir, "events").where("event_id % 211 = 0").select(F.concat(F.lit("e"), "event_id", F.lit(".fit")).alias("name"))
+    return views.answered(standin.activities(spark, sf_dir), asked)

@@ -40,6 +40,12 @@ def activity_or_error(activities: DataFrame, name: str) -> dict:
     return found[0].asDict(recursive=True)
 
 
+def answered(activities: DataFrame, asked: DataFrame) -> DataFrame:
+    """``name, found`` for each row of ``asked(name)``; a null name is not found."""
+    there = activities.select("name").distinct().withColumn("found", F.lit(True))
+    return asked.join(there, "name", "left").select("name", F.coalesce("found", F.lit(False)).alias("found"))
+
+
 def recent(activities: DataFrame, n: int = 3) -> DataFrame:
     """The latest ``n`` activities; undated ones last, ties by name."""
     return activities.orderBy(F.col("timestamp").desc_nulls_last(), "name").limit(n)
