@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring as S
 from ..schemas import ACTIVITY_COLUMNS, METRICS, SESSION_FIELDS
+from ..scratch import fresh_path
 
 
 def fold_sessions(sessions: DataFrame, fields: tuple[str, ...] = tuple(SESSION_FIELDS)) -> DataFrame:
@@ -30,6 +31,33 @@ def sample_arrays(records: DataFrame, metrics: tuple[str, ...] = METRICS) -> Dat
     return one.select("name", *[F.when(F.col(f"has_{m}"), F.col(f"samples.{m}")).alias(m) for m in metrics])
 
 
+def sample_chunks(records: DataFrame, metrics: tuple[str, ...] = METRICS, chunk: int = 10_000) -> DataFrame:
+    """The arrays of ``sample_arrays`` in pieces: ``name, chunk`` (from 0) and per metric an
+    array of at most ``chunk`` samples, for names with more samples than a row should
+    hold.  Laid end to end by ``chunk`` they are the whole arrays: as long as each other,
+    in file order, null throughout where no sample of the name has the metric.
+
+    Samples are sorted over all tasks by name and order; how many of a name stand in
+    the ranges before a sample's own gives its place.  No name is gathered anywhere.
+    """
+    keys = records.groupBy("name").agg(*[F.bool_or(F.coalesce(F.array_contains("present", m), F.lit(False))).alias(f"has_{m}") for m in metrics])
+    # kept as it lies: ranges, and the order in them, must not be drawn twice
+    path = fresh_path(records.sparkSession)
+    (records.select("name", "idx", *metrics).repartitionByRange("name", "idx").sortWithinPartitions("name", "idx")
+     .select("name", F.spark_partition_id().alias("range"), F.monotonically_increasing_id().alias("at"), *metrics).write.parquet(path))
+    rows = records.sparkSession.read.parquet(path)
+    counts = rows.groupBy("name", "range").agg(F.count("*").alias("n"), F.min("at").alias("least"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("name").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(F.col("name").alias("_name"), F.col("range").alias("_range"), "least", before.alias("before"))
+    placed = rows.join(starts, F.col("name").eqNullSafe(F.col("_name")) & (F.col("range") == F.col("_range")))
+    place = F.col("before") + F.col("at") - F.col("least")
+    pieces = placed.groupBy("name", F.floor(place / chunk).cast("int").alias("chunk")).agg(
+        F.array_sort(F.collect_list(F.struct(place.alias("place"), *metrics))).alias("samples"))
+    own = keys.withColumnRenamed("name", "_name")
+    return pieces.join(own, F.col("name").eqNullSafe(F.col("_name"))).select(
+        "name", "chunk", *[F.when(F.col(f"has_{m}"), F.col(f"samples.{m}")).alias(m) for m in metrics])
+
+
 def scored(sessions: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """Sessions of supported sports (``sport``, ``elapsed`` seconds, ``avg_heart_rate``)
     with minutes and load; other columns stay."""

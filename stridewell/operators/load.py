@@ -44,7 +44,8 @@ def stretches(daily: DataFrame, by: tuple[str, ...], spans: tuple[int, int] | No
     stretch with known days, ``known`` their (date, trimp) in order, ``before`` the last
     known day of the athlete's stretch before it and ``atl, ctl`` the averages of that
     day; in the first the row of ``starts(by, date, atl, ctl)``, null without one."""
-    number = F.floor(F.unix_date("date") / STRETCH).cast("int")
+    # never null, so that the join puts no filter on one of its sides and both share one shuffle
+    number = F.coalesce(F.floor(F.unix_date("date") / STRETCH).cast("int"), F.lit(0))
     known = daily.groupBy(*by, number.alias("stretch")).agg(F.array_sort(F.collect_list(F.struct("date", "trimp"))).alias("known"))
     first, last = F.get("known", 0), F.element_at("known", -1)
     parts = [F.col("stretch"), first["date"].alias("first"), first["trimp"].alias("load"), last["date"].alias("last")]

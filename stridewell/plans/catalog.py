@@ -165,6 +165,14 @@ def sample_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrays.select("name", F.posexplode("power").alias("idx", "power"))
 
 
+@query("""SELECT CAST(user_id AS VARCHAR) AS name, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INTEGER) AS idx,
+       nullif(CAST(json_extract_string(props, '$.k') AS DOUBLE), 0) AS power FROM events""")
+def sample_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same arrays in pieces of bounded length."""
+    pieces = A.sample_chunks(standin.samples(spark, sf_dir), ("power",), 16)
+    return pieces.select("name", "chunk", F.posexplode("power").alias("at", "power")).select("name", (F.col("chunk") * 16 + F.col("at")).cast("int").alias("idx"), "power")
+
+
 @query("""SELECT CAST(user_id AS VARCHAR) AS name, event_id AS idx, round(event_id * 1000.0::DOUBLE * (180.0::DOUBLE / 2147483648), 9) AS lat,
        round(event_id * -500.0::DOUBLE * (180.0::DOUBLE / 2147483648), 9) AS lon FROM events WHERE event_id % 10 <> 0 AND event_id % 7 <> 0""")
 def gps_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..plans.store import MetricsStore
+
 
 def daily_stream(activities: DataFrame, late: str = "3 days") -> DataFrame:
     """``athlete_id, date, trimp`` of a stream with a timestamp column; a day's sum is
@@ -25,3 +27,16 @@ def append_daily(activities: DataFrame, path: str, checkpoint: str, late: str =
     """Write finished days as Parquet, each once; stops when the input is read."""
     return (daily_stream(activities, late).writeStream.outputMode("append").format("parquet")
             .option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
+def refresh_store(activities: DataFrame, store: MetricsStore, checkpoint: str) -> StreamingQuery:
+    """Keep a store of metrics current from a stream of activities, late ones included.
+
+    Each micro-batch is a batch of the store under the stream's own number, so one that
+    is given again after a lost driver replaces itself and nothing counts twice.
+    Stops when the input is read; started again it goes on with new files.
+    """
+    def take(batch: DataFrame, number: int) -> None:
+        store.apply(batch, number)
+
+    return (activities.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())

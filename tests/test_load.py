@@ -208,3 +208,28 @@ def test_time_is_in_proportion_to_the_days(spark):
     run(2000)
     short, long = run(20_000), run(100_000)
     assert long < 5 * short + 10  # by the square it would be 25 times
+
+
+def test_arrays_in_pieces_are_the_whole_arrays(spark):
+    r = random.Random(9)
+    rows = [("hot", i, None if r.random() < 0.3 else float(i), ["power"]) for i in range(5000)]
+    rows += [(f"n{k}", i, None, []) for k in range(40) for i in range(r.randrange(1, 12))] + [(None, i, 1.0, ["power"]) for i in range(7)]
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "name string, idx int, power double, present array<string>").repartition(6)
+    whole = {w.name: w.power for w in A.sample_arrays(df, ("power",)).collect()}
+    for chunk in (1, 64, 10_000):
+        got = {}
+        for p in A.sample_chunks(df, ("power",), chunk).orderBy("chunk").collect():
+            assert p.chunk == len(got.setdefault(p["name"], []))
+            got[p["name"]].append(p.power)
+        assert {n: None if p[0] is None else [x for part in p for x in part] for n, p in got.items()} == whole
+        assert all(len(part) == chunk for p in got.values() for part in p[:-1] if part is not None)
+
+
+def test_one_scan_serves_both_sides_of_the_scan_over_days(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(500).select((F.col("id") % 5).alias("athlete_id"), F.timestamp_seconds(F.col("id") * 90_000).alias("timestamp"), F.lit(1.0).alias("trimp")).write.parquet(path)
+    m = L.training_metrics(spark.read.parquet(path))
+    m.collect()
+    plan = m._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("FileScan") == 1 and "ReusedExchange" in plan

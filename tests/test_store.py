@@ -90,3 +90,15 @@ def test_a_refresh_that_broke_off_is_finished(spark, tmp_path, monkeypatch):
     assert store.metrics().count() == 10
     store.apply(acts(spark, rows[20:]), 2)
     same(store, spark, rows)
+
+
+def test_stream_keeps_the_store_current(spark, tmp_path):
+    from stridewell.streaming.refresh import refresh_store
+
+    rows = [(i % 4, dt.datetime(2024, 1, 1) + dt.timedelta(days=i % 50), float(i)) for i in range(90)]
+    store = MetricsStore(spark, str(tmp_path / "s"))
+    for part in (rows[:40], rows[40:]):
+        acts(spark, part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
+        refresh_store(stream, store, str(tmp_path / "cp")).awaitTermination(300)
+    same(store, spark, rows)
