@@ -19,6 +19,7 @@ import struct
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 from pyarrow.fs import FileSelector, FileType
 from pyspark.sql import DataFrame, SparkSession
@@ -320,8 +321,8 @@ class FitWriter(DataSourceWriter):
             for old in system.get_file_info(FileSelector(folder, allow_not_found=True)):
                 if old.path.endswith(".fit"):
                     system.delete_file(old.path)
-        for path, name in files:
-            system.move(path, f"{folder}/{name}")
+        with ThreadPoolExecutor(16) as pool:  # a move is a wait for the file system
+            list(pool.map(lambda f: system.move(f[0], f"{folder}/{f[1]}"), files))
         self.abort(messages)
 
     def abort(self, messages: list) -> None:
