@@ -201,8 +201,8 @@ def test_lm_average_of_tasks(spark):
     r = np.random.default_rng(8)
     data, steps = r.normal(size=(700, 3)).astype(np.float32), r.integers(1, 9, 700)
     rows = [(0, i, int(steps[i]), bytearray(data[i].tobytes())) for i in range(700)]
-    got = lm.averaged(spark.createDataFrame(rows, "piece int, task long, steps long, data binary")).collect()
-    assert len(got) == 1 and got[0].steps == steps.sum()
+    got = lm.averaged(spark.createDataFrame(rows, "piece int, task long, windows long, data binary")).collect()
+    assert len(got) == 1 and got[0].windows == steps.sum()
     assert np.allclose(np.frombuffer(got[0].data, np.float32), (data * steps[:, None]).sum(axis=0) / steps.sum(), atol=1e-5)
 
 
@@ -212,6 +212,18 @@ def test_lm_training_in_tasks_helps(spark):
     assert with_ > without
 
 
+def test_lm_every_task_trains_whatever_its_share(spark):
+    """In one task or many, with less than a batch of windows each, the round moves the
+    model, and held-out scores agree."""
+    docs, scores = spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), []
+    first = lm.fit(docs, sample_docs=60, share=10 ** 9).model
+    for parts in (1, 211):
+        fitted = lm.fit(docs.repartition(parts), sample_docs=60, share=2)
+        assert any((fitted.model.p[k] != first.p[k]).any() for k in first.p)
+        scores.append(lm.score_with(fitted, docs).where("held_out").agg({"score": "sum"}).first()[0])
+    assert max(scores) - min(scores) <= 0.02 * abs(max(scores))
+
+
 def test_lm_windows_score_each_token_once():
     m = lm.Model(np.arange(lm.IDS) % 7 + 0.0)
     ends = np.cumsum([1, 2, 15, 16, 17, 31, 32, 33, 56, 57, 200])
