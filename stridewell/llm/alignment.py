@@ -30,9 +30,9 @@ from .common import materialize
 #: Where the public vocabularies are; a parameter of ``align``.
 FOLDER = "/opt/tokenizers"
 #: Bytes of text that are laid end to end at once; a longer text stands alone.
-BATCH = 4_000_000
+BATCH = 2_500_000
 #: Pieces of text whose tokens a task remembers; when there are more it starts again.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 #: Characters other than space and line feed that some regular expression engine
 #: takes for white space.
