@@ -10,8 +10,11 @@ groups of at most about GROUP and, within a group, into slightly more parts than
 may differ there.  So two linked sets have a group with few enough differences,
 and in it a part that is not empty and equal in both: its hash is a key.  Of the
 keys of a group only the first in order stay, as many as may differ and one more
-(the prefix filter).  Unlike single shingles, parts are shared by hardly any texts
-that merely quote the same passage, and no table of frequent shingles is needed.
+(the prefix filter).  The order is the same for all sets and puts rare keys first:
+a pass before counts the keys of all parts of all texts in a sketch of CELLS
+counters, and keys are ranked by the binary logarithm of their counter.  So a part
+that holds no more than a phrase many short texts share is a key only of sets with
+too few others.  Any fixed order finds every link; counts only make it cheap.
 
 Bitmaps.  The exclusive or of two parity bitmaps has at most as many ones as the
 sets have different shingles, so most pairs with a common key go without a look
@@ -47,6 +50,7 @@ MOST_WORDS = 200_000  # words a task remembers
 SMALL = 1_000_000  # rows of one or two longs that may be broadcast
 FLUSH = 3_000_000  # keys a task gathers before they are dealt out
 PER_RANGE = 1_500_000  # keys that are sorted together
+CELLS = 1 << 19  # counters of the sketch of keys
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -107,12 +111,16 @@ def groups_of(band: np.ndarray) -> np.ndarray:
 
 
 class Cutter:
-    """Keys and bitmaps of sets; several sets, one after the other, at a time."""
+    """Keys and bitmaps of sets; several sets, one after the other, at a time.
 
-    def __init__(self, t: int):
+    ``ranks``: of each cell, how common its keys are; keys of low rank come first.
+    """
+
+    def __init__(self, t: int, ranks: np.ndarray | None = None):
         if not 60 <= t <= 100:
             raise ValueError("t must be 60 to 100")
         self.t = t
+        self.ranks = np.zeros(CELLS, np.uint8) if ranks is None else ranks
 
     def may_differ(self, n: np.ndarray) -> np.ndarray:
         """Most differences from any set that a set of size n links with."""
@@ -128,32 +136,39 @@ class Cutter:
         packed = np.packbits(odd, bitorder="little")
         return [packed[a // 8:(a + b) // 8].tobytes() for a, b in zip(starts, bits)]
 
-    def keys(self, every: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Key, number of the set, and slot (64 * group + band; 0: a single shingle)."""
-        band, out = band_of(size), []
+    def bands(self, every: np.ndarray, size: np.ndarray) -> list[tuple]:
+        """The arguments of ``filled`` and ``least``, ``size`` of ``first`` for the
+        sets' own bands and, of those near its lower end, the band below."""
+        band = band_of(size)
         of = np.repeat(np.arange(len(size)), size)
         # a set that links with some of the band below has keys there as well
         lower = (size > 0) & (band > LEAST_BAND) & (size * self.t <= 100 << np.maximum(band - 1, 0))
         tags = place(every), mixed(every ^ BASE), every
-        out.append(self.of_band(of, *tags, np.arange(len(size))[size > 0], band[size > 0], size[size > 0]))
+        own = np.flatnonzero(size)
+        number = np.full(len(size), -1)
+        number[own] = np.arange(len(own))
+        out = [((number[of], *tags, own, band[own]), size[own], size[own])]
         if lower.any():
             some = np.flatnonzero(lower)
             number = np.full(len(size), -1)
             number[some] = np.arange(len(some))
             mine = lower[of]
-            out.append(self.of_band(number[of[mine]], *(x[mine] for x in tags), some, band[some] - 1, np.minimum(size[some], (1 << (band[some] - 1)) - 1), size[some]))
-        return tuple(np.concatenate(x) for x in zip(*out))
-
-    def of_band(self, of, where, value, every, who, band, least, size=None):
-        """``of``: index into ``who`` for shingles (of all sets, where ``who`` are the
-        sets that have any); ``least``: the smaller size of a pair at most."""
-        size = least if size is None else size
-        if len(of) and len(who) and of.max() >= len(who):
-            number = np.full(int(of.max()) + 1, -1)
-            number[who] = np.arange(len(who))
-            of = number[of]
+            out.append(((number[of[mine]], *(x[mine] for x in tags), some, band[some] - 1), np.minimum(size[some], (1 << (band[some] - 1)) - 1), size[some]))
+        return out
+
+    def keys(self, every: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Key, number of the set, and slot (64 * group + band; 0: a single shingle)."""
+        return tuple(np.concatenate(x) for x in zip(*(self.first(*args) for args in self.bands(every, size))))
+
+    def all_keys(self, every: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The keys of all parts that are not empty."""
+        return np.concatenate([self.filled(*args)[0] for args, _, _ in self.bands(every, size)])
+
+    def filled(self, of, where, value, every, who, band):
+        """Of all parts that are not empty: key, index into ``who``, group, and the
+        number of that group among those of all sets.  ``of``: index into ``who``
+        for shingles, in order."""
         g = groups_of(band)
-        room = self.may_differ(least) >> g  # differences in the group that has fewest
         parts = ((((1 << band) >> g) * (100 - self.t) * 27) // (25 * self.t)) + 3
         first = np.cumsum(parts << g) - (parts << g)
         width = (band + 1 - g).astype(np.uint64)
@@ -168,8 +183,15 @@ class Cutter:
         inner = used - first[mine]
         in_group = inner // parts[mine]
         key = mixed(sums[used].astype(np.uint64) ^ mixed((inner.astype(np.uint64) << np.uint64(8)) + band[mine].astype(np.uint64) + BASE))
-        box = (np.cumsum(1 << g) - (1 << g))[mine] + in_group
-        order = np.lexsort((key, box))
+        return key, mine, in_group, (np.cumsum(1 << g) - (1 << g))[mine] + in_group
+
+    def first(self, args, least, size):
+        """The keys that stay of one band.  ``least``: the smaller size of a pair at most."""
+        of, _, _, every, who, band = args
+        g = groups_of(band)
+        room = self.may_differ(least) >> g  # differences in the group that has fewest
+        key, mine, in_group, box = self.filled(*args)
+        order = np.lexsort((key, self.ranks[cell_of(key)], box))
         key, mine, in_group, box = key[order], mine[order], in_group[order], box[order]
         begin = np.flatnonzero(np.concatenate([[True], box[1:] != box[:-1]]))[:len(box)]
         count = np.diff(np.append(begin, len(box)))
@@ -180,7 +202,7 @@ class Cutter:
         filled = np.bincount(box, minlength=int((1 << g).sum()))
         sparse = np.unique(np.repeat(np.arange(len(who)), 1 << g)[filled <= np.repeat(room, 1 << g)])
         for k in sparse:
-            own = np.sort(every[of == k])[:int(size[k]) - int(needed(int(size[k]), -(-int(size[k]) * self.t // 100), self.t)) + 1]
+            own = np.sort(every[np.searchsorted(of, k):np.searchsorted(of, k, side="right")])[:int(size[k]) - int(needed(int(size[k]), -(-int(size[k]) * self.t // 100), self.t)) + 1]
             key, number, slot = np.append(key, mixed(own + BASE)), np.append(number, np.full(len(own), who[k])), np.append(slot, np.zeros(len(own), int))
         return key, number, slot
 
@@ -190,7 +212,38 @@ def place(every: np.ndarray) -> np.ndarray:
     return mixed(every + np.uint64(12345))
 
 
-def one_pass(docs: DataFrame, ranges: int, t: int) -> DataFrame:
+def cell_of(key: np.ndarray) -> np.ndarray:
+    """Where keys are counted."""
+    return ((key >> np.uint64(7)) & np.uint64(CELLS - 1)).astype(np.int64)
+
+
+def batch_sets(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sets one after the other, and their sizes."""
+    return np.concatenate([*sets, np.zeros(0, np.uint64)]), np.array([len(x) for x in sets], np.int64)
+
+
+def key_ranks(docs: DataFrame, t: int) -> np.ndarray:
+    """How common the keys of each cell are in all texts: binary logarithms of
+    counts.  A task hands on at most a number for each cell, and Spark sums them."""
+    def count(batches):
+        s, cutter, total = Shingler(), Cutter(t), np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 250):
+                every, size = batch_sets(s.sets(batch["text"].slice(at, 250).to_pylist()))
+                if len(every):
+                    total += np.bincount(cell_of(cutter.all_keys(every, size)), minlength=CELLS)
+        cell = np.flatnonzero(total)
+        for at in range(0, len(cell), 1 << 16):
+            some = cell[at:at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["cell", "n"])
+
+    counted = docs.select("text").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.floor(F.log2(F.sum("n"))).cast("int").alias("rank"))
+    found, ranks = counted.toArrow(), np.zeros(CELLS, np.uint8)
+    ranks[found["cell"].to_numpy()] = found["rank"].to_numpy()
+    return ranks
+
+
+def one_pass(docs: DataFrame, ranges: int, t: int, ranks: np.ndarray) -> DataFrame:
     """kind 0: a row per text with the size, a 128-bit signature, min-hashes and
     the bitmap (``data``) of its set; kind 1: ``uid, n`` a slot and ``s1`` a key
     that several sets have."""
@@ -199,7 +252,7 @@ def one_pass(docs: DataFrame, ranges: int, t: int) -> DataFrame:
     shift = np.uint64(64 - (ranges - 1).bit_length())
 
     def run(batches):
-        s, cutter, held, n_held = Shingler(), Cutter(t), [], 0
+        s, cutter, held, n_held = Shingler(), Cutter(t, ranks), [], 0
 
         def dealt():
             """Keys by range: those keys, indices into the texts' ids, slots, ids."""
@@ -223,9 +276,8 @@ def one_pass(docs: DataFrame, ranges: int, t: int) -> DataFrame:
             uid = batch["uid"].to_numpy()
             for at in range(0, len(uid), 250):
                 sets, ids = s.sets(batch["text"].slice(at, 250).to_pylist()), uid[at:at + 250]
-                size = np.array([len(x) for x in sets], np.int64)
+                every, size = batch_sets(sets)
                 some = np.flatnonzero(size)
-                every = np.concatenate([*sets, np.zeros(0, np.uint64)])
                 starts = (np.cumsum(size) - size)[some]
                 cols = np.zeros((2 + HASHES, len(size)), np.uint64)
                 for j in range(2 + HASHES if len(some) else 0):
@@ -482,7 +534,7 @@ def similar_sets(docs: DataFrame, t: int = 80) -> DataFrame:
     small_batches(docs.sparkSession)
     length = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     ranges = 1 << max(4, (length // 20 // PER_RANGE).bit_length())  # about a key for twenty bytes
-    seen = materialize(one_pass(docs, ranges, t))
+    seen = materialize(one_pass(docs, ranges, t, key_ranks(docs, t)))
     rows = seen.where("kind = 0")
     sets = rows.select("uid", "n", "data")
     full = rows.where("n > 0")

@@ -89,10 +89,38 @@ def test_tree_walk_equals_set_arithmetic():
         assert set(ngramjoin.tree_links(a, seqs, ngramjoin.tree_order(seqs), 80)) == want
 
 
-def test_linked_sets_share_a_key_within_its_bounds():
-    """No pair at or just over the similarity is lost, whatever the sizes."""
+def short_texts(n, phrase="the same five words here"):
+    """Twelve words each, five of them the same in all."""
+    r = random.Random(phrase)
+    return [" ".join([phrase, *(f"w{r.randrange(10 ** 9)}" for _ in range(7))]) for _ in range(n)]
+
+
+def test_a_common_phrase_is_no_key_of_short_texts(spark):
+    own = [(i, t) for i, t in enumerate(t for k in range(6) for t in short_texts(600, f"the same five words {k}"))]
+    docs = spark.createDataFrame(own, "doc_id long, text string")
+    ranks = ngramjoin.key_ranks(docs, 80)
+    sets = ngramjoin.Shingler().sets([t.encode() for _, t in own])
+    every, size = ngramjoin.batch_sets(sets)
+    most = [np.unique(ngramjoin.Cutter(80, x).keys(every, size)[0], return_counts=True)[1].max() for x in (None, ranks)]
+    assert most[0] > 200 and most[1] < 50
+    # in all counters stands each key of each part, in any number of partitions
+    assert (ranks == ngramjoin.key_ranks(docs.repartition(7), 80)).all()
+
+
+def test_short_texts_with_a_common_phrase_and_some_links(spark, monkeypatch):
+    monkeypatch.setattr(ngramjoin, "TILE", 16)
+    own = short_texts(300)
+    rows = [(i, t, "", 0, 0) for i, t in enumerate(own)]
+    rows += [(1000 + i, t + " more", "", 0, 0) for i, t in enumerate(own) if i % 9 == 0]  # eight shingles of nine
+    got = {r.doc_id: r.component_id for r in ngramjoin.ngram_components(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {i: i - 1000 if i >= 1000 else i for i, *_ in rows}
+
+
+@pytest.mark.parametrize("ranked", [False, True])
+def test_linked_sets_share_a_key_within_its_bounds(ranked):
+    """No pair at or just over the similarity is lost, whatever the sizes and the order of keys."""
     r = np.random.default_rng(7)
-    cutter, met = ngramjoin.Cutter(80), 0
+    cutter, met = ngramjoin.Cutter(80, r.integers(0, 20, ngramjoin.CELLS).astype(np.uint8) if ranked else None), 0
     for n in [1, 2, 4, 5, 6, 9, 15, 25, 30, 31, 32, 40, 63, 64, 100, 127, 130, 255, 256, 300, 1000, 1023, 1024, 1100, 2000, 2048, 2500, 5000, 20_000]:
         for trial in range(12 if n < 3000 else 3):
             a = np.unique(r.integers(0, 2 ** 63, n, dtype=np.uint64))
