@@ -5,6 +5,7 @@ import struct
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stridewell import sinks
 from stridewell.sources import exports, fit
@@ -131,6 +132,26 @@ def test_json_sink_and_export(spark, tmp_path):
     assert list(sinks.payload(df.orderBy("id")))[0] == {"id": 1, "name": "x", "distance": None}
 
 
+def test_one_array_is_read_by_many_tasks(spark, tmp_path):
+    kinds, path = "id long, name string, deep struct<x:array<struct<k:int>>>, at timestamp, n double", str(tmp_path / "all.json")
+    df = spark.range(5000).selectExpr("id", """if(id % 5 = 0, null, concat('},{"[ \\\\', id, '\\n"]\\u2028')) as name""",
+                                      "named_struct('x', array(named_struct('k', int(id)), named_struct('k', 1))) as deep",
+                                      "timestamp_millis(id * 3600001) as at", "if(id % 3 = 0, double('nan'), id / 8) as n").repartitionByRange(5, "id")
+    sinks.write_json_file(df, path)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        got = exports.read_export(spark, path, T.StructType.fromDDL(kinds))
+        assert got.rdd.getNumPartitions() > 4
+        whole = spark.read.schema(kinds).option("multiLine", True).json(path)
+        assert sorted(map(str, got.collect())) == sorted(map(str, whole.collect())) and got.exceptAll(whole).isEmpty() and got.count() == 5000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    for text, ids in (('[\n{"id": 1}, {"id": 2},\r\n {"id": 3, "deep": {"x": [{"k": 1}, {"k": 2}]}}\n]', [1, 2, 3]), ("[]", []), ('[{"id": 1}]', [1]), ("[\n]\n", []),
+                      ('[\n{"id": 1, "deep": {"x": [{"k": 1},\n{"k": 2}]}},\n{"id": 4}\n]', [1, 4]), ('[\n  {\n    "id": 5\n  }\n]', [5])):
+        (tmp_path / "small.json").write_text(text)
+        assert [r.id for r in exports.read_export(spark, str(tmp_path / "small.json"), T.StructType.fromDDL(kinds)).collect()] == ids, text
+
+
 def test_publish(spark):
     df = sinks.publish(spark.range(3), "kept")
     assert spark.table("kept").count() == 3
