@@ -21,7 +21,9 @@ import html as entities
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -62,7 +64,7 @@ FRAME = frozenset("html body article main".split())
 BOXES = frozenset("div section ul ol dl table center fieldset figure header details nav footer aside form menu".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 GAMMA, LOW, LEAST_PAGES = 0.9, 0.35, 5
-NEST = 4  # a box's features come from itself and so many boxes nested in it
+MOST_ROWS = 200_000  # of a page's counts that are held at a time
 SHORT = 12  # words of a text that are features each
 MAIN_SHARE = 4  # articles, or main, count alone if they hold one part in so many of a page's text
 TARGETS = re.compile(r"""\b(?:href|src)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -247,10 +249,10 @@ def walk(page: str, low: frozenset = frozenset(), watch: list | None = None) ->
 class Box:
     """A container of a page: its path, the box around it, the elements and content
     features that are in no inner box."""
-    __slots__ = ("path", "up", "kids", "content")
+    __slots__ = ("path", "up", "depth", "kids", "content")
 
     def __init__(self, path: int, up: Box | None):
-        self.path, self.up, self.kids, self.content = path, up, [], []
+        self.path, self.up, self.depth, self.kids, self.content = path, up, up.depth + 1 if up else 0, [], []
 
 
 def chosen(article: str, main: str, anywhere: str) -> str:
@@ -265,23 +267,57 @@ def main_text(page: str | None, low: frozenset = frozenset()) -> str:
     return chosen(*walk(page, low)) if page else ""
 
 
-def counted(page: str | None) -> tuple[int, list[int], list[int], list[int]]:
+def tallied(page: str | None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """A hash of a page's text; what it adds to its host's tree: paths, kinds, and
-    hashes of values, each once."""
+    hashes of values, each once, in pieces of about MOST_ROWS rows.
+
+    A box's features are those of all boxes within it.  Boxes of a path stand at one
+    depth, so depths are told one after the other, the innermost first, and each
+    then hands its features on: only one depth's are held at a time."""
     boxes: list[Box] = []
     whole = signed(chosen(*walk(page or "", watch=boxes)))
     look: dict[int, list[str]] = {}
-    content: set[tuple[int, str]] = set()
+    levels: dict[int, list[Box]] = {}
     for b in boxes:
         look.setdefault(b.path, []).append(",".join(b.kids))
-        words, at = set(b.content), b
-        for _ in range(1 + NEST):
-            if at is None:
-                break
-            content.update((at.path, w) for w in words)
-            at = at.up
-    rows = [(p, PRESENT, 0) for p in look] + [(p, LOOK, signed("|".join(x))) for p, x in look.items()] + [(p, CONTENT, signed(w)) for p, w in content]
-    return whole, *([r[k] for r in rows] for k in range(3))
+        levels.setdefault(b.depth, []).append(b)
+    known: dict[str, int] = {}
+    held, n = [(np.array([*look, *look], np.int64), np.repeat([PRESENT, LOOK], len(look)),
+                np.array([0] * len(look) + [signed("|".join(x)) for x in look.values()], np.int64))], 2 * len(look)
+    within: dict[int, set[int]] = {}  # by box, what inner boxes hand on
+    for depth in sorted(levels, reverse=True):
+        of_path: dict[int, list[set[int]]] = {}
+        above: dict[int, set[int]] = {}
+        sets_of = []
+        for b in levels[depth]:
+            own = within.pop(id(b), set())
+            for w in b.content:
+                if w not in known:
+                    known[w] = signed(w)
+                own.add(known[w])
+            of_path.setdefault(b.path, []).append(own)
+            sets_of.append(own)
+        for path, sets in of_path.items():
+            values = sets[0] if len(sets) == 1 else set().union(*sets)
+            held.append((np.full(len(values), path, np.int64), np.full(len(values), CONTENT), np.fromiter(values, np.int64, len(values))))
+            n += len(values)
+            if n >= MOST_ROWS:
+                yield whole, *map(np.concatenate, zip(*held))
+                held, n = [], 0
+        for b, own in zip(levels[depth], sets_of):
+            if b.up is not None:
+                small, large = sorted((own, above.get(id(b.up), set())), key=len)
+                large |= small
+                above[id(b.up)] = large
+        within = above
+    if held:
+        yield whole, *map(np.concatenate, zip(*held))
+
+
+def counted(page: str | None) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """All pieces of ``tallied`` as one."""
+    whole, *rows = zip(*tallied(page))
+    return whole[0], *map(np.concatenate, rows)
 
 
 def signed(text: str) -> int:
@@ -301,12 +337,24 @@ def style_tree(pages: DataFrame) -> DataFrame:
     log n.  content: 1 less the mean of log m / log n over the features of the
     branch, m being the pages with that feature.
     """
+    def packed(batch, held) -> pa.RecordBatch:
+        of, ends = pa.array([i for i, _ in held]), np.cumsum([0, *(len(p[1]) for _, p in held)]).astype(np.int32)
+        lists = [pa.ListArray.from_arrays(ends, np.concatenate([p[k] for _, p in held]).astype(np.int64)) for k in (1, 2, 3)]
+        return pa.RecordBatch.from_arrays([batch["host"].take(of), batch["row"].take(of), pa.array([p[0] for _, p in held], pa.int64()), *lists],
+                                          ["host", "row", "page", "paths", "kinds", "values"])
+
     def run(batches):
         for batch in batches:
-            rows = [counted(p) for p in batch["html"].to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch["host"], batch["row"], pa.array([r[0] for r in rows], pa.int64()), *[pa.array([r[k] for r in rows], pa.list_(pa.int64())) for k in (1, 2, 3)]],
-                ["host", "row", "page", "paths", "kinds", "values"])
+            held, n = [], 0
+            for i, p in enumerate(batch["html"].to_pylist()):
+                for piece in tallied(p):
+                    held.append((i, piece))
+                    n += len(piece[1])
+                    if n >= MOST_ROWS:
+                        yield packed(batch, held)
+                        held, n = [], 0
+            if held:
+                yield packed(batch, held)
 
     seen = materialize(pages.select(host().alias("host"), F.monotonically_increasing_id().alias("row"), "html").mapInArrow(
         run, "host string, row long, page long, paths array<long>, kinds array<long>, values array<long>"))

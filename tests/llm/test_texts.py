@@ -106,6 +106,22 @@ def test_html_importance_equals_brute_force(spark):
     assert all(got[p][0] == want[p][0] and abs(got[p][1] - want[p][1]) < 1e-9 for p in want)
 
 
+def test_html_features_reach_boxes_of_any_depth(spark, monkeypatch):
+    """An article in many boxes is content of the outermost one too."""
+    texts = [f"story{i} of page{i} told{i}" for i in range(8)]
+    page = lambda i: "<html><body>" + "".join(f"<div class='k{d}'>" for d in range(12)) + f"<p>{texts[i]}</p>" + "</div>" * 12 + "</body></html>"
+    pages = spark.createDataFrame([(i, f"https://deep.example/{i}", page(i)) for i in range(8)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in htmltext.extract(pages).collect()} == dict(enumerate(texts))
+    html = page(0).replace("<p>", "<div class='twin'>one two</div><div class='twin'>two three</div><p>", 1)
+    rows = lambda parts: sorted(zip(*map(list, parts[1:])))
+    whole = rows(htmltext.counted(html))
+    assert len(set(whole)) == len(whole)
+    monkeypatch.setattr(htmltext, "MOST_ROWS", 5)
+    assert len(list(htmltext.tallied(html))) > 3 and rows(htmltext.counted(html)) == whole
+    got = htmltext.style_tree(pages).collect()
+    assert len(got) == 12 and all(r.importance > 0.8 and r.n == 8 for r in got)
+
+
 @pytest.mark.parametrize("unit, close", [("<div>", "x"), ("<div>a", ""), ("<a ", ""), ('<a "', ""), ("<b>", "<p>" * 20_000), ("<form><p>", ""), ("<svg><path>", ""), ("<!--", ""), ("<div>", "</ul>" * 50_000)])
 def test_html_takes_linear_time(unit, close):
     def seconds(n):
