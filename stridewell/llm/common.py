@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from ..scratch import fresh_path
 
 #: A word is a run of bytes that are neither space nor one of the controls 9-13.
 WORD = r"[^\x20\x09-\x0D]+"
+PIECES, FAN = 16, 256  # parts in which parameters are averaged, so many tasks' at a time
+PARTS = "piece int, task long, windows long, data binary"
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -44,6 +48,39 @@ def remove(spark: SparkSession, *paths: str) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def averaged(parts: DataFrame) -> DataFrame:
+    """``piece, task, windows, data``: the mean of the tasks' float32 arrays of a
+    piece, weighted by windows; at most FAN of them meet in a task at a time."""
+    def mean(group):
+        w = group["windows"].to_numpy().astype(np.float64)
+        rows = [np.frombuffer(x.as_py(), np.float32) for x in group["data"]]
+        data = sum(k * x for k, x in zip(w / w.sum(), rows)).astype(np.float32)
+        return pa.table({"piece": group["piece"][:1], "task": group["task"][:1], "windows": pa.array([int(w.sum())]), "data": pa.array([data.tobytes()], pa.binary())})
+
+    for _ in range(3):  # up to FAN ** 3 tasks
+        parts = parts.withColumn("task", F.floor(F.col("task") / FAN)).groupBy("piece", "task").applyInArrow(mean, PARTS)
+    return parts
+
+
+def packed_parts(arrays: list[np.ndarray], task: int, weight: int) -> pa.RecordBatch:
+    """A task's parameters as rows of ``averaged``."""
+    data = [x.tobytes() for x in np.array_split(np.concatenate([a.ravel() for a in arrays]).astype(np.float32), PIECES)]
+    return pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array([task] * PIECES, pa.int64()), pa.array([weight] * PIECES, pa.int64()),
+                                       pa.array(data, pa.binary())], ["piece", "task", "windows", "data"])
+
+
+def mean_of_tasks(parts: DataFrame, like: list[np.ndarray]) -> list[np.ndarray] | None:
+    """The tasks' mean as arrays of the shapes of ``like``; None if no task has any."""
+    got = {r.piece: r.data for r in averaged(parts).collect()}  # the parameters once
+    if not got:
+        return None
+    flat, at, out = np.frombuffer(b"".join(bytes(got[k]) for k in range(PIECES)), np.float32), 0, []
+    for x in like:
+        out.append(flat[at:at + x.size].reshape(x.shape).copy())
+        at += x.size
+    return out
+
+
 def word_count(text: Column) -> Column:
     """Words of a text as a long; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

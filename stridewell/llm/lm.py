@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches
+from .common import PARTS, averaged, materialize, mean_of_tasks, packed_parts, small_batches  # noqa: F401
 
 #: Fixed value: the public split pattern of this byte-level vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -41,7 +41,6 @@ OWN, CLASSES, DIM, HIDDEN = 4096, 48, 16, 48
 COMMON = 1 << 19  # words whose counts every task gets
 ROUNDS, SHARE, SLICE = 2, 64, 600  # rounds of training in Spark, each on one of so many characters of all texts, in slices of so many or more
 MIX = 0.2  # of the words' own counts in the interpolation
-PIECES, FAN = 16, 256  # parts in which parameters are averaged, so many tasks' at a time
 SEEN = 300_000  # different words that a task counts before it passes them on
 PART = 64  # longer words are cut so for the vocabulary
 LN10 = np.log(10.0)
@@ -328,20 +327,6 @@ def train(model: Model, ids: np.ndarray, ends: np.ndarray, steps: int = 2000, ba
     return model
 
 
-def averaged(parts: DataFrame) -> DataFrame:
-    """``piece, task, windows, data``: the mean of the tasks' float32 arrays of a
-    piece, weighted by windows; at most FAN of them meet in a task at a time."""
-    def mean(group):
-        w = group["windows"].to_numpy().astype(np.float64)
-        rows = [np.frombuffer(x.as_py(), np.float32) for x in group["data"]]
-        data = sum(k * x for k, x in zip(w / w.sum(), rows)).astype(np.float32)
-        return pa.table({"piece": group["piece"][:1], "task": group["task"][:1], "windows": pa.array([int(w.sum())]), "data": pa.array([data.tobytes()], pa.binary())})
-
-    for _ in range(3):  # up to FAN ** 3 tasks
-        parts = parts.withColumn("task", F.floor(F.col("task") / FAN)).groupBy("piece", "task").applyInArrow(mean, "piece int, task long, windows long, data binary")
-    return parts
-
-
 def slices(train_docs: DataFrame, share: int, seed: int) -> DataFrame:
     """``text``: one of ``share`` characters of all texts; of a long text a slice at a
     place given by its hash, of short ones a slice of some."""
@@ -394,19 +379,13 @@ def train_on_all(model: Model, train_docs: DataFrame, ranks, share: int, seed: i
         if n_held:
             steps(1)  # the last windows too, and those of a task that has few
         if n_all:
-            flat = np.concatenate([m.p[k].ravel() for k in names]).astype(np.float32)
-            data = [x.tobytes() for x in np.array_split(flat, PIECES)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array([task] * PIECES, pa.int64()), pa.array([n_all] * PIECES, pa.int64()),
-                                              pa.array(data, pa.binary())], ["piece", "task", "windows", "data"])
-
-    parts = slices(train_docs, share, seed).select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "piece int, task long, windows long, data binary")
-    got = {r.piece: r.data for r in averaged(parts).collect()}  # the parameters once
-    if not got:
+            yield packed_parts([m.p[k] for k in names], task, n_all)
+
+    got = mean_of_tasks(slices(train_docs, share, seed).select(F.col("text").cast("binary").alias("text")).mapInArrow(run, PARTS), [model.p[k] for k in names])
+    if got is None:
         return model
-    flat, at, out = np.frombuffer(b"".join(bytes(got[k]) for k in range(PIECES)), np.float32), 0, model.copy()
-    for k in names:
-        out.p[k] = flat[at:at + out.p[k].size].reshape(out.p[k].shape).copy()
-        at += out.p[k].size
+    out = model.copy()
+    out.p.update(zip(names, got))
     return out
 
 

@@ -527,6 +527,37 @@ def test_toxicity_edges(spark):
     assert all(r.predicted == r.doc_id % 2 for r in toxicity.toxicity(docs, train).collect())
 
 
+def test_toxicity_learns_from_rows_beyond_the_sample(spark):
+    """The words that tell are many, and the first sample has few of them."""
+    r = random.Random(4)
+    name = lambda k, head: head + "".join(chr(97 + k // 5 ** j % 5) for j in range(3))
+    rows = [(i, f"the tea was {name(r.randrange(60), 'zuv' if i % 2 else 'wok')[::-1]} today and good", None) for i in range(4_000)]
+    train = spark.createDataFrame([(i, i % 2, 0) for i in range(4_000)], "doc_id long, toxic int, quality int")
+    got = toxicity.toxicity(frame(spark, rows), train, most=8).collect()
+    held = [r for r in got if r.held_out]
+    assert len(got) == 4_000 and sum(r.predicted == r.doc_id % 2 for r in held) > 0.9 * len(held)
+
+
+def test_toxicity_places_by_pieces(monkeypatch):
+    m, r = toxicity.Model(), np.random.default_rng(3)
+    sizes = [0, 1, 4, 70, 31]
+    starts = np.concatenate([[0], np.cumsum([n + 3 for n in sizes])])
+    rows = r.integers(0, 9_000, (starts[-1], 6)).astype(np.uint16)
+    for s, n in zip(starts, sizes):
+        rows[s + n:s + n + 3] = 0
+    values = m.convolve(m.responses(m.vectors(rows)))
+    want = [values[s:s + n + 1].max(axis=0) for s, n in zip(starts, sizes)]
+    for piece in (7, 50, 1_000):
+        monkeypatch.setattr(toxicity, "PIECE", piece)
+        where, pooled = toxicity.pooled_at(m, rows, starts, 3)
+        assert np.allclose(pooled, want, atol=1e-5) and np.allclose(values[where, np.arange(toxicity.CHANNELS)], want, atol=1e-5)
+
+
+def test_thresholds_keep_equal_logits_together():
+    z, y, n = np.array([0.0, 1.0, 1.0, 2.0]), np.array([0, 0, 1, 1]), np.array([50, 40, 30, 50])
+    assert (toxicity.calibrate(z, y, n, np.zeros(4, int)) == 1.5).all()
+
+
 def test_network_equals_a_plain_convolution():
     m, r = toxicity.Model(), random.Random(6)
     m.bias = np.linspace(-0.2, 0.2, toxicity.CHANNELS).astype(np.float32)
