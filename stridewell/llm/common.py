@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -81,6 +85,20 @@ def mean_of_tasks(parts: DataFrame, like: list[np.ndarray]) -> list[np.ndarray]
     return out
 
 
+def lean(run):
+    """``run`` over batches; the memory that a worker no longer uses goes back when it ends,
+    as the worker lives on for other tasks."""
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux":
+                ctypes.CDLL(None).malloc_trim(0)
+    return wrapped
+
+
 def word_count(text: Column) -> Column:
     """Words of a text as a long; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, discard, materialize, small_batches
+from .common import components, discard, lean, materialize, small_batches
 
 SIZE = 5
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -237,7 +237,7 @@ def key_ranks(docs: DataFrame, t: int) -> np.ndarray:
             some = cell[at:at + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["cell", "n"])
 
-    counted = docs.select("text").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.floor(F.log2(F.sum("n"))).cast("int").alias("rank"))
+    counted = docs.select("text").mapInArrow(lean(count), "cell int, n long").groupBy("cell").agg(F.floor(F.log2(F.sum("n"))).cast("int").alias("rank"))
     found, ranks = counted.toArrow(), np.zeros(CELLS, np.uint8)
     ranks[found["cell"].to_numpy()] = found["rank"].to_numpy()
     return ranks
@@ -318,7 +318,7 @@ def one_pass(docs: DataFrame, ranges: int, t: int, ranks: np.ndarray) -> DataFra
         return pa.table([pa.array(np.ones(len(key), np.int32)), pa.array(np.concatenate(ids)[order]), pa.array(np.concatenate(slots)[order].astype(np.int64)),
                          pa.array(key.view(np.int64)), *[zero] * (1 + HASHES), pa.nulls(len(key), pa.binary())], fields)
 
-    return docs.select("uid", "text").mapInArrow(run, "box int, " + schema).groupBy("box").applyInArrow(shared, schema)
+    return docs.select("uid", "text").mapInArrow(lean(run), "box int, " + schema).groupBy("box").applyInArrow(shared, schema)
 
 
 def ones(a: pa.Array, i: np.ndarray, b: pa.Array, j: np.ndarray) -> np.ndarray:
@@ -363,7 +363,7 @@ def screen(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
 
     x, y = (sets.select(F.col("uid").alias(c), F.col("n").alias(f"n{c}"), F.col("data").alias(f"bits_{c}")) for c in "ab")
     return (pairs.join(y, "b").where("nb > 0").join(x, "a").select("a", "b", "na", "nb", "bits_a", "bits_b")
-            .mapInArrow(run, "a long, b long, w long"))
+            .mapInArrow(lean(run), "a long, b long, w long"))
 
 
 def tree_order(partners: list[np.ndarray]) -> list[int]:
@@ -420,7 +420,7 @@ def verify(docs: DataFrame, pairs: DataFrame, t: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch["uid"].slice(k, 200), pa.array([x.tobytes() for x in sets], pa.binary())], ["uid", "seq"])
 
     few = members.count() <= SMALL
-    sets = materialize(docs.select("uid", "text").join(F.broadcast(members) if few else members, "uid").mapInArrow(encode, "uid long, seq binary"))
+    sets = materialize(docs.select("uid", "text").join(F.broadcast(members) if few else members, "uid").mapInArrow(lean(encode), "uid long, seq binary"))
     parts = pairs.groupBy("a").agg(F.ceil(F.sum("w") / (1 << 17)).alias("parts"))
     dealt = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").alias("part"))
     wanted = (dealt.select("a", "part", F.lit(1).alias("side"), F.col("b").alias("uid"))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches
+from .common import lean, materialize, small_batches
 
 TRIGGER = 32
 BASE = 0x9E3779B97F4A7C15
@@ -40,9 +40,9 @@ BYTES = np.random.default_rng(11).integers(0, 2 ** 63, 256, dtype=np.uint64) * n
 BASE2 = 0xD1B54A32D192ED03
 BYTES2 = np.random.default_rng(12).integers(0, 2 ** 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SLICE = 1 << 20  # bytes hashed at a time
-HELD = 1_500_000  # phrases a task settles at a time
+HELD = 250_000  # phrases a task settles at a time
 LANE = 4096  # phrases of a trigger that are sorted together; more are compared string by string
-STRINGS = 1_000_000  # strings of crowded triggers a task settles at a time
+STRINGS = 300_000  # strings of crowded triggers a task settles at a time
 
 
 def rolling(buf: np.ndarray, width: int, base: int = BASE, values: np.ndarray = BYTES) -> np.ndarray:
@@ -164,14 +164,14 @@ def parse(docs: DataFrame, length: int) -> DataFrame:
             doc, sub = batch["doc"].to_numpy(), batch["sub"].to_numpy()
             for row, shift, buf, ends in slices(batch["bytes"], length):
                 text, trigger, phrase, at, first, last = phrases(buf, ends, length)
-                parts.append((doc[row + text], sub[row + text], trigger, phrase, at + shift, first + shift, last + shift))
+                parts.append((doc[row + text], sub[row + text], trigger, phrase, *((x + shift).astype(np.int32) for x in (at, first, last))))
                 held += len(text)
             if held > HELD:
                 yield settle(parts)
                 parts, held = [], 0
         if parts:
             yield settle(parts)
-    return docs.mapInArrow(run, SCHEMA)
+    return docs.mapInArrow(lean(run), SCHEMA)
 
 
 def cut_out(docs: DataFrame, places: DataFrame, length: int) -> DataFrame:
@@ -193,7 +193,7 @@ def cut_out(docs: DataFrame, places: DataFrame, length: int) -> DataFrame:
                 ["trigger", "doc", "sub", "at", "back", "fore", "piece"])
 
     return docs.join(wanted, ["doc", "sub"]).select("doc", "sub", "bytes", "places").mapInArrow(
-        run, "trigger long, doc long, sub int, at int, back int, fore int, piece binary")
+        lean(run), "trigger long, doc long, sub int, at int, back int, fore int, piece binary")
 
 
 def sort_suffixes(length: int):
@@ -315,7 +315,7 @@ def repeated_runs(base: DataFrame, length: int) -> DataFrame:
     found = pieces.groupBy("bin").applyInArrow(sort_suffixes(length), "doc long, sub int, first int, last int")
     if some:
         strings = cut_out(base, shared.join(crowds, "trigger", "left_semi"), length).mapInArrow(
-            crowded_strings(length), "own int, a long, b long, doc long, sub int, first int, last int")
+            lean(crowded_strings(length)), "own int, a long, b long, doc long, sub int, first int, last int")
         # a hash has a row of each task at most; rows of own 1 are spread and stay
         nth = F.row_number().over(Window.partitionBy("own", "a", "b").orderBy("doc", "sub", "first"))
         found = found.unionAll(strings.withColumn("nth", nth).where("own = 1 or nth > 1").select("doc", "sub", "first", "last"))
@@ -381,5 +381,5 @@ def remove_repeats(docs: DataFrame, length: int = 100, carry: tuple[str, ...] =
                  *[pa.array([m[0] for m in made], pa.binary())] * remains],
                 [*fields, "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * remains])
 
-    return joined.mapInArrow(run, schema + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    return joined.mapInArrow(lean(run), schema + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string"
                              + ", kept binary" * remains)

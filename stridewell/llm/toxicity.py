@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PARTS, materialize, mean_of_tasks, packed_parts, small_batches
+from .common import PARTS, lean, materialize, mean_of_tasks, packed_parts, small_batches
 
 TABLE, DIM, WIDTHS, FILTERS = 1 << 16, 8, (1, 2, 3), 8
 PREFIXES = (3, 4, 5, 6, 7)
@@ -360,7 +360,7 @@ def train_on_all(model: Model, seen: dict, rows: DataFrame) -> Model:
         if n:
             yield packed_parts(m.parameters(), task, n)
 
-    got = mean_of_tasks(rows.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, PARTS), model.parameters())
+    got = mean_of_tasks(rows.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(lean(run), PARTS), model.parameters())
     return model if got is None else model.with_parameters(got)
 
 
@@ -374,7 +374,7 @@ def logits_of(docs: DataFrame, model: Model) -> DataFrame:
             z, language = scorer.score(batch["text"].to_pylist())
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(z.astype(np.float64)), pa.array(language.astype(np.int32))], ["doc_id", "z", "language"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, z double, language int")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, z double, language int")
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = 4_000, most_chars: int = 12_000_000, small: int = 2_000_000) -> Model | None:
@@ -429,7 +429,7 @@ def score(docs: DataFrame, model: Model | None, *keep: str) -> DataFrame:
                 [*[batch[f.name] for f in fields], pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))],
                 [*[f.name for f in fields], "score", "predicted"])
 
-    return docs.select(*keep, *["text"] * ("text" not in keep)).mapInArrow(run, schema)
+    return docs.select(*keep, *["text"] * ("text" not in keep)).mapInArrow(lean(run), schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, most: int = 4_000) -> DataFrame:
