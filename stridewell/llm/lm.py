@@ -6,10 +6,10 @@ exactly one of them.  The next subword is predicted as a class and then as a
 member of the class; classes, and the members beyond the model's own
 vocabulary, come from the subword counts of all training documents.
 
-Training begins in the driver on windows of a bounded sample and goes on in Spark:
-in each round every task takes gradient steps on a share of all its text, texts of
-every length in proportion, and the tasks' parameters are averaged, weighted by
-steps.  So what the model learns from grows with the corpus.
+Training begins in the driver on windows of a bounded sample and goes on in Spark
+over all training texts, whole: in each of some rounds every task takes gradient steps
+on its part of a round's texts, and the tasks' parameters are averaged, weighted by
+windows.
 
 A word's probability is interpolated from the product of its subwords' and its
 share among all training words.  Those counts too are taken over all training
@@ -39,7 +39,7 @@ END = b"\n"  # no word holds it: stands for the end of a text
 WINDOW, STRIDE = 32, 24
 OWN, CLASSES, DIM, HIDDEN = 4096, 48, 16, 48
 COMMON = 1 << 19  # words whose counts every task gets
-ROUNDS, SHARE, SLICE = 2, 64, 600  # rounds of training in Spark, each on one of so many characters of all texts, in slices of so many or more
+ROUNDS, SHARE, SLICE = 2, 1, 600  # rounds of training in Spark, each on a part of the texts; of these one of so many characters, in slices of so many or more
 MIX = 0.2  # of the words' own counts in the interpolation
 SEEN = 300_000  # different words that a task counts before it passes them on
 PART = 64  # longer words are cut so for the vocabulary
@@ -337,6 +337,11 @@ def slices(train_docs: DataFrame, share: int, seed: int) -> DataFrame:
             .select(F.substr("text", at + 1, wide).alias("text")))
 
 
+def round_of(train_docs: DataFrame, k: int) -> DataFrame:
+    """The texts of round ``k``: each text is in one of ROUNDS."""
+    return train_docs.where(F.pmod(F.xxhash64(F.lit("round"), "doc_id", "text"), F.lit(ROUNDS)) == k)
+
+
 def train_on_all(model: Model, train_docs: DataFrame, ranks, share: int, seed: int, rate: float, batch: int = 256) -> Model:
     """One round: each task's own steps on one of ``share`` characters, all windows of
     it, then the average, weighted by windows.  The model stays only where the slices
@@ -466,7 +471,7 @@ def fit(docs: DataFrame, modulus: int = 7, held: int = 2, tokenizer: str = TOKEN
     if len(ids):
         train(model, ids, ends)
         for k in range(ROUNDS):
-            model = train_on_all(model, train_docs, ranks, share, k, 0.002 / (k + 1))
+            model = train_on_all(model, round_of(train_docs, k), ranks, share, k, 0.002 / (k + 1))
     return Fitted(model, words, (common["hash"].to_numpy(), common["n"].to_numpy()), total, distinct, ranks)
 
 
@@ -477,7 +482,7 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2, **options) -> DataFr
     Learns from the rows whose crc32(doc_id as text) mod ``modulus`` is not
     ``held``: word and subword counts from all of them, attention weights from
     ``sample_docs`` of them (``sample_chars`` of each at most) and then, in ROUNDS
-    rounds, from one of ``share`` characters of all.  Null and empty texts hold only the end.  Words are
+    rounds, from all of them (or one of ``share`` characters of each).  Null and empty texts hold only the end.  Words are
     known by a 64-bit hash.  Repeated rows count and are scored each; a null id
     counts as remainder 0.  Without training rows the model is untrained and
     all counts are 0.  Extra columns are ignored.  ``tokenizer``: file of the

@@ -228,6 +228,13 @@ def test_lm_training_in_tasks_helps(spark):
     assert with_ > without
 
 
+def test_lm_trains_on_every_text_whole(spark):
+    texts = [None, "", "one", "two words", *("w" * n for n in (599, 600, 601, 70_000)), *(f"text {i} " * i for i in range(300))]
+    docs = frame(spark, [(i, t, None) for i, t in enumerate(texts)])
+    got = [r.text for k in range(lm.ROUNDS) for r in lm.slices(lm.round_of(docs, k), lm.SHARE, k).collect()]
+    assert sorted(got) == sorted(t for t in texts if t)
+
+
 def test_lm_every_task_trains_whatever_its_share(spark):
     """In one task or many, with less than a batch of windows each, the round moves the
     model, and held-out scores agree."""
