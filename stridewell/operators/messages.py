@@ -18,7 +18,7 @@ def found_keys(messages: DataFrame, column: str, most: int = 5000) -> T.StructTy
     kind = messages.schema[column].dataType.valueType
     v = F.col("value")
     fits = {"bigint": v.try_cast("bigint").isNotNull() & ~v.cast("string").contains("."), "double": v.try_cast("double").isNotNull(),
-            "boolean": F.lower(v.cast("string")).isin("true", "false")}
+            "boolean": F.lower(v.cast("string")).isin("true", "false")} if isinstance(kind, T.StringType) else {}
     each = messages.select(F.explode(column).alias("key", "value")).groupBy("key").agg(
         F.count("value").alias("n"), *[F.bool_and(F.when(v.isNotNull(), test)).alias(t) for t, test in fits.items()])
     rows = each.orderBy("key").limit(most + 1).collect()

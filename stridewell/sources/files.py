@@ -15,6 +15,12 @@ def store(path: str) -> tuple[arrow_fs.FileSystem, str]:
     return arrow_fs.FileSystem.from_uri(path)
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder's URI, by the file system that Spark takes for it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 def listed(spark: SparkSession, folder: str, pattern: str = "*") -> list[tuple[str, int]]:
     """Path and size of the files of a folder, by Spark's own file systems; not those of
     its folders, but hidden ones too.  No such folder is an empty one."""

@@ -121,6 +121,51 @@ def test_fit_by_binary_rows(spark, folder):
     check(fit.decode(spark, folder), fit.decode(spark, folder, "record"))
 
 
+def test_messages_in_columns_are_those_one_by_one():
+    """All types, both orders, fields that repeat or are no numbers of their name, developer
+    fields, compressed headers, chained files; batches of many files keep their order."""
+    codes = [(b, c) for b, (c, _) in fit.TYPES.items()]
+    parts = [message(i % 16, 20, [(253, "I", 0x86, SECONDS + i), (3 if i % 3 else 7, codes[i % 16][1], codes[i % 16][0], 7 + i % 90), (200 + i % 5, "d", 0x89, i / 7),
+                                  (201, "f", 0x88, float("nan") if i % 2 else 2.5), (2, "H", 0x84, 0xFFFF - i % 2)], "<>"[i % 2]) for i in range(48)]
+    parts.append(bytes([0x69, 0, 0]) + struct.pack("<HB", 20, 1) + bytes([6, 2, 0x84, 1, 0, 3, 0, 9]) + struct.pack("<H", 4000) + b"abc" + bytes([9]) + struct.pack("<H", 1) + b"def")
+    parts += [message(1, 18, [(253, "I", 0x86, SECONDS), (5, "B", 0, k), (6, "H", 0x84, 7), (7, "I", 0x86, 0xFFFFFFFF), (7, "I", 0x86, 5)][:5 - k % 2]) for k in (1, 2, 77)]
+    files = {"whole.fit": fit_file(*parts), "two.fit": fit_file(*parts[:3]) + fit_file(*parts[16:20]), "packed.fit": WORKOUT, "none.fit": fit_file(), "last.fit": fit_file(parts[-2], parts[0])}
+    for n, part in enumerate(parts):
+        files[f"{n}.fit"] = fit_file(part)
+    for kind in ("session", "record"):
+        for others in (False, True):
+            want = [r for name, data in files.items() for r in fit.rows_of(name, data, kind, others)]
+            got = [tuple(r.values()) for b in fit.batches_of(((f"/x/{n}", lambda d=d: d) for n, d in files.items()), kind, others, False) for r in b.to_pylist()]
+            assert [(*r[:-1], dict(r[-1])) if others else r for r in got] == want
+    short = fit_file(parts[0][:-1])
+    with pytest.raises(ValueError, match="/y/b.fit: a message ends late"):
+        list(fit.batches_of([("/y/b.fit", lambda: short)], "record", False, False))
+    left = fit.batches_of([("a.fit", lambda: parts[0]), ("b.fit", lambda: short), ("c.fit", lambda: files["0.fit"])], "record", False, True)
+    assert [n for b in left for n in b["name"].to_pylist()] == ["c.fit"]
+
+
+def test_rows_in_columns_are_encoded_as_one_by_one(spark, tmp_path):
+    """A layout that comes again needs no second definition; more than 16 do; checksums are by words."""
+    names = ["timestamp", *sorted(set(fit.METRICS) - {"watts"})]
+    rows = [{m: None for m in fit.METRICS} | dict(
+        name=f"{i // 60}.fit", idx=i, timestamp=START + dt.timedelta(microseconds=1_500_000 * i), power=i + 0.5, speed=i / 7, heart_rate=i % 200 if i % 5 else None, temperature=-3.4,
+        present=[m for k, m in enumerate(names) if (i % 4 if i < 120 else i % 60) >> k % 6 & 1], others={f"field_{200 + i % 2}": i / 3} if i % 3 else None) for i in range(240)]
+    kinds = fit.schema_of("record", True)
+    df = spark.createDataFrame(rows, kinds)
+    fit.register(spark)
+    fit.write_fit(spark.createDataFrame([], fit.SESSIONS), df, str(tmp_path / "out"))
+    for k in range(4):
+        data = (tmp_path / "out" / f"{k}.fit").read_bytes()
+        mine = [fit.values_of(r) for r in rows[60 * k:60 * k + 60]]
+        alone = [fit.Encoder().message(20, m) for m in mine]
+        assert list(fit.messages(data, 20, True)) == [m for one in alone for m in fit.own_messages(fit_file(one), 20, True)]
+        assert len(data) == len(fit.encode(("record", m) for m in mine))
+        if k < 2:  # few layouts, each defined once
+            told = lambda several: sum(6 + 3 * len(m) for m in several)
+            assert len(data) == 16 + sum(map(len, alone)) - told(mine) + told({tuple(m) for m in mine})
+    assert fit.crc(b"12345678") == fit.crc(b"5678", fit.crc(b"1234")) == fit.crc(b"45678", fit.crc(b"123"))
+
+
 def test_json_sink_and_export(spark, tmp_path):
     df = spark.createDataFrame([Row(id=1, name="x", distance=None), Row(id=2, name=None, distance=2.5)], "id long, name string, distance double")
     sinks.write_json(df, str(tmp_path / "out"))
