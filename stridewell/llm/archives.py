@@ -164,14 +164,16 @@ def iso_date(date: str) -> str:
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
-def put(df: DataFrame, path: str, separator: str, packed: bool) -> None:
-    """Binary rows ``record`` as files, each row followed by the separator."""
+def put(df: DataFrame, path: str, separator: str, packed: bool, level: str = "DEFAULT_COMPRESSION") -> None:
+    """Binary rows ``record`` as files, each row followed by the separator; ``level`` is
+    Hadoop's name of the effort of gzip."""
     # a cast of bytes to a string keeps them as they are
-    df.select(F.col("record").cast("string").alias("value")).write.option("lineSep", separator).option("compression", "gzip" if packed else "none").text(path)
+    (df.select(F.col("record").cast("string").alias("value")).write.option("lineSep", separator).option("zlib.compress.level", level)
+     .option("compression", "gzip" if packed else "none").text(path))
 
 
 def write_arc(pages: DataFrame, path: str, version: int = 1, date: str = "20000101000000", packed: bool = True,
-              fields: tuple[str, ...] = ()) -> None:
+              fields: tuple[str, ...] = (), level: str = "DEFAULT_COMPRESSION") -> None:
     """``pages(url, html)`` as ARC archives of version 1 or 2 in a new folder, one per
     task: a version block, then a record per row that holds an HTTP response.  Columns
     named in ``fields`` become HTTP fields of their values, nulls none."""
@@ -200,7 +202,7 @@ def write_arc(pages: DataFrame, path: str, version: int = 1, date: str = "200001
 
     rows = pages.select(F.col("url").cast("string").alias("url"), F.col("html").cast("binary").alias("html"),
                         *[F.col(f).cast("string").alias(f) for f in fields])
-    put(rows.mapInArrow(run, "record binary"), path, "\n", packed)
+    put(rows.mapInArrow(run, "record binary"), path, "\n", packed, level)
 
 
 def each_file(spark: SparkSession, paths: list[str], run: Callable, schema: str) -> DataFrame:
@@ -346,8 +348,9 @@ def convert(pages: DataFrame, least: int = 0) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     second = F.pmod(F.xxhash64("page_id"), F.lit(2)) == 1
     old = [fresh_path(spark) for _ in range(2)]
-    write_arc(rows.where(~second), old[0], 1, fields=("page_id",))
-    write_arc(rows.where(second), old[1], 2, fields=("page_id",))
+    # these are read once and go: packing them tightly costs more than it saves
+    write_arc(rows.where(~second), old[0], 1, fields=("page_id",), level="BEST_SPEED")
+    write_arc(rows.where(second), old[1], 2, fields=("page_id",), level="BEST_SPEED")
     parsed = materialize(read_arc(spark, *old), "zstd")
     remove(spark, *old)
     path = fresh_path(spark)

@@ -75,3 +75,30 @@ def test_pages_through_both_formats(spark, least):
 
 def test_empty_table(spark):
     assert W.convert(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_archives_packed_fast_hold_the_same(spark, tmp_path, monkeypatch):
+    """The ARC archives that ``convert`` writes for one reading are packed with less effort."""
+    from pathlib import Path
+
+    from pyspark.sql import functions as F
+
+    html = " ".join(f"<p>word{i * i % 977} and {i % 13} others</p>" for i in range(4000))
+    pages = spark.range(6).select(F.col("id").alias("page_id"), F.concat(F.lit("http://x/"), "id").alias("url"), F.concat(F.lit(html), "id").alias("html")).coalesce(1)
+    sizes = {}
+    for level in ("DEFAULT_COMPRESSION", "BEST_SPEED"):
+        W.write_arc(pages, str(tmp_path / level), 1, level=level)
+        sizes[level] = sum(f.stat().st_size for f in (tmp_path / level).glob("part-*"))
+    assert sizes["BEST_SPEED"] > sizes["DEFAULT_COMPRESSION"]
+    both = [sorted(map(tuple, W.read_arc(spark, str(tmp_path / level)).collect())) for level in sizes]
+    assert both[0] == both[1] and len(both[0]) == 6
+    seen = []
+
+    def sized(_, *paths):
+        seen.extend(sum(f.stat().st_size for f in Path(p.removeprefix("file:")).glob("part-*")) for p in paths)
+
+    monkeypatch.setattr(W, "remove", sized)
+    assert W.convert(pages).count() == 6
+    for k in range(2):
+        W.write_arc(pages.where(f"pmod(xxhash64(page_id), 2) = {k}"), str(tmp_path / f"h{k}"), 1 + k, fields=("page_id",))
+    assert sum(seen) > sum(f.stat().st_size for k in range(2) for f in (tmp_path / f"h{k}").glob("part-*")) > 0
