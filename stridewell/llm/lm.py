@@ -203,7 +203,9 @@ class Model:
     def heads(self, h: np.ndarray, target: np.ndarray, ids: np.ndarray, grads: dict | None = None) -> np.ndarray:
         """Log-probability (natural) of each target row given hidden values [m, HIDDEN]."""
         p, cls = self.p, self.cls[target]
+        # in the order of classes, so that each class is a slice
         order = np.argsort(cls.astype(np.uint8), kind="stable")
+        h, target, cls = h[order], target[order], cls[order]
         z = h @ p["wc"]
         z += p["bc"]
         each = np.arange(len(h))
@@ -211,39 +213,42 @@ class Model:
         own = z[each, cls]
         e = np.exp(z, out=z)
         total = e @ np.ones(e.shape[1], e.dtype)
-        out = (own - np.log(total)).astype(np.float64)
+        logs = (own - np.log(total)).astype(np.float64)
         if grads is not None:
-            d = e / total[:, None]
+            d = np.divide(e, total[:, None], out=e)
             d[each, cls] -= 1
             grads["wc"], grads["bc"], dh = h.T @ d, d.sum(axis=0), d @ p["wc"].T
             grads["wd"], grads["bd"] = np.zeros_like(p["wd"]), np.zeros_like(p["bd"])
         edges = np.concatenate([[0], np.cumsum(np.bincount(cls, minlength=len(self.bounds)))])
         for c in range(len(self.bounds)):
-            at = order[edges[c]:edges[c + 1]]
-            if not len(at):
+            at = slice(edges[c], edges[c + 1])
+            if at.start == at.stop:
                 continue
             if c == len(self.bounds) - 1:
-                out[at] += self.rare[ids[at]]
+                logs[at] += self.rare[ids[order[at]]]
                 continue
             lo, hi = self.bounds[c], self.bounds[c + 1]
             if hi - lo == 1:
                 continue
-            mine = h[at]
-            z = mine @ p["wd"][lo:hi].T
+            mine, wd = h[at], p["wd"][lo:hi]
+            z = mine @ wd.T
             z += p["bd"][lo:hi]
             own = (each[:len(z)], target[at] - lo)
             np.minimum(z, 60, out=z)
             is_ = z[own]
             e = np.exp(z, out=z)
             total = e @ np.ones(hi - lo, e.dtype)
-            out[at] += is_ - np.log(total)
+            logs[at] += is_ - np.log(total)
             if grads is not None:
-                d = e / total[:, None]
+                d = np.divide(e, total[:, None], out=e)
                 d[own] -= 1
-                grads["wd"][lo:hi], grads["bd"][lo:hi] = d.T @ mine, d.sum(axis=0)
-                dh[at] += d @ p["wd"][lo:hi]
+                grads["wd"][lo:hi], grads["bd"][lo:hi] = d.T @ mine, np.ones(len(d), d.dtype) @ d
+                dh[at] += d @ wd
+        out = np.empty_like(logs)
+        out[order] = logs
         if grads is not None:
-            grads["h"] = dh
+            grads["h"] = np.empty_like(dh)
+            grads["h"][order] = dh
         return out
 
     def inputs(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -284,7 +289,8 @@ class Model:
         s = f["e"] / f["total"]
         dv = np.matmul(s.transpose(0, 2, 1), da)
         ds = np.matmul(da, f["v"].transpose(0, 2, 1))
-        ds = s * (ds - (ds * s).sum(axis=2, keepdims=True))
+        ds -= np.einsum("nij,nij->ni", ds, s)[..., None]
+        ds *= s
         g["far"] = np.bincount(self.back.ravel(), ds.sum(axis=0).ravel(), WINDOW).astype(np.float32)
         # q already holds the scale
         dq, dk = np.matmul(ds, f["k"]) * np.float32(DIM ** -0.5), np.matmul(ds.transpose(0, 2, 1), f["q"])
@@ -292,8 +298,8 @@ class Model:
         for name, d in (("q", dq), ("k", dk), ("v", dv)):
             g[name] = flat.T @ d.reshape(-1, DIM)
             dx += d @ p[name].T
-        g["emb"] = np.zeros_like(p["emb"])
-        np.add.at(g["emb"], f["rows"].ravel(), dx.reshape(-1, DIM))
+        rows, each = f["rows"].ravel(), dx.reshape(-1, DIM).T
+        g["emb"] = np.stack([np.bincount(rows, d, len(p["emb"])) for d in each], axis=1).astype(np.float32)
         return float(loss.mean()), {k: v / len(loss) for k, v in g.items()}
 
 
