@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PARTS, averaged, materialize, mean_of_tasks, packed_parts, small_batches  # noqa: F401
+from .common import PARTS, averaged, keep_memory, materialize, mean_of_tasks, packed_parts, small_batches  # noqa: F401
 
 #: Fixed value: the public split pattern of this byte-level vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -37,7 +37,7 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 END_ID, IDS = 50_256, 50_257
 END = b"\n"  # no word holds it: stands for the end of a text
 WINDOW, STRIDE = 32, 24
-OWN, CLASSES, DIM, HIDDEN = 4096, 48, 16, 48
+OWN, DIM, HIDDEN = 4096, 16, 48
 COMMON = 1 << 19  # words whose counts every task gets
 ROUNDS, SHARE, SLICE = 2, 1, 600  # rounds of training in Spark, each on a part of the texts; of these one of so many characters, in slices of so many or more
 MIX = 0.2  # of the words' own counts in the interpolation
@@ -127,6 +127,32 @@ def vocabulary(ranks: bytes) -> Vocabulary:
     return WORKER[key]
 
 
+def classes(share: np.ndarray, each: float = 1.0) -> np.ndarray:
+    """Where classes start among ids in falling order of their shares: slices for which
+    the numbers computed per prediction, one per class (counted ``each``) and one per
+    member of the target's class, are fewest on the mean."""
+    n, mass = len(share), np.concatenate([[0.0], np.cumsum(share)])
+    best, last = np.zeros(n + 1), np.zeros(n + 1, int)
+    for j in range(1, n + 1):
+        cost = best[:j] + (mass[j] - mass[:j]) * np.arange(j, 0, -1)
+        cost[-1] = best[j - 1]  # the only member is certain
+        last[j] = cost.argmin()
+        best[j] = cost[last[j]] + each
+    starts, j = [], n
+    while j:
+        j = last[j]
+        starts.append(j)
+    return np.array(starts[::-1])
+
+
+def powers(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp of ``z``, in its place, and the sums over the last axis; values above 60 count as 60."""
+    if z.size and z.max() > 60:
+        np.minimum(z, 60, out=z)
+    e = np.exp(z, out=z)
+    return e, e @ np.ones((z.shape[-1], 1), z.dtype)
+
+
 class Model:
     """Parameters; ids in the order of classes.  ``place``: id -> row, OWN rows
     at most, else the row of the rare class; ``rare``: log-probabilities of ids
@@ -135,12 +161,10 @@ class Model:
     def __init__(self, counts: np.ndarray, seed: int = 3):
         order = np.argsort(-counts, kind="stable")
         own = order[:max(1, min(OWN, int((counts > 0).sum())))]
-        mass = np.cumsum(counts[own] + 1.0)
-        cls = np.minimum((mass - 1e-9) * CLASSES // (mass[-1] + 1e-9), CLASSES - 1).astype(int)
         self.n = len(own)
         self.place = np.full(IDS, self.n, np.int32)
         self.place[own] = np.arange(self.n)
-        starts = np.flatnonzero(np.concatenate([[True], np.diff(cls) > 0]))
+        starts = classes((counts[own] + 1.0) / (counts[own] + 1.0).sum())
         self.bounds = np.concatenate([starts, [self.n]])  # classes as slices of rows; the rare class stands last
         self.cls = np.concatenate([np.repeat(np.arange(len(starts)), np.diff(self.bounds)), [len(starts)]]).astype(np.int32)
         rest = np.where(self.place == self.n, counts + 1.0, 0.0)
@@ -178,46 +202,56 @@ class Model:
     def tables(self) -> tuple[np.ndarray, np.ndarray]:
         """Of every input row: query, key and value; its part of the hidden layer."""
         p = self.p
-        joint = np.concatenate([p["q"] * np.float32(DIM ** -0.5), p["k"], p["v"]], axis=1)
-        return p["emb"] @ joint, p["emb"] @ p["w1"][:DIM] + p["b1"]
+        return p["emb"] @ self.joint(), p["emb"] @ p["w1"][:DIM] + p["b1"]
+
+    def joint(self) -> np.ndarray:
+        p = self.p
+        return np.concatenate([p["q"] * np.float32(DIM ** -0.5), p["k"], p["v"]], axis=1)
 
     def hidden(self, rows: np.ndarray, table: np.ndarray, lead: int = 0) -> dict:
         """Masked attention over a batch of windows of input rows [n, WINDOW]; the
         first ``lead`` positions are seen but ask nothing."""
-        p, y = self.p, table[rows]
-        q, k, v = y[:, lead:, :DIM], y[..., DIM:2 * DIM], np.empty((*rows.shape, DIM + 1), np.float32)
-        v[..., :DIM], v[..., DIM] = y[..., 2 * DIM:], 1  # the last column sums the weights
+        y = table.take(rows, axis=0)
+        q, k, v = y[:, lead:, :DIM], y[..., DIM:2 * DIM], y[..., 2 * DIM:]
         e = np.matmul(q, k.transpose(0, 2, 1))
-        e += (p["far"][self.back] + self.causal)[lead:]
-        np.exp(np.minimum(e, 60, out=e), out=e)
+        e += (self.p["far"][self.back] + self.causal)[lead:]
+        e, total = powers(e)
         a = np.matmul(e, v)
-        total = a[..., DIM:]
-        return {"rows": rows[:, lead:], "q": q, "k": k, "v": v[..., :DIM], "e": e, "total": total, "a": a[..., :DIM] / total}
-
-    def inner(self, f: dict, mask: np.ndarray, table: np.ndarray) -> np.ndarray:
-        """Values of the hidden layer at the masked positions, before the ramp."""
-        out = f["a"][mask] @ self.p["w1"][DIM:]
-        out += table[f["rows"][mask]]
-        return out
+        a /= total
+        return {"q": q, "k": k, "v": v, "e": e, "total": total, "a": a}
+
+    def pieces(self, rows: np.ndarray, mask: np.ndarray, table: np.ndarray, batch: int = 64) -> tuple[list, np.ndarray, np.ndarray]:
+        """Attention, a few windows at a time so that a processor's cache holds them, of
+        those that score all their positions and of those that score the last STRIDE:
+        windows, lead, values and the places of masked positions of each piece; the input
+        rows at these places, and their order among all masked positions."""
+        nth, out, own, order, whole = np.cumsum(mask).reshape(mask.shape) - 1, [], [], [], mask[:, :WINDOW - STRIDE].any(axis=1)
+        for lead, some in ((0, np.flatnonzero(whole)), (WINDOW - STRIDE, np.flatnonzero(~whole))):
+            for b in range(0, len(some), batch):
+                which = some[b:b + batch]
+                at = np.flatnonzero(mask[which, lead:])
+                out.append((which, lead, self.hidden(rows[which], table, lead), at))
+                own.append(rows[which, lead:].ravel()[at])
+                order.append(nth[which, lead:].ravel()[at])
+        return out, np.concatenate(own), np.concatenate(order)
 
     def heads(self, h: np.ndarray, target: np.ndarray, ids: np.ndarray, grads: dict | None = None) -> np.ndarray:
-        """Log-probability (natural) of each target row given hidden values [m, HIDDEN]."""
+        """Log-probability (natural) of each target row given hidden values [m, HIDDEN];
+        gradients are those of the mean of its negative."""
         p, cls = self.p, self.cls[target]
         # in the order of classes, so that each class is a slice
         order = np.argsort(cls.astype(np.uint8), kind="stable")
-        h, target, cls = h[order], target[order], cls[order]
+        h, target, cls = h.take(order, axis=0), target[order], cls[order]
         z = h @ p["wc"]
         z += p["bc"]
-        each = np.arange(len(h))
-        np.minimum(z, 60, out=z)
-        own = z[each, cls]
-        e = np.exp(z, out=z)
-        total = e @ np.ones(e.shape[1], e.dtype)
-        logs = (own - np.log(total)).astype(np.float64)
+        each, one = np.arange(len(h)), h.dtype.type(1 / len(h))
+        logs = z[each, cls]
+        e, total = powers(z)
+        logs = np.minimum(logs, 60) - np.log(total[:, 0])
         if grads is not None:
-            d = np.divide(e, total[:, None], out=e)
-            d[each, cls] -= 1
-            grads["wc"], grads["bc"], dh = h.T @ d, d.sum(axis=0), d @ p["wc"].T
+            e *= one / total
+            e[each, cls] -= one
+            grads["wc"], grads["bc"], dh = h.T @ e, np.ones(len(e), e.dtype) @ e, e @ p["wc"].T
             grads["wd"], grads["bd"] = np.zeros_like(p["wd"]), np.zeros_like(p["bd"])
         edges = np.concatenate([[0], np.cumsum(np.bincount(cls, minlength=len(self.bounds)))])
         for c in range(len(self.bounds)):
@@ -234,16 +268,14 @@ class Model:
             z = mine @ wd.T
             z += p["bd"][lo:hi]
             own = (each[:len(z)], target[at] - lo)
-            np.minimum(z, 60, out=z)
-            is_ = z[own]
-            e = np.exp(z, out=z)
-            total = e @ np.ones(hi - lo, e.dtype)
-            logs[at] += is_ - np.log(total)
+            is_ = np.minimum(z[own], 60)
+            e, total = powers(z)
+            logs[at] += is_ - np.log(total[:, 0])
             if grads is not None:
-                d = np.divide(e, total[:, None], out=e)
-                d[own] -= 1
-                grads["wd"][lo:hi], grads["bd"][lo:hi] = d.T @ mine, np.ones(len(d), d.dtype) @ d
-                dh[at] += d @ wd
+                e *= one / total
+                e[own] -= one
+                grads["wd"][lo:hi], grads["bd"][lo:hi] = e.T @ mine, np.ones(len(e), e.dtype) @ e
+                dh[at] += e @ wd
         out = np.empty_like(logs)
         out[order] = logs
         if grads is not None:
@@ -258,49 +290,61 @@ class Model:
         before[ends[:-1]] = self.n + 1
         return before, target
 
-    def log10(self, ids: np.ndarray, ends: np.ndarray, batch: int = 1024) -> np.ndarray:
+    def log10(self, ids: np.ndarray, ends: np.ndarray, batch: int = 512) -> np.ndarray:
         """log10 probability of each id, texts ending at ``ends``; every text has one at least."""
         before, target = self.inputs(ids, ends)
         out, (at, scored), (keys, first) = np.zeros(len(ids)), self.windows(ids, ends), self.tables()
-        begins, before = scored[:, 0], np.append(before, np.zeros(WINDOW, before.dtype))
-        for lead, some in ((0, begins), (WINDOW - STRIDE, ~begins)):
-            places, masks = at[some], scored[some, lead:]
-            for b in range(0, len(places), batch):
-                where, mask = places[b:b + batch], masks[b:b + batch]
-                f = self.hidden(before[where], keys, lead)
-                own = where[:, lead:][mask]
-                h = self.inner(f, mask, first)
-                np.maximum(h, 0, out=h)
-                out[own] = self.heads(h, target[own], ids[own])
+        before = np.append(before, np.zeros(WINDOW, before.dtype))
+        for b in range(0, len(at), batch):
+            where, mask = at[b:b + batch], scored[b:b + batch]
+            parts, rows, order = self.pieces(before[where], mask, keys)
+            own = where[mask][order]
+            h = np.concatenate([f["a"].reshape(-1, DIM).take(i, axis=0) for *_, f, i in parts]) @ self.p["w1"][DIM:]
+            h += first.take(rows, axis=0)
+            np.maximum(h, 0, out=h)
+            out[own] = self.heads(h, target[own], ids[own])
         return out / LN10
 
     def step(self, rows: np.ndarray, mask: np.ndarray, target: np.ndarray, ids: np.ndarray) -> tuple[float, dict]:
         """Mean loss and gradients of a batch of windows."""
-        keys, first = self.tables()
-        p, f, g = self.p, self.hidden(rows, keys), {}
-        x, pre = p["emb"][rows], self.inner(f, mask, first)
-        h = np.maximum(pre, 0)
-        loss = -self.heads(h, target, ids, g)
-        dz = g.pop("h") * (pre > 0)
-        g["w1"] = np.concatenate([x[mask].T @ dz, f["a"][mask].T @ dz])
-        g["b1"] = dz.sum(axis=0)
-        dx, da = np.zeros_like(x), np.zeros_like(x)
-        dx[mask], da[mask] = dz @ p["w1"][:DIM].T, dz @ p["w1"][DIM:].T
-        s = f["e"] / f["total"]
-        dv = np.matmul(s.transpose(0, 2, 1), da)
-        ds = np.matmul(da, f["v"].transpose(0, 2, 1))
-        ds -= np.einsum("nij,nij->ni", ds, s)[..., None]
-        ds *= s
-        g["far"] = np.bincount(self.back.ravel(), ds.sum(axis=0).ravel(), WINDOW).astype(np.float32)
-        # q already holds the scale
-        dq, dk = np.matmul(ds, f["k"]) * np.float32(DIM ** -0.5), np.matmul(ds.transpose(0, 2, 1), f["q"])
-        flat = x.reshape(-1, DIM)
-        for name, d in (("q", dq), ("k", dk), ("v", dv)):
-            g[name] = flat.T @ d.reshape(-1, DIM)
-            dx += d @ p[name].T
-        rows, each = f["rows"].ravel(), dx.reshape(-1, DIM).T
-        g["emb"] = np.stack([np.bincount(rows, d, len(p["emb"])) for d in each], axis=1).astype(np.float32)
-        return float(loss.mean()), {k: v / len(loss) for k, v in g.items()}
+        p, g, joint = self.p, {}, self.joint()
+        keys = p["emb"] @ joint
+        parts, own, order = self.pieces(rows, mask, keys)
+        # what the hidden layer reads: the row itself, what it attends to
+        x = np.concatenate([p["emb"].take(own, axis=0), np.concatenate([f["a"].reshape(-1, DIM).take(i, axis=0) for *_, f, i in parts])], axis=1)
+        h = x @ p["w1"]
+        h += p["b1"]
+        np.maximum(h, 0, out=h)
+        loss = -self.heads(h, target[order], ids[order], g)
+        dz = g.pop("h")
+        dz *= h > 0
+        g["w1"], g["b1"] = x.T @ dz, np.ones(len(dz), dz.dtype) @ dz
+        dx = dz @ p["w1"].T
+        far, dj, begin = np.zeros((WINDOW, WINDOW)), np.zeros_like(joint), 0
+        seen, slopes = [own], [dx[:, :DIM]]
+        for which, lead, f, i in parts:
+            da = np.zeros_like(f["a"])
+            da.reshape(-1, DIM)[i] = dx[begin:begin + len(i), DIM:]
+            begin += len(i)
+            s, dy = np.divide(f["e"], f["total"], out=f["e"]), np.zeros((len(which), WINDOW, 3 * DIM), keys.dtype)
+            ds = np.matmul(da, f["v"].transpose(0, 2, 1))
+            ds -= (da * f["a"]) @ np.ones((DIM, 1), da.dtype)
+            ds *= s
+            far[lead:] += ds.sum(axis=0)
+            dy[:, lead:, :DIM] = np.matmul(ds, f["k"])
+            dy[..., DIM:2 * DIM], dy[..., 2 * DIM:] = np.matmul(ds.transpose(0, 2, 1), f["q"]), np.matmul(s.transpose(0, 2, 1), da)
+            dy, all_ = dy.reshape(-1, 3 * DIM), rows[which].ravel()
+            dj += p["emb"].take(all_, axis=0).T @ dy
+            seen.append(all_)
+            slopes.append(dy @ joint.T)
+        g["q"], g["k"], g["v"] = dj[:, :DIM] * np.float32(DIM ** -0.5), dj[:, DIM:2 * DIM], dj[:, 2 * DIM:]
+        g["far"] = np.bincount(self.back.ravel(), far.ravel(), WINDOW).astype(np.float32)
+        rows, slopes, g["emb"] = np.concatenate(seen), np.concatenate(slopes), np.zeros_like(p["emb"])
+        order = rows.astype(np.uint16).argsort(kind="stable")
+        rows = rows[order]
+        starts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+        g["emb"][rows[starts]] = np.add.reduceat(slopes.take(order, axis=0), starts)
+        return float(loss.mean()), g
 
 
 class Adam:
@@ -314,9 +358,19 @@ class Adam:
         _, g = self.model.step(rows, mask, target, ids)
         self.t += 1
         for k, x in self.model.p.items():
-            self.m[k] += 0.1 * (g[k] - self.m[k])
-            self.v[k] += 0.01 * (g[k] ** 2 - self.v[k])
-            x -= rate * (self.m[k] / (1 - 0.9 ** self.t)) / (np.sqrt(self.v[k] / (1 - 0.99 ** self.t)) + 1e-6)
+            d, m, v = g[k], self.m[k], self.v[k]
+            m *= 0.9
+            m += 0.1 * d
+            v *= 0.99
+            d *= d
+            d *= 0.01
+            v += d
+            np.sqrt(v, out=d)
+            d *= (1 - 0.99 ** self.t) ** -0.5
+            d += 1e-6
+            np.divide(m, d, out=d)
+            d *= rate / (1 - 0.9 ** self.t)
+            x -= d
 
 
 def train(model: Model, ids: np.ndarray, ends: np.ndarray, steps: int = 2000, batch: int = 64, rate: float = 0.01, seed: int = 3) -> Model:
@@ -358,6 +412,7 @@ def train_on_all(model: Model, train_docs: DataFrame, ranks, share: int, seed: i
     def run(batches):
         from pyspark import TaskContext
 
+        keep_memory()
         task, v = TaskContext.get().partitionId(), vocabulary(ranks.value)
         m, held, n_held, n_all = shared.value.copy(), [], 0, 0
         adam = Adam(m)
@@ -505,6 +560,7 @@ def score_with(fitted: Fitted, docs: DataFrame, modulus: int = 7, held: int = 2)
     width = np.log10(total + distinct + 1.0)
 
     def run(batches):
+        keep_memory()
         m, known, n_of = shared.value
         v = vocabulary(ranks.value)
         cost = np.zeros(0)  # log10 of a common word's share; nan for others
