@@ -3,7 +3,7 @@ import json
 import struct
 
 import pytest
-from pyspark.sql import Row
+from pyspark.sql import DataFrameWriter, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -235,3 +235,17 @@ def test_shared_folder(spark):
         sparkContext = type("S", (), {"master": "local-cluster[3,2,1024]"})
     with pytest.raises(RuntimeError):
         scratch.shared_dir(Cluster)
+
+
+def test_fit_writes_only_columns_that_are_there(spark, tmp_path, monkeypatch):
+    """What no table has costs no column, and is still written as missing where ``present`` names it."""
+    seen, save = [], DataFrameWriter.save
+    monkeypatch.setattr(DataFrameWriter, "save", lambda self, *a, **k: (seen.append(self._df.columns), save(self, *a, **k))[1])
+    records = spark.createDataFrame([("a.fit", 0, 2.5, ["speed", "power", "timestamp"])], "name string, idx int, speed double, present array<string>")
+    sessions = spark.createDataFrame([("a.fit", 0, 7.0, ["sport", "total_distance"])], "name string, seq int, total_distance double, present array<string>")
+    fit.register(spark)
+    fit.write_fit(sessions, records, str(tmp_path / "out"))
+    assert sorted(seen[0]) == sorted(["name", "message", "present", "others", "speed", "total_distance"])
+    r, s = (fit.read_fit(spark, str(tmp_path / "out"), kind).first() for kind in ("record", "session"))
+    assert (r.speed, r.power, r.timestamp, r.present) == (2.5, None, None, ["power", "speed", "timestamp"])
+    assert (s.sport, s.total_distance, s.present) == (None, 7.0, ["sport", "total_distance"])
