@@ -85,6 +85,14 @@ def mean_of_tasks(parts: DataFrame, like: list[np.ndarray]) -> list[np.ndarray]
     return out
 
 
+def give_back() -> None:
+    """The memory that a worker no longer uses goes to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        getattr(ctypes.CDLL(None), "malloc_trim", lambda *_: 0)(0)
+
+
 def lean(run):
     """``run`` over batches; the memory that a worker no longer uses goes back when it ends,
     as the worker lives on for other tasks."""
@@ -92,10 +100,17 @@ def lean(run):
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            if sys.platform == "linux":
-                ctypes.CDLL(None).malloc_trim(0)
+            give_back()
+    return wrapped
+
+
+def lean_group(run):
+    """``run`` over a group's table, and memory goes back after each group."""
+    def wrapped(group):
+        try:
+            return run(group)
+        finally:
+            give_back()
     return wrapped
 
 

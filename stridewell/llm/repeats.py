@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lean, materialize, small_batches
+from .common import lean, lean_group, materialize, small_batches
 
 TRIGGER = 32
 BASE = 0x9E3779B97F4A7C15
@@ -43,6 +43,7 @@ SLICE = 1 << 20  # bytes hashed at a time
 HELD = 250_000  # phrases a task settles at a time
 LANE = 4096  # phrases of a trigger that are sorted together; more are compared string by string
 STRINGS = 300_000  # strings of crowded triggers a task settles at a time
+SORTED = 1000  # phrases of uncrowded triggers whose strings are sorted at a time, more if a trigger has more
 
 
 def rolling(buf: np.ndarray, width: int, base: int = BASE, values: np.ndarray = BYTES) -> np.ndarray:
@@ -205,17 +206,17 @@ def sort_suffixes(length: int):
         data = np.frombuffer(pieces.buffers()[2], np.uint8)
         order = np.argsort(trigger, kind="stable")
         edges = np.flatnonzero(np.concatenate([[True], trigger[order][1:] != trigger[order][:-1], [True]]))
+        every = np.lib.stride_tricks.sliding_window_view(data, length)  # of all places, without a copy
         found, k = [], 0
         while k < len(edges) - 1:  # some triggers at a time
-            stop = max(k + 1, int(np.searchsorted(edges, edges[k] + 4000, side="right")) - 1)
+            stop = max(k + 1, int(np.searchsorted(edges, edges[k] + SORTED, side="right")) - 1)
             rows, k = order[edges[k]:edges[stop]], stop
             n = back[rows] - fore[rows] + 1
             of = np.repeat(rows, n)
             nth = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
             far = back[of] - nth  # from the string's start to its trigger
-            strings = data[(offsets[of] + nth)[:, None] + np.arange(length)]
             # equal strings have equal triggers, and those at the same place
-            suffix = np.ascontiguousarray(strings).view(f"V{length}").ravel()
+            suffix = np.ascontiguousarray(every[offsets[of] + nth]).view(f"V{length}").ravel()
             rank = np.unique(suffix, return_inverse=True)[1]
             by = np.lexsort((at[of], sub[of], doc[of], far, trigger[of], rank))
             same = np.concatenate([[False], (rank[by][1:] == rank[by][:-1]) & (far[by][1:] == far[by][:-1]) & (trigger[of][by][1:] == trigger[of][by][:-1])])[:len(by)]
@@ -312,7 +313,7 @@ def repeated_runs(base: DataFrame, length: int) -> DataFrame:
     few = shared.join(crowds, "trigger", "left_anti") if some else shared
     groups = max(64, -(-shared.count() // 8_000))
     pieces = cut_out(base, few, length).withColumn("bin", F.pmod(F.xxhash64("trigger"), F.lit(groups)).cast("int"))
-    found = pieces.groupBy("bin").applyInArrow(sort_suffixes(length), "doc long, sub int, first int, last int")
+    found = pieces.groupBy("bin").applyInArrow(lean_group(sort_suffixes(length)), "doc long, sub int, first int, last int")
     if some:
         strings = cut_out(base, shared.join(crowds, "trigger", "left_semi"), length).mapInArrow(
             lean(crowded_strings(length)), "own int, a long, b long, doc long, sub int, first int, last int")

@@ -5,12 +5,14 @@ import itertools
 import math
 import random
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from stridewell.llm import catalog, htmltext, licenses, lm, mixing, packing, repeats, toxicity
@@ -512,6 +514,21 @@ def test_repeats_put_no_crowded_trigger_into_one_group(spark, monkeypatch):
     assert got == brute_repeats(rows) and sum(r[2] for r in got) > 10_000
 
 
+def test_suffixes_of_a_group_are_sorted_in_bounded_memory():
+    r, length, n = np.random.default_rng(8), 100, 6_000
+    pieces = [r.bytes(168) for _ in range(n // 2)] * 2  # each twice, two to a trigger
+    group = pa.table({"trigger": np.arange(n) % (n // 2), "doc": np.arange(n), "sub": np.zeros(n, np.int32), "at": np.full(n, 68, np.int32),
+                      "back": np.full(n, 68, np.int32), "fore": np.zeros(n, np.int32), "piece": pa.array(pieces, pa.binary())})
+    tracemalloc.start()
+    try:
+        found = repeats.sort_suffixes(length)(group)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert found.to_pydict() == {"doc": list(range(n // 2, n)), "sub": [0] * (n // 2), "first": [0] * (n // 2), "last": [68] * (n // 2)}
+    assert peak < 60 << 20  # beside the group's bytes; its strings and an index of all their bytes would be 370 MB
+
+
 def test_cuts_leave_whole_characters():
     r = random.Random(2)
     for _ in range(200):
